@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Entities replaced inside the JVM; `&amp;` must stay last.
 COMMON_ENTITIES = {
@@ -38,7 +39,7 @@ def clean_html(value: Column, entities: Mapping[str, str] = COMMON_ENTITIES) ->
     return _strip_tags(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(html.unescape)

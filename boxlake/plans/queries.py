@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from boxlake.plans.boxes import boxes
+from boxlake.plans.dataset import dataset
 
-REGISTRIES = (boxes,)
+REGISTRIES = (boxes, dataset)
 
 QUERIES = {name: fn for r in REGISTRIES for name, fn in r.queries.items()}
 ORACLES = {name: sql for r in REGISTRIES for name, sql in r.oracles.items()}
