@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from boxlake.plans.boxes import boxes
+from boxlake.plans.curation import curation
 from boxlake.plans.dataset import dataset
 from boxlake.plans.review import flagship, reviews
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
-REGISTRIES = (boxes, dataset, reviews)
+REGISTRIES = (boxes, dataset, reviews, curation)
 
 QUERIES = {name: fn for r in REGISTRIES for name, fn in r.queries.items()}
 ORACLES = {name: sql for r in REGISTRIES for name, sql in r.oracles.items()}
