@@ -151,7 +151,7 @@ def event_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_LANES_SQL = """
-    SELECT event_id, user_id, epoch_ms(ts) - 1704067200000 AS ts_ms, lane
+    SELECT event_id, user_id, epoch_us(ts) // 1000 - 1704067200000 AS ts_ms, lane
     FROM events, (VALUES (0), (1)) AS lanes(lane)
     WHERE lane = 0 OR event_id % 4 = 0"""
 
