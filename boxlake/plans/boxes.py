@@ -565,9 +565,7 @@ def detection_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det_source.detections_json(rows)
 
 
-@boxes.add(
-    "detection_json_ingest",
-    """
+INGEST_SQL = """
     WITH two AS (
         SELECT det_idx AS doc_id, variant, CAST(n AS BIGINT) AS det_idx,
                CASE WHEN variant = 3 AND n = 1 THEN '' ELSE class_name END AS class_name,
@@ -578,30 +576,37 @@ def detection_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CASE WHEN variant IN (1, 2) THEN NULL ELSE det_idx END AS det_idx,
            CASE WHEN variant NOT IN (1, 2) THEN class_name END AS class_name,
            CASE WHEN variant NOT IN (1, 2) THEN confidence END AS confidence,
-           CASE WHEN variant NOT IN (1, 2) THEN x1 END AS x1,
-           CASE WHEN variant NOT IN (1, 2) THEN x2 END AS x2,
+           CASE WHEN variant NOT IN (1, 2) THEN x1 END AS x1, CASE WHEN variant NOT IN (1, 2) THEN x2 END AS x2,
            CASE WHEN variant IN (1, 2) THEN 'not an array of detections'
                 WHEN class_name = '' THEN 'class name missing'
                 WHEN confidence > 1 THEN 'confidence not in 0..1'
                 WHEN variant = 6 THEN 'bounding box needs four numbers'
                 WHEN x2 <= x1 THEN 'right/bottom must exceed left/top' END AS reject_reason
-    FROM two WHERE variant NOT IN (1, 2) OR det_idx = 0""",
-    ("detections",),
-)
-def detection_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    FROM two WHERE variant NOT IN (1, 2) OR det_idx = 0"""
+
+
+def detection_documents(rows: DataFrame) -> DataFrame:
+    """Two detections per row as a JSON body, broken in the ways the ingest must catch."""
+
     def item(n: int) -> str:
         name = "IF(variant = 3, '', class_name)" if n == 1 else "class_name"
         conf = "IF(variant = 4, confidence + 1.5D, confidence)" if n == 0 else "confidence"
-        corners = [f"x1 + {n * 10}", "y1", f"IF(variant = 5, x1 - 5, x2 + {n * 10})", "y2"]
-        bbox = f"IF(variant = 6, slice(array({', '.join(corners)}), 1, 3), array({', '.join(corners)}))"
+        corners = ", ".join(
+            [f"x1 + {n * 10}", "y1", f"IF(variant = 5, x1 - 5, x2 + {n * 10})", "y2"]
+        )
+        bbox = f"IF(variant = 6, slice(array({corners}), 1, 3), array({corners}))"
         return f"named_struct('class', {name}, 'confidence', {conf}, 'bbox', {bbox})"
 
-    docs = _detections(spark, sf_dir).selectExpr(
+    return rows.selectExpr(
         "det_idx AS doc_id",
         f"CASE WHEN variant = 1 THEN to_json({item(0)}) WHEN variant = 2 THEN 'oops' "
         f"ELSE to_json(array({item(0)}, {item(1)})) END AS body",
     )
-    rows = det_source.ingest_json(docs)
+
+
+@boxes.add("detection_json_ingest", INGEST_SQL, ("detections",))
+def detection_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = det_source.ingest_json(detection_documents(_detections(spark, sf_dir)))
     return rows.select(
         "doc_id", "det_idx", "class_name", "confidence", "x1", "x2", "reject_reason"
     )

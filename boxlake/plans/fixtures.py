@@ -142,7 +142,12 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def event_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a millisecond frame number; every fourth event shows a second box (lane 1)."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return lanes_of(table(spark, sf_dir, "events"))
+
+
+def lanes_of(events: DataFrame) -> DataFrame:
+    """As `event_lanes`, for a batch or streaming events relation."""
+    return events.selectExpr(
         "event_id",
         "user_id",
         "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) AS ts_ms",

@@ -400,25 +400,31 @@ _EVENT_OPS = ("confirm", "move", "remove", "undo", "add", "redo", "reclass", "un
               "approve", "set")
 
 
-@video.add("review_replay")
-def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation turn is one detected box and one later edit of the image."""
-    turns = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id AS image_id", "turn", "CAST(length(text) AS DOUBLE) AS n"
+def review_rows(turns: DataFrame) -> DataFrame:
+    """Every conversation turn as one detected box to load (seq -1) and one later edit."""
+    ops = ", ".join(f"'{op}'" for op in _EVENT_OPS)
+    load = (
+        "named_struct('seq', -1L, 'op', 'model', 'det_id', turn + 1, 'class_name', 'pipe burst', "
+        "'confidence', CAST((image_id * 7 + turn * 13) % 101 AS DOUBLE) / 100, "
+        "'x1', n, 'y1', n + turn, 'x2', n + 40, 'y2', n + turn + 30)"
     )
-    detections = turns.selectExpr(
-        "image_id", "turn + 1 AS det_id", "'pipe burst' AS class_name",
-        "CAST((image_id * 7 + turn * 13) % 101 AS DOUBLE) / 100 AS confidence",
-        "n AS x1", "n + turn AS y1", "n + 40 AS x2", "n + turn + 30 AS y2",
+    edit = (
+        f"named_struct('seq', turn, 'op', element_at(array({ops}), "
+        f"CAST((image_id * 3 + turn * 2) % {len(_EVENT_OPS)} AS INT) + 1), "
+        "'det_id', (turn * 3 + image_id) % 6 + 1, 'class_name', 'water drop', "
+        "'confidence', CAST(NULL AS DOUBLE), 'x1', n + 5, 'y1', n, 'x2', n + 50, 'y2', n + 20)"
     )
-    ops = ", ".join(f"'{op}'" for op in _EVENT_OPS)
-    events = turns.selectExpr(
-        "image_id", "turn AS seq",
-        f"element_at(array({ops}), CAST((image_id * 3 + turn * 2) % {len(_EVENT_OPS)} AS INT) + 1) AS op",
-        "(turn * 3 + image_id) % 6 + 1 AS det_id", "'water drop' AS class_name",
-        "n + 5 AS x1", "n AS y1", "n + 50 AS x2", "n + 20 AS y2",
+    return turns.selectExpr(
+        "conv_id AS image_id", "turn", "CAST(length(text) AS DOUBLE) AS n"
+    ).selectExpr("image_id", f"inline(array({load}, {edit}))")
+
+
+@video.add("review_replay")
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = review_rows(table(spark, sf_dir, "conversations"))
+    return replay.replay_reviews(
+        rows.filter("op = 'model'"), rows.filter("op <> 'model'").drop("confidence")
     )
-    return replay.replay_reviews(detections, events)
 
 
 def fixture_predictor(role: str) -> inference.Predictor:
