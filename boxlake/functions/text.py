@@ -85,12 +85,12 @@ def label_filename(image_filename: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """Fixed-point text of the half-up rounded value."""
-    return F.format_string(f"%.{digits}f", F.round(value, digits))
+    return value.cast(f"decimal(38,{digits})").cast("string")
 
 
 def trimmed_decimal(value: Column, digits: int = 10) -> Column:
     """Fixed-point text without trailing zeros or a bare dot."""
-    return F.regexp_replace(fixed(value, digits), r"\.?0+$", "")
+    return F.rtrim(F.rtrim(fixed(value, digits), F.lit("0")), F.lit("."))
 
 
 def clock(seconds: Column) -> Column:

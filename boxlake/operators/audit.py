@@ -55,12 +55,14 @@ def clamp_annotations(annotations: DataFrame) -> DataFrame:
     repaired = {
         "cx": (left + right) / 2, "cy": (top + bottom) / 2, "w": right - left, "h": bottom - top,
     }
+    # Kept as one small expression: a filter on `changed` is pushed down and inlined as it stands.
+    moved = reduce(lambda a, b: a | b, [c != F.col(n) for n, c in repaired.items()])
     fixed = checked.select(
-        "*", *[F.when(F.col("valid"), F.col(n)).otherwise(c).alias(f"new_{n}")
-               for n, c in repaired.items()]
+        "*", (~F.col("valid") & moved).alias("changed"),
+        *[F.when(F.col("valid"), F.col(n)).otherwise(c).alias(f"new_{n}")
+          for n, c in repaired.items()],
     )
-    changed = reduce(lambda a, b: a | b, [F.col(f"new_{n}") != F.col(n) for n in repaired])
-    return fixed.withColumn("changed", changed).drop(*annotation_faults())
+    return fixed.drop(*annotation_faults())
 
 
 def split_counts(images: DataFrame, labels: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -184,9 +186,9 @@ def violations(
         )
 
     smallest = F.least("width", "height")
-    # Only annotations of an existing image are looked at; images are unique per (split, stem).
+    # Only annotations of an existing image count; invalid rows are few, so they are cut first.
     present = skew.salted_join(
-        annotations, images.select("split", "stem").distinct(), ["split", "stem"], "left_semi",
+        with_validity(annotations).filter("not valid"), images.select("split", "stem").distinct(), ["split", "stem"], "left_semi",
         ["line_no"],
     )
     copies = images.groupBy("digest").agg(
@@ -195,7 +197,7 @@ def violations(
     parts = [
         finding(pairs.filter("has_image and not has_label"), "error", "image has no label", "stem"),
         finding(pairs.filter("has_label and not has_image"), "error", "label has no image", "stem"),
-        finding(with_validity(present).filter("not valid"), "error", "invalid annotation", "stem"),
+        finding(present, "error", "invalid annotation", "stem"),
         finding(copies.filter("copies > 1"), "error", "exact duplicates remain", "digest"),
         finding(images.filter(smallest < minimum_side), "warning", "low resolution", "stem"),
     ]

@@ -20,10 +20,10 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
     `boxes` carries the image's width and height.
     """
     width, height = F.col("width"), F.col("height")
-    clamped = g.clamp(g.box(), width, height)
-    valid = boxes.filter(
-        g.invalid_reason(g.box()).isNull() & g.invalid_reason(clamped).isNull()
-    )
+    b = g.box()
+    # A valid box stays valid after clamping exactly when it reaches into the image.
+    inside = (b.x1 < width) & (b.x2 > 0) & (b.y1 < height) & (b.y2 > 0)
+    valid = boxes.filter(g.invalid_reason(b).isNull() & inside)
     values = g.to_yolo(g.box(), width, height)
     line = F.concat_ws(
         " ", class_id_of(F.col("class_name")).cast("string"), *[fixed(v, 6) for v in values]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,17 +36,33 @@ class Rule:
     iou_over: float | None = None
     contained_from: float | None = None
 
+    def __post_init__(self) -> None:
+        # Boxes that do not overlap never suppress each other, which the fold relies on.
+        starts = [t for t in (self.iou_from, self.contained_from) if t is not None]
+        if any(t <= 0 for t in starts) or (self.iou_over is not None and self.iou_over < 0):
+            raise ValueError("Suppression thresholds must be positive.")
+
     def column(self, kept: Column, candidate: Column) -> Column:
+        """The rule for two structs with corners, `confidence` and `area`.
+
+        The cheap overlap test comes first and short-circuits; behind it every denominator is
+        positive, so the ratios need no guard.
+        """
         a, b = g.field_box(kept), g.field_box(candidate)
-        result = F.lit(False)
+        overlap = (a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2)
+        inter = (F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)) * (
+            F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
+        )
+        kept_area, area = kept.getField("area"), candidate.getField("area")
+        tests = []
         if self.iou_from is not None:
-            result = result | (g.iou(a, b) >= self.iou_from)
+            tests.append(inter / (kept_area + area - inter) >= self.iou_from)
         if self.iou_over is not None:
-            result = result | (g.iou(a, b) > self.iou_over)
+            tests.append(inter / (kept_area + area - inter) > self.iou_over)
         if self.contained_from is not None:
             stronger = kept.getField("confidence") > candidate.getField("confidence")
-            result = result | (stronger & (g.containment(a, b) >= self.contained_from))
-        return result
+            tests.append(stronger & (inter / F.least(kept_area, area) >= self.contained_from))
+        return overlap & reduce(lambda x, y: x | y, tests)
 
     def mask(self, kept: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The same rule for one kept (conf, x1, y1, x2, y2) against many rows."""
@@ -77,23 +94,35 @@ CONTAINMENT_ONLY = Rule(contained_from=0.95)
 NMS = Rule(iou_over=0.4)
 
 
-def _fold(df: DataFrame, keys: Sequence[str], order_key: str, rule: Rule) -> DataFrame:
-    """Every row of (bounded) groups plus `suppressed_by`, the order key of its suppressor."""
+_FIELDS = ["confidence", "x1", "y1", "x2", "y2"]
+
+
+def _fold(
+    df: DataFrame, keys: Sequence[str], order_key: str, rule: Rule, link: bool = True
+) -> DataFrame:
+    """Every row of (bounded) groups plus `suppressed_by`.
+
+    With `link` it is the order key of the first suppressor; without, dropped rows only carry a
+    non-null value, which lets the test stop at any suppressor.
+    """
     payload = [c for c in df.columns if c not in keys]
-    fields = ["confidence", "x1", "y1", "x2", "y2"]
     ranked = df.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
                     (-F.col("confidence")).alias("_rank"),
                     F.col(order_key).alias("_order"),
-                    *[F.col(c) for c in fields],
+                    *[F.col(c) for c in _FIELDS],
+                    g.area(g.box()).alias("area"),
                     F.struct(*[F.col(c) for c in payload]).alias("_row"),
                 )
             )
         ).alias("_boxes")
     )
-    kept_type = "ARRAY<STRUCT<_order: BIGINT, " + ", ".join(f"{f}: DOUBLE" for f in fields) + ">>"
+    entry_fields = ["_order", *_FIELDS, "area"]
+    kept_type = "ARRAY<STRUCT<_order: BIGINT, " + ", ".join(
+        f"{f}: DOUBLE" for f in entry_fields[1:]
+    ) + ">>"
     start = F.struct(
         F.expr(f"CAST(array() AS {kept_type})").alias("kept"),
         F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("by"),
@@ -101,13 +130,22 @@ def _fold(df: DataFrame, keys: Sequence[str], order_key: str, rule: Rule) -> Dat
 
     def step(state: Column, row: Column) -> Column:
         kept = state.getField("kept")
-        hit = F.get(F.filter(kept, lambda k: rule.column(k, row)), F.lit(0)).getField("_order")
-        entry = F.struct(row.getField("_order").alias("_order"), *[
-            row.getField(f).alias(f) for f in fields
-        ])
-        return F.struct(
-            F.when(hit.isNull(), F.array_append(kept, entry)).otherwise(kept).alias("kept"),
-            F.array_append(state.getField("by"), hit).alias("by"),
+        entry = F.struct(*[row.getField(f).alias(f) for f in entry_fields])
+        if link:
+            hits = F.filter(kept, lambda k: rule.column(k, row))
+            hit = F.get(hits, F.lit(0)).getField("_order")
+        else:
+            hit = F.when(F.exists(kept, lambda k: rule.column(k, row)), row.getField("_order"))
+        # The verdict is bound once and used for both lists.
+        return F.get(
+            F.transform(
+                F.array(hit),
+                lambda h: F.struct(
+                    F.when(h.isNull(), F.array_append(kept, entry)).otherwise(kept).alias("kept"),
+                    F.array_append(state.getField("by"), h).alias("by"),
+                ),
+            ),
+            F.lit(0),
         )
 
     # A group of one box needs no fold.
@@ -129,17 +167,16 @@ def _fold(df: DataFrame, keys: Sequence[str], order_key: str, rule: Rule) -> Dat
 
 def _block_filter(rule: Rule, columns: list[str], order_key: str):
     """Cogroup kernel: a bounded block of undecided boxes against bounded newly kept boxes."""
-    fields = ["confidence", "x1", "y1", "x2", "y2"]
 
     def run(block: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if block.empty:
             return pd.DataFrame(columns=columns)
-        rows = block[fields].to_numpy(dtype=float)
+        rows = block[_FIELDS].to_numpy(dtype=float)
         by = np.full(len(block), -1, dtype=np.int64)
         undecided = np.arange(len(block))
         kept = kept.sort_values(["confidence", order_key], ascending=[False, True])
         for order_value, entry in zip(
-            kept[order_key].to_numpy(), kept[fields].to_numpy(dtype=float), strict=True
+            kept[order_key].to_numpy(), kept[_FIELDS].to_numpy(dtype=float), strict=True
         ):
             if not len(undecided):
                 break
@@ -216,14 +253,15 @@ def greedy_links(
     rule: Rule,
     order_key: str = "det_idx",
     group_limit: int = GROUP_LIMIT,
+    link: bool = True,
 ) -> DataFrame:
-    """All rows plus `suppressed_by` (null for kept rows).
+    """All rows plus `suppressed_by` (null for kept rows; see `_fold` for `link`).
 
     Boxes of a group are visited by confidence descending, then `order_key` ascending, which must
     be unique in the group.
     """
     cool, hot = skew.split_hot(df, keys, group_limit)
-    result = _fold(cool, keys, order_key, rule)
+    result = _fold(cool, keys, order_key, rule, link)
     if hot is None:
         return result
     return result.unionByName(_rounds(hot, keys, order_key, rule, group_limit))
@@ -233,7 +271,7 @@ def suppress(
     df: DataFrame, rule: Rule = SUPPRESSION, image_key: str = "image_id", **options
 ) -> DataFrame:
     """Boxes that survive same-class suppression."""
-    links = greedy_links(df, [image_key, "class_name"], rule, **options)
+    links = greedy_links(df, [image_key, "class_name"], rule, link=False, **options)
     return links.filter(F.col("suppressed_by").isNull()).drop("suppressed_by")
 
 
@@ -247,7 +285,7 @@ def nms(
 ) -> DataFrame:
     """Non-maximum suppression per class, or across classes when `class_agnostic`."""
     keys = [image_key] if class_agnostic else [image_key, class_key]
-    links = greedy_links(df, keys, Rule(iou_over=iou_threshold), **options)
+    links = greedy_links(df, keys, Rule(iou_over=iou_threshold), link=False, **options)
     return links.filter(F.col("suppressed_by").isNull()).drop("suppressed_by")
 
 

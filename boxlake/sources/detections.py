@@ -17,10 +17,10 @@ def ingest_json(docs: DataFrame, key: str = "doc_id", body: str = "body", strict
     document is good only as a whole: its good rows are rejected too when any row is bad.
     """
     is_array = F.col(body).rlike(r"^\s*\[")
-    parsed = F.when(is_array, F.from_json(body, DETECTION_JSON))
-    rows = docs.select(
-        key, F.posexplode_outer(F.when(parsed.isNotNull(), parsed)).alias("det_idx", "d"),
-        parsed.isNull().alias("_bad_doc"),
+    # Parsed once; the array is then exploded and tested as a plain column.
+    parsed = docs.select(key, F.when(is_array, F.from_json(body, DETECTION_JSON)).alias("_d"))
+    rows = parsed.select(
+        key, F.col("_d").isNull().alias("_bad_doc"), F.posexplode_outer("_d").alias("det_idx", "d")
     ).filter(F.col("det_idx").isNotNull() | F.col("_bad_doc"))
     corners = [F.get("d.bbox", F.lit(i)) for i in range(4)]
     wide = rows.select(
