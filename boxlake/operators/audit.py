@@ -144,7 +144,7 @@ def duplicate_keepers(scored: DataFrame, digest: str = "digest") -> DataFrame:
 def duplicates_to_remove(scored: DataFrame, digest: str = "digest") -> DataFrame:
     """Every copy that is not its group's keeper."""
     keepers = duplicate_keepers(scored, digest).select(digest, "keeper", "keeper_split")
-    joined = skew.salted_join(scored, keepers, [digest], "inner", ["filename"])
+    joined = skew.skew_join(scored, keepers, [digest], "inner", ["filename"])
     return joined.filter(
         (F.col("filename") != F.col("keeper")) | (F.col("split") != F.col("keeper_split"))
     )
@@ -187,7 +187,7 @@ def violations(
 
     smallest = F.least("width", "height")
     # Only annotations of an existing image count; invalid rows are few, so they are cut first.
-    present = skew.salted_join(
+    present = skew.skew_join(
         with_validity(annotations).filter("not valid"), images.select("split", "stem").distinct(), ["split", "stem"], "left_semi",
         ["line_no"],
     )

@@ -36,7 +36,7 @@ def exact_median(
     )
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     running = skew.carried_sum(counts, keys, "_bin", [value], F.col("_n"), "_upto")
-    placed = skew.salted_join(running, totals, keys, "inner", [value])
+    placed = skew.skew_join(running, totals, keys, "inner", [value])
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     found = placed.groupBy(*keys).agg(
         F.max("n").alias("n"),

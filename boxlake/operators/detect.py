@@ -83,7 +83,7 @@ def ensemble_fallback(general: DataFrame, specialist: DataFrame) -> DataFrame:
         .select("image_id")
         .distinct()
     )
-    extra = skew.salted_join(
+    extra = skew.skew_join(
         c.specialist_only(specialist), seen, ["image_id"], "left_anti", ["det_idx"]
     )
     return general.withColumn("role", F.lit("general")).unionByName(
@@ -123,7 +123,7 @@ def topmost_box(clicks: DataFrame, boxes: DataFrame, tolerance: float = 0.0) ->
 
     Clicks are few per image, so boxes are the salted side; the arg-max combines map-side.
     """
-    joined = skew.salted_join(
+    joined = skew.skew_join(
         boxes.select("image_id", "det_idx", "x1", "y1", "x2", "y2"), clicks, ["image_id"],
         "inner", ["det_idx"],
     )

@@ -39,7 +39,7 @@ def yolo_label_texts(
     Parts of one image, taken in order, are its label file. Only an image with more than
     `rows_per_part` boxes has more than one.
     """
-    sized = skew.salted_join(
+    sized = skew.skew_join(
         boxes, images.select("image_id", "width", "height"), ["image_id"], "inner", ["det_idx"]
     )
     lines = yolo_lines(sized).select("image_id", "det_idx", "line")

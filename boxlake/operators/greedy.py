@@ -21,7 +21,7 @@ from boxlake import skew
 from boxlake.functions import geometry as g
 
 GROUP_LIMIT = 512
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -97,13 +97,18 @@ NMS = Rule(iou_over=0.4)
 _FIELDS = ["confidence", "x1", "y1", "x2", "y2"]
 
 
+def _link_type(link: bool) -> str:
+    corners = ", ".join(f"{f}: DOUBLE" for f in _FIELDS[1:])
+    return f"STRUCT<idx: BIGINT, {corners}>" if link else "BOOLEAN"
+
+
 def _fold(
     df: DataFrame, keys: Sequence[str], order_key: str, rule: Rule, link: bool = True
 ) -> DataFrame:
-    """Every row of (bounded) groups plus `suppressed_by`.
+    """Every row of (bounded) groups plus `suppressed_by`, null for kept rows.
 
-    With `link` it is the order key of the first suppressor; without, dropped rows only carry a
-    non-null value, which lets the test stop at any suppressor.
+    With `link` it is the first suppressor, as a struct of `idx` and corners; without, it is true,
+    which lets the test stop at any suppressor.
     """
     payload = [c for c in df.columns if c not in keys]
     ranked = df.groupBy(*keys).agg(
@@ -125,7 +130,7 @@ def _fold(
     ) + ">>"
     start = F.struct(
         F.expr(f"CAST(array() AS {kept_type})").alias("kept"),
-        F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("by"),
+        F.expr(f"CAST(array() AS ARRAY<{_link_type(link)}>)").alias("by"),
     )
 
     def step(state: Column, row: Column) -> Column:
@@ -133,9 +138,13 @@ def _fold(
         entry = F.struct(*[row.getField(f).alias(f) for f in entry_fields])
         if link:
             hits = F.filter(kept, lambda k: rule.column(k, row))
-            hit = F.get(hits, F.lit(0)).getField("_order")
+            first = F.get(hits, F.lit(0))
+            named = [first.getField("_order").alias("idx"), *[
+                first.getField(f).alias(f) for f in _FIELDS[1:]
+            ]]
+            hit = F.when(first.isNotNull(), F.struct(*named))
         else:
-            hit = F.when(F.exists(kept, lambda k: rule.column(k, row)), row.getField("_order"))
+            hit = F.when(F.exists(kept, lambda k: rule.column(k, row)), True)
         # The verdict is bound once and used for both lists.
         return F.get(
             F.transform(
@@ -151,7 +160,7 @@ def _fold(
     # A group of one box needs no fold.
     folded = ranked.withColumn(
         "_by",
-        F.when(F.size("_boxes") == 1, F.array(F.lit(None).cast("bigint"))).otherwise(
+        F.when(F.size("_boxes") == 1, F.array(F.lit(None).cast(_link_type(link)))).otherwise(
             F.aggregate("_boxes", start, step, lambda s: s.getField("by"))
         ),
     )
@@ -165,28 +174,35 @@ def _fold(
     )
 
 
+_LINK = ["_by_idx", "_by_x1", "_by_y1", "_by_x2", "_by_y2"]
+
+
 def _block_filter(rule: Rule, columns: list[str], order_key: str):
     """Cogroup kernel: a bounded block of undecided boxes against bounded newly kept boxes."""
 
     def run(block: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if block.empty:
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(columns=[*columns, *_LINK])
         rows = block[_FIELDS].to_numpy(dtype=float)
-        by = np.full(len(block), -1, dtype=np.int64)
-        undecided = np.arange(len(block))
         kept = kept.sort_values(["confidence", order_key], ascending=[False, True])
-        for order_value, entry in zip(
-            kept[order_key].to_numpy(), kept[_FIELDS].to_numpy(dtype=float), strict=True
-        ):
+        entries = kept[_FIELDS].to_numpy(dtype=float)
+        owner = np.full(len(block), -1)
+        undecided = np.arange(len(block))
+        for place, entry in enumerate(entries):
             if not len(undecided):
                 break
             hit = rule.mask(entry, rows[undecided])
-            by[undecided[hit]] = order_value
+            owner[undecided[hit]] = place
             undecided = undecided[~hit]
-        result = block.drop(columns="_salt").copy()
-        result["suppressed_by"] = pd.Series(by, dtype="Int64").mask(by < 0).to_numpy()
-        result["suppressed_by"] = result["suppressed_by"].astype("Int64")
-        return result[columns]
+        free = owner < 0
+        result = block[columns].copy()
+        # Built from integers and a mask: a detour over floats would corrupt large keys.
+        result["_by_idx"] = pd.arrays.IntegerArray(
+            kept[order_key].to_numpy(dtype=np.int64)[owner], free
+        )
+        for i, name in enumerate(_LINK[1:], start=1):
+            result[name] = np.where(free, np.nan, entries[owner, i])
+        return result
 
     return run
 
@@ -197,7 +213,7 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 
 def _rounds(
-    hot: DataFrame, keys: Sequence[str], order_key: str, rule: Rule, chunk: int
+    hot: DataFrame, keys: Sequence[str], order_key: str, rule: Rule, chunk: int, link: bool
 ) -> DataFrame:
     """Exact greedy for groups of any size, `chunk` certain decisions per group and round."""
     order = [F.col("confidence").desc(), F.col(order_key).asc()]
@@ -208,7 +224,7 @@ def _rounds(
         best = skew.checkpointed(
             _fold(
                 skew.top_k(remaining, keys, order, chunk, [order_key]).drop("row_number"),
-                keys, order_key, rule,
+                keys, order_key, rule, link,
             )
         )
         decided.append(best)
@@ -229,17 +245,20 @@ def _rounds(
             .filter(F.struct("confidence", (-F.col(order_key)).alias("_neg")) < F.col("_last"))
             .drop("_last")
         )
-        columns = [*hot.columns, "suppressed_by"]
         schema = ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema.fields
-        ) + ", suppressed_by bigint"
+        ) + ", " + ", ".join(f"{n} {'bigint' if n == '_by_idx' else 'double'}" for n in _LINK)
         tested = skew.checkpointed(
             behind.groupBy(*keys, "_salt")
             .cogroup(_fresh(kept.withColumn("_salt", spread)).groupBy(*keys, "_salt"))
-            .applyInPandas(_block_filter(rule, columns, order_key), schema)
+            .applyInPandas(_block_filter(rule, hot.columns, order_key), schema)
         )
-        decided.append(tested.filter(F.col("suppressed_by").isNotNull()))
-        remaining = tested.filter(F.col("suppressed_by").isNull()).drop("suppressed_by")
+        by = F.struct(
+            F.col("_by_idx").alias("idx"), *[F.col(f"_by_{f}").alias(f) for f in _FIELDS[1:]]
+        ) if link else F.lit(True)
+        dropped = tested.filter(F.col("_by_idx").isNotNull())
+        decided.append(dropped.select(*hot.columns, by.alias("suppressed_by")))
+        remaining = tested.filter(F.col("_by_idx").isNull()).select(*hot.columns)
         rows = remaining.count()
     result = decided[0]
     for part in decided[1:]:
@@ -264,7 +283,7 @@ def greedy_links(
     result = _fold(cool, keys, order_key, rule, link)
     if hot is None:
         return result
-    return result.unionByName(_rounds(hot, keys, order_key, rule, group_limit))
+    return result.unionByName(_rounds(hot, keys, order_key, rule, group_limit, link))
 
 
 def suppress(
@@ -298,25 +317,16 @@ def strongest_per_image(
 
 
 def suppression_pairs(df: DataFrame, rule: Rule = SUPPRESSION, **options) -> DataFrame:
-    """Each dropped box joined with the kept box that suppressed it, and how much they overlap.
+    """Each dropped box with the kept box that suppressed it and how much they overlap.
 
-    Output is linear in the input: overlaps are only ever measured against kept boxes.
+    Output is linear in the input: overlaps are only ever measured against kept boxes, and the
+    suppressor's corners travel with the verdict, so nothing is joined back.
     """
-    keys = ["image_id", "class_name"]
-    links = greedy_links(df, keys, rule, **options)
-    corners = ["x1", "y1", "x2", "y2"]
-    kept = links.filter(F.col("suppressed_by").isNull()).select(
-        *keys,
-        F.col("det_idx").alias("suppressed_by"),
-        *[F.col(c).alias(f"kept_{c}") for c in corners],
-    )
-    dropped = links.filter(F.col("suppressed_by").isNotNull())
-    joined = skew.salted_join(
-        dropped, kept, [*keys, "suppressed_by"], "inner", ["det_idx"], salts=4
-    )
-    a = g.Box(*[F.col(f"kept_{c}") for c in corners])
-    return joined.select(
-        "image_id", "class_name", "det_idx", "suppressed_by",
-        F.round(g.iou(a, g.box()), 6).alias("iou"),
-        F.round(g.containment(a, g.box()), 6).alias("containment"),
+    links = greedy_links(df, ["image_id", "class_name"], rule, **options)
+    by = F.col("suppressed_by")
+    kept = g.field_box(by)
+    return links.filter(by.isNotNull()).select(
+        "image_id", "class_name", "det_idx", by.getField("idx").alias("suppressed_by"),
+        F.round(g.iou(kept, g.box()), 6).alias("iou"),
+        F.round(g.containment(kept, g.box()), 6).alias("containment"),
     )

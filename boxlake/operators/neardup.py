@@ -115,7 +115,7 @@ def flag_near_duplicates(
 ) -> DataFrame:
     """All candidates with a flag: within `limit` bits of a known fingerprint or not."""
     matches = near_matches(candidates, known, words, word_bits, limit, **options)
-    flagged = skew.salted_join(
+    flagged = skew.skew_join(
         candidates, matches.withColumn("_hit", F.lit(True)), ["words"], "left", [salt_on]
     )
     return flagged.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -21,7 +21,7 @@ def review_signals(images: DataFrame, review: DataFrame) -> DataFrame:
     boxes scores 1 on both signals.
     """
     # The spine's size columns are uniform per image, so geometry needs them before reducing.
-    sized = skew.salted_join(
+    sized = skew.skew_join(
         active_boxes(review), images.select("image_id", "width", "height"), ["image_id"], "inner",
         ["det_idx"],
     )
@@ -133,7 +133,7 @@ def approval_state(events: DataFrame) -> DataFrame:
         F.max(F.when(resets, F.col("seq"))).alias("_reset_seq"),
         F.max("seq").alias("last_seq"),
     )
-    later = skew.salted_join(events, last, ["image_id"], "inner", ["seq"])
+    later = skew.skew_join(events, last, ["image_id"], "inner", ["seq"])
     counted = later.groupBy("image_id").agg(
         F.first("_fixed").alias("_fixed"),
         F.first("last_seq").alias("last_seq"),

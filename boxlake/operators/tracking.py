@@ -261,7 +261,7 @@ def assign_tracks(
     order = ["frame_idx", "det_idx"]
     cool, hot = skew.split_hot(rows, keys, group_limit)
     tracker = Tracker(options)
-    result = fold_sorted(cool, keys, order, tracker, group_limit=2**62)
+    result = fold_sorted(cool, keys, order, tracker, group_limit=None)
     if hot is None:
         return result
     sessions = with_sessions(hot, options.max_gap, chunk)
@@ -316,7 +316,7 @@ def surviving_observations(
 ) -> DataFrame:
     """Visible observations of surviving tracks."""
     visible = tracked.filter(F.coalesce("visible", F.lit(True)))
-    return skew.salted_join(
+    return skew.skew_join(
         visible, tracks.select(*keys).distinct(), keys, "left_semi", ["frame_idx"]
     )
 

@@ -551,12 +551,14 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 @boxes.add(
     "detection_json_out",
     """
-    SELECT image_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n,
+    SELECT image_id, part_no, count(*) AS n,
            '[' || string_agg('{"class":"' || class_name || '","confidence":'
                || CAST(confidence AS VARCHAR) || ',"bbox":[' || CAST(x1 AS VARCHAR) || ','
                || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR) || ']}',
                ',' ORDER BY det_idx) || ']' AS body
-    FROM (SELECT * REPLACE (confidence + 1 AS confidence) FROM detections) AS d GROUP BY image_id""",
+    FROM (SELECT * REPLACE (confidence + 1 AS confidence),
+                 (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no
+          FROM detections) AS d GROUP BY image_id, part_no""",
     ("detections",),
 )
 def detection_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:

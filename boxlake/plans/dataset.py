@@ -258,9 +258,10 @@ def media_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
                printf('%.6f', round((x1 + x2) / 2 / 600, 6)), printf('%.6f', round((y1 + y2) / 2 / 450, 6)),
                printf('%.6f', round((x2 - x1) / 600, 6)), printf('%.6f', round((y2 - y1) / 450, 6))) AS line
         FROM sized WHERE x2 > x1 AND y2 > y1),
-    texts AS (SELECT image_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY det_idx) || chr(10) AS label_text
-              FROM lines GROUP BY image_id)
-    SELECT image_id, CAST(0 AS BIGINT) AS part_no, coalesce(lines, 0) AS lines, coalesce(label_text, '') AS label_text
+    parts AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no FROM lines),
+    texts AS (SELECT image_id, part_no, count(*) AS lines, string_agg(line, chr(10) ORDER BY det_idx) || chr(10) AS label_text
+              FROM parts GROUP BY image_id, part_no)
+    SELECT image_id, coalesce(part_no, 0) AS part_no, coalesce(lines, 0) AS lines, coalesce(label_text, '') AS label_text
     FROM images LEFT JOIN texts USING (image_id)""",
     ("images", "review_detections"),
 )

@@ -95,16 +95,17 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     "review_summary",
     """
     WITH n AS (
-        SELECT image_id, count(*) AS n, count(*) FILTER (NOT removed) AS active,
+        SELECT image_id, part_no, count(*) AS n,
                '[' || string_agg('{"class":"' || class_name || '","bbox":[' || CAST(x1 AS VARCHAR) || ','
                    || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR)
                    || '],"source":"' || source || '","confirmed":' || CAST(confirmed AS VARCHAR)
                    || ',"removed":' || CAST(removed AS VARCHAR) || ',"modelConfidence":'
                    || CASE WHEN source = 'model' THEN CAST(confidence + 1 AS VARCHAR) ELSE 'null' END || '}',
                    ',' ORDER BY det_idx) || ']' AS annotations
-        FROM review_detections GROUP BY image_id)
-    SELECT i.image_id, CAST(0 AS BIGINT) AS part_no, image_approved AS approved,
-           image_approved AND coalesce(active, 0) = 0 AS approved_empty, coalesce(n, 0) AS n,
+        FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no FROM review_detections) AS p
+        GROUP BY image_id, part_no)
+    SELECT i.image_id, coalesce(part_no, 0) AS part_no, image_approved AS approved,
+           image_approved AND i.image_id NOT IN (SELECT image_id FROM review_detections WHERE NOT removed) AS approved_empty, coalesce(n, 0) AS n,
            coalesce(annotations, '[]') AS annotations
     FROM images AS i LEFT JOIN n ON n.image_id = i.image_id""",
     ("images", "review_detections"),

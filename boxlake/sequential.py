@@ -96,10 +96,13 @@ def fold_sorted(
     keys: Sequence[str],
     order: Sequence[str],
     stepper: Stepper,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
     descending: bool = False,
 ) -> DataFrame:
-    """Feed every group's rows in `order` through `stepper`; one output relation (keys + outputs)."""
+    """Feed every group's rows in `order` through `stepper`; one output relation (keys + outputs).
+
+    `group_limit=None` means that the caller has already split off larger groups.
+    """
     keys = list(keys)
     needed = list(dict.fromkeys([*keys, *order, *stepper.inputs]))
     rows = df.select(*needed)
@@ -116,7 +119,7 @@ def fold_sorted(
         )
         return placed.mapInArrow(kernel, schema)
 
-    cool, hot = skew.split_hot(rows, keys, group_limit)
+    cool, hot = (rows, None) if group_limit is None else skew.split_hot(rows, keys, group_limit)
     once = cool.withColumns({"_state": F.lit(None).cast("binary"), "_final": F.lit(True)})
     result = run(once).drop("_saved")
     if hot is None:

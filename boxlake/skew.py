@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 # Broadcasts are only asked for when a counted row number is at most this.
 BROADCAST_ROWS = 50_000
+# A join key with more left rows than this is handled apart.
+HOT_JOIN_ROWS = 1_000_000
+# Up to this k, Spark limits every group inside the map tasks before it shuffles.
+GROUP_LIMIT_K = 1_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -53,28 +57,43 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def salted_join(
+def skew_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str,
     salt_on: Sequence[str],
-    salts: int = 8,
+    limit: int | None = None,
 ) -> DataFrame:
     """Equi-join for a left side whose keys may be hot and a right side with few rows per key.
 
-    Left rows of one key spread over `salts` shuffle keys by a hash of `salt_on`; each right row
-    is repeated once per salt. `how` must keep left rows only (inner, left, left_semi, left_anti).
+    Left rows per key are counted first (combining before the shuffle, on the key columns only).
+    Without a key above `limit` this is a plain join. Otherwise the ordinary keys are joined
+    plainly and the hot ones apart: their right rows are broadcast when counted small, so hot left
+    rows never move; else both sides are salted, one salt per `limit` rows of the hottest key.
+    `how` must keep left rows only (inner, left, left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join")
-    salted_left = left.withColumn(
+        raise ValueError(f"skew_join cannot do a {how} join")
+    limit = limit or HOT_JOIN_ROWS
+    keys = list(keys)
+    hot = hot_groups(left, keys, limit)
+    if hot is None:
+        return left.join(right, keys, how)
+    names = sized_broadcast(hot.select(*keys))
+    cool = left.join(names, keys, "left_anti").join(right, keys, how)
+    hot_left = left.join(names, keys, "left_semi")
+    hot_right = checkpointed(right.join(names, keys, "left_semi"))
+    if hot_right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return cool.unionByName(hot_left.join(F.broadcast(hot_right), keys, how))
+    salts = -(-hot.agg(F.max("group_rows")).first()[0] // limit)
+    salted_left = hot_left.withColumn(
         "_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
     )
-    salted_right = right.withColumn(
+    salted_right = hot_right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return cool.unionByName(salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt"))
 
 
 def split_hot(
@@ -92,16 +111,24 @@ def split_hot(
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt_on: Sequence[str]
 ) -> DataFrame:
-    """The first `k` rows per key, with `row_number` 1..k. A salted pre-cut bounds every task."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(32)).cast("int"))
-    partial = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    """The first `k` rows per key, with `row_number` 1..k.
+
+    For small k the rank filter is applied per group in the map tasks, so a hot key shuffles at
+    most k rows per task. A larger k gets a salted pre-cut with the same effect.
+    """
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_rank", F.row_number().over(partial))
-        .filter(F.col("_rank") <= k)
-        .drop("_salt", "_rank")
-        .withColumn("row_number", F.row_number().over(final))
-        .filter(F.col("row_number") <= k)
+    if k > GROUP_LIMIT_K:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+        partial = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", salt)
+            .withColumn("_rank", F.row_number().over(partial))
+            .filter(F.col("_rank") <= k)
+            .drop("_salt", "_rank")
+        )
+    return df.withColumn("row_number", F.row_number().over(final)).filter(
+        F.col("row_number") <= k
     )
 
 

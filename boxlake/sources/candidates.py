@@ -48,7 +48,7 @@ def flatten_pages(pages: DataFrame, sources: DataFrame | None = None, body: str
     if sources is None:
         return flat.withColumn("source_category", F.lit(""))
     last = sources.groupBy("title").agg(F.max_by("source_category", "seq").alias("source_category"))
-    joined = skew.salted_join(flat, last, ["title"], "left", ["page_id"])
+    joined = skew.skew_join(flat, last, ["title"], "left", ["page_id"])
     return joined.withColumn("source_category", F.coalesce("source_category", F.lit("")))
 
 

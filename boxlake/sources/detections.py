@@ -41,7 +41,7 @@ def ingest_json(docs: DataFrame, key: str = "doc_id", body: str = "body", strict
     if not strict:
         return result
     bad = result.filter(F.col("reject_reason").isNotNull()).select(key).distinct()
-    flagged = skew.salted_join(
+    flagged = skew.skew_join(
         result, bad.withColumn("_bad", F.lit(True)), [key], "left", ["det_idx"]
     )
     whole = F.when(F.col("_bad"), F.coalesce("reject_reason", F.lit("document has a bad row")))

@@ -14,10 +14,9 @@ def read_label_lines(spark: SparkSession, root: str) -> DataFrame:
     Label files hold a few boxes each, so a file is one row and its lines keep their numbers.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
-        .text(root)
+        .text(root, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"),

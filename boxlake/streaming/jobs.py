@@ -224,4 +224,4 @@ def review_stream(events: DataFrame) -> DataFrame:
 def current_reviews(versions: DataFrame) -> DataFrame:
     """The latest version of every image."""
     last = versions.groupBy("image_id").agg(F.max("version").alias("version"))
-    return skew.salted_join(versions, last, ["image_id", "version"], "left_semi", ["det_id"])
+    return skew.skew_join(versions, last, ["image_id", "version"], "left_semi", ["det_id"])
