@@ -79,34 +79,40 @@ _TRACK_INPUT = list(Tracker.inputs)
 class _StreamTracker(StatefulProcessor):
     """Buffers one (video, class) until the watermark passes a frame, then tracks it in order."""
 
-    def __init__(self, options: TrackerOptions) -> None:
+    def __init__(self, options: TrackerOptions, frame_ms: float) -> None:
         self.tracker = Tracker(options)
+        self.lifetime = int(options.max_gap * frame_ms) + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("tracker", _SAVED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        state, pending = self._load()
+        state, pending, decided, last = self._load()
+        columns = ["event_ms", *_TRACK_INPUT]
         for batch in rows:
-            clean = batch[["event_ms", *_TRACK_INPUT]].astype(object)
-            clean = clean.where(batch[["event_ms", *_TRACK_INPUT]].notna(), None)
-            pending.extend(tuple(r) for r in clean.itertuples(index=False, name=None))
-        yield from self._advance(key, state, pending, timerValues.getCurrentWatermarkInMs())
+            clean = batch[columns].astype(object).where(batch[columns].notna(), None)
+            # Frames up to the last decided watermark are closed.
+            pending.extend(
+                r for r in clean.itertuples(index=False, name=None) if r[0] >= decided
+            )
+        watermark = timerValues.getCurrentWatermarkInMs()
+        yield from self._advance(key, state, pending, max(decided, watermark), last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, pending = self._load()
-        yield from self._advance(key, state, pending, timerValues.getCurrentWatermarkInMs())
+        state, pending, decided, last = self._load()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        yield from self._advance(key, state, pending, max(decided, watermark), last)
 
     def close(self) -> None:
         pass
 
     def _load(self):
         if not self.state.exists():
-            return self.tracker.begin(), []
+            return self.tracker.begin(), [], 0, 0
         return pickle.loads(self.state.get()[0])
 
-    def _advance(self, key, state, pending: list, watermark: int):
+    def _advance(self, key, state, pending: list, watermark: int, last: int):
         ready = sorted((r for r in pending if r[0] < watermark), key=lambda r: (r[1], r[3]))
         pending = [r for r in pending if r[0] >= watermark]
         done: list[tuple] = []
@@ -115,10 +121,15 @@ class _StreamTracker(StatefulProcessor):
         if ready:
             # Every row of a frame below the watermark has arrived.
             done.extend(self.tracker.finish(state))
+            last = ready[-1][0]
+        alive = bool(state["tracks"]) and watermark < last + self.lifetime
         if pending:
             self.handle.registerTimer(min(r[0] for r in pending) + 1)
-        if pending or state["tracks"]:
-            self.state.update((pickle.dumps((state, pending)),))
+        elif alive:
+            # No later frame can match these tracks once the gap has passed; then the key is freed.
+            self.handle.registerTimer(last + self.lifetime)
+        if pending or alive:
+            self.state.update((pickle.dumps((state, pending, watermark, last)),))
         else:
             self.state.clear()
         if done:
@@ -135,10 +146,14 @@ TRACK_OUTPUT = "video_id BIGINT, class_name STRING, " + ", ".join(
 
 
 def track_stream(
-    observations: DataFrame, options: TrackerOptions, lateness: str = "10 minutes"
+    observations: DataFrame, options: TrackerOptions, lateness: str = "10 minutes",
+    frame_ms: float = 1.0,
 ) -> DataFrame:
     """The batch tracker on an unbounded observation stream with an `event_time` column.
 
+    `frame_ms` is the time one frame number stands for; a key is forgotten once no track of it can
+    be continued any more.
+
     Rows later than the watermark are dropped by Spark and show up in the query's
     `numRowsDroppedByWatermark` metric. Frames leave once the watermark passes them.
     """
@@ -153,7 +168,7 @@ def track_stream(
         timed.select("video_id", "class_name", "event_time", "event_ms", *_TRACK_INPUT)
         .groupBy("video_id", "class_name")
         .transformWithStateInPandas(
-            statefulProcessor=_StreamTracker(options),
+            statefulProcessor=_StreamTracker(options, frame_ms),
             outputStructType=StructType.fromDDL(TRACK_OUTPUT),
             outputMode="Append",
             timeMode="EventTime",

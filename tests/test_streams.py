@@ -43,17 +43,19 @@ def test_tracks_over_many_micro_batches(spark, tmp_path, late):
     part(0, 20, "a")
     part(20, 40, "b")
     part(900, 901, "c")
+    part(2000, 2001, "d1")
     if late:
-        part(40, 41, "d")
+        # Frame 10 again, far behind both the watermark and what has been decided.
+        part(10, 11, "d2")
     part(5000, 5001, "e")
     stream = (
         session.readStream.schema(schema).option("maxFilesPerTrigger", 1)
         .option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     )
-    tracked = jobs.track_stream(stream, tracking.TrackerOptions(max_gap=3, patience=0), "60 seconds")
+    tracked = jobs.track_stream(stream, tracking.TrackerOptions(max_gap=3, patience=0), "60 seconds", frame_ms=1000)
     jobs.run_to_table(tracked, f"{tmp_path}/out")
     found = spark.read.schema(jobs.TRACK_OUTPUT).parquet(f"{tmp_path}/out/data").orderBy("frame_idx").collect()
     frames = [r.frame_idx for r in found]
-    assert frames == [*range(40), 900]
+    assert frames == [*range(40), 900, 2000]
     assert {r.start_frame for r in found if 0 < r.frame_idx < 40} == {1}
     assert found[5].visible is False and found[6].visible and found[6].segment == 1
