@@ -74,6 +74,7 @@ def admit_detections(
 
 
 _TRACK_INPUT = list(Tracker.inputs)
+_NULLABLE = {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
 
 
 class _StreamTracker(StatefulProcessor):
@@ -133,11 +134,12 @@ class _StreamTracker(StatefulProcessor):
         else:
             self.state.clear()
         if done:
-            names = [n for n, _ in Tracker.outputs]
-            frame = pd.DataFrame([(*key, *r) for r in done], columns=["video_id", "class_name", *names])
-            nullable = {"start_frame": "Int64", "start_det": "Int64", "segment": "Int32",
-                        "visible": "boolean"}
-            yield frame.astype(nullable)
+            # Typed column by column: integers with nulls must not pass through floats.
+            columns = {"video_id": key[0], "class_name": key[1]}
+            values = zip(*done, strict=True)
+            for (name, kind), column in zip(Tracker.outputs, values, strict=True):
+                columns[name] = pd.array(list(column), dtype=_NULLABLE[kind])
+            yield pd.DataFrame(columns)
 
 
 TRACK_OUTPUT = "video_id BIGINT, class_name STRING, " + ", ".join(
