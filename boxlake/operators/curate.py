@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,14 @@ RELEVANT_TERMS = {
 }
 
 
+def _bound(text: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(text)` with `text` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(text), body), F.lit(0))
+
+
 def mentions(text: Column, words: tuple[str, ...]) -> Column:
-    """Any of the words (plain letters, digits, spaces and hyphens) occurs in the text."""
-    return text.rlike("|".join(words))
+    """Any of the words occurs in the text. Plain substring tests, far cheaper than a regex."""
+    return _bound(text, lambda s: reduce(lambda a, b: a | b, [s.contains(w) for w in words]))
 
 
 def page_reject_reason() -> Column:
@@ -86,18 +92,18 @@ def relevance(
     category: Column, *texts: Column, terms: Mapping[str, tuple[str, ...]] = RELEVANT_TERMS
 ) -> Column:
     """Five points per category term in the joined text, three for "photograph"."""
-    text = F.lower(F.concat_ws(" ", *texts))
-
-    def points(words: tuple[str, ...]) -> Column:
-        total = F.lit(0)
-        for word in words:
-            total = total + F.when(text.contains(word), 5).otherwise(0)
-        return total
-
-    scored = F.lit(0)
-    for name, words in terms.items():
-        scored = F.when(category == name, points(words)).otherwise(scored)
-    return scored + F.when(text.contains("photograph"), 3).otherwise(0)
+
+    def points(text: Column, words: tuple[str, ...]) -> Column:
+        hits = [F.when(text.contains(word), 5).otherwise(0) for word in words]
+        return reduce(lambda a, b: a + b, hits)
+
+    def score(text: Column) -> Column:
+        scored = F.lit(0)
+        for name, words in terms.items():
+            scored = F.when(category == name, points(text, words)).otherwise(scored)
+        return scored + F.when(text.contains("photograph"), 3).otherwise(0)
+
+    return _bound(F.lower(F.concat_ws(" ", *texts)), score)
 
 
 def rank_and_take(candidates: DataFrame, targets: Mapping[str, int] = TARGETS) -> DataFrame:

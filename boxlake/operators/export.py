@@ -43,7 +43,11 @@ def yolo_label_texts(
         boxes, images.select("image_id", "width", "height"), ["image_id"], "inner", ["det_idx"]
     )
     lines = yolo_lines(sized).select("image_id", "det_idx", "line")
-    parted = skew.with_part(lines, ["image_id"], [F.col("det_idx")], rows_per_part)
+    # Counted on the plain boxes, which is cheaper than on the joined lines and never smaller.
+    if skew.hot_groups(boxes, ["image_id"], rows_per_part) is None:
+        parted = lines.withColumn("part_no", F.lit(0).cast("long"))
+    else:
+        parted = skew.with_part(lines, ["image_id"], [F.col("det_idx")], rows_per_part)
     texts = parted.groupBy("image_id", "part_no").agg(
         F.array_sort(F.collect_list(F.struct("det_idx", "line"))).alias("_l")
     ).select(

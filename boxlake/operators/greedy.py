@@ -271,15 +271,16 @@ def greedy_links(
     keys: Sequence[str],
     rule: Rule,
     order_key: str = "det_idx",
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT,
     link: bool = True,
 ) -> DataFrame:
     """All rows plus `suppressed_by` (null for kept rows; see `_fold` for `link`).
 
     Boxes of a group are visited by confidence descending, then `order_key` ascending, which must
-    be unique in the group.
+    be unique in the group. `group_limit=None` skips the count of hot groups, for input whose groups
+    are known to be small (for instance boxes already capped per image).
     """
-    cool, hot = skew.split_hot(df, keys, group_limit)
+    cool, hot = (df, None) if group_limit is None else skew.split_hot(df, keys, group_limit)
     result = _fold(cool, keys, order_key, rule, link)
     if hot is None:
         return result

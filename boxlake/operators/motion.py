@@ -31,10 +31,6 @@ class FlowOptions:
     texture: float = 18.0
 
 
-def _half_up(value: float) -> int:
-    return math.floor(value + 0.5)
-
-
 def box_flow(
     previous: np.ndarray, current: np.ndarray, box: tuple, options: FlowOptions = FlowOptions()
 ) -> tuple[float, float, float] | None:
@@ -48,25 +44,30 @@ def box_flow(
     y1, y2 = (max(margin, min(height - margin, v)) for v in (box[1], box[3]))
     if x2 - x1 < 2 or y2 - y1 < 2:
         return None
-    moves = []
-    for gy in range(n):
-        for gx in range(n):
-            x = _half_up(x1 + (gx + 0.5) / n * (x2 - x1))
-            y = _half_up(y1 + (gy + 0.5) / n * (y2 - y1))
-            patch = previous[y - r : y + r + 1, x - r : x + r + 1].astype(float)
-            if patch.std() < options.texture:
-                continue
-            area = current[y - margin : y + margin + 1, x - margin : x + margin + 1].astype(float)
-            windows = np.lib.stride_tricks.sliding_window_view(area, patch.shape)
-            errors = np.abs(windows - patch).sum(axis=(2, 3))
-            best = int(errors.argmin())  # row-major: the first minimum wins
-            moves.append((best % errors.shape[1] - s, best // errors.shape[1] - s))
-    if len(moves) < max(2, math.ceil(n * n * 0.2)):
+    steps = (np.arange(n) + 0.5) / n
+    xs = np.tile(np.floor(x1 + steps * (x2 - x1) + 0.5).astype(int), n)
+    ys = np.repeat(np.floor(y1 + steps * (y2 - y1) + 0.5).astype(int), n)
+
+    def squares(frame: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+        span = np.arange(-reach, reach + 1)
+        return frame[
+            (ys[at, None] + span)[:, :, None], (xs[at, None] + span)[:, None, :]
+        ].astype(np.int32)
+
+    everywhere = np.arange(n * n)
+    patches = squares(previous, r, everywhere)
+    rich = patches.std(axis=(1, 2)) >= options.texture
+    if rich.sum() < max(2, math.ceil(n * n * 0.2)):
         return None
-    found = np.array(moves, dtype=float)
+    patches = patches[rich]
+    areas = squares(current, margin, everywhere[rich])
+    windows = np.lib.stride_tricks.sliding_window_view(areas, patches.shape[1:], axis=(1, 2))
+    errors = np.abs(windows - patches[:, None, None]).sum(axis=(3, 4))
+    best = errors.reshape(len(patches), -1).argmin(axis=1)  # row-major: the first minimum wins
+    found = np.stack([best % (2 * s + 1) - s, best // (2 * s + 1) - s], axis=1).astype(float)
     dx, dy = np.median(found[:, 0]), np.median(found[:, 1])
     spread = np.median(np.hypot(found[:, 0] - dx, found[:, 1] - dy))
-    reliability = (1 / (1 + spread)) * (len(moves) / (n * n))
+    reliability = (1 / (1 + spread)) * (len(found) / (n * n))
     return float(dx), float(dy), float(max(0.0, min(1.0, reliability)))
 
 

@@ -107,13 +107,17 @@ def review_status(images: DataFrame, review: DataFrame) -> DataFrame:
 
 def queue_totals(images: DataFrame, review: DataFrame) -> DataFrame:
     """One row: pending images, edited images and boxes that would be exported."""
-    boxes = active_boxes(review).agg(F.count(F.lit(1)).alias("boxes")).withColumn("_k", F.lit(1))
-    totals = images.agg(
-        F.count(F.lit(1)).alias("images"),
-        F.count_if(F.col("analyzed") & ~F.col("image_approved")).alias("pending"),
-        F.count_if("review_edited").alias("edited"),
-    ).withColumn("_k", F.lit(1))
-    return totals.join(boxes, "_k").drop("_k")
+    spine = images.select(
+        F.lit(True).alias("_image"), (F.col("analyzed") & ~F.col("image_approved")).alias("_p"),
+        F.col("review_edited").alias("_e"),
+    )
+    boxes = active_boxes(review).select(
+        F.lit(False).alias("_image"), F.lit(False).alias("_p"), F.lit(False).alias("_e")
+    )
+    return spine.unionByName(boxes).agg(
+        F.count_if("_image").alias("images"), F.count_if("_p").alias("pending"),
+        F.count_if("_e").alias("edited"), F.count_if(~F.col("_image")).alias("boxes"),
+    )
 
 
 def approval_state(events: DataFrame) -> DataFrame:

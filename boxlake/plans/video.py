@@ -131,18 +131,33 @@ def track_assign_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     overlap = g.iou(g.field_box(F.col("b")), g.box())
     follows = F.col("b").isNotNull()
-    links = last.agg(
-        F.count_if(follows & (F.col("frame_idx") - F.col("b.frame_idx") > MAX_GAP)).alias("long_gaps"),
-        F.count_if(follows & (overlap < tracking.MATCH_IOU)).alias("weak_links"),
-        F.count_if(~follows & (F.col("confidence") < 0.5)).alias("weak_starts"),
-    ).withColumn("k", F.lit(1))
-    totals = tracked.agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.count_if(F.col("start_frame").isNull() & (F.col("confidence") >= 0.5))
-        .alias("strong_untracked"),
-    ).withColumn("k", F.lit(1))
-    doubled = shared.agg(F.count(F.lit(1)).alias("shared_frames")).withColumn("k", F.lit(1))
-    return totals.join(links, "k").join(doubled, "k").drop("k")
+    gap = F.col("frame_idx") - F.col("b.frame_idx")
+    parts = [
+        tracked.select(
+            F.lit("observations").alias("rule"), F.lit(True).alias("hit")
+        ),
+        shared.select(F.lit("shared_frames").alias("rule"), F.lit(True).alias("hit")),
+        last.select(F.explode(F.array(*[
+            F.struct(F.lit(name).alias("rule"), F.coalesce(hit, F.lit(False)).alias("hit"))
+            for name, hit in (
+                ("long_gaps", follows & (gap > MAX_GAP)),
+                ("weak_links", follows & (overlap < tracking.MATCH_IOU)),
+                ("weak_starts", ~follows & (F.col("confidence") < 0.5)),
+            )
+        ])).alias("c")).select("c.*"),
+        tracked.select(
+            F.lit("strong_untracked").alias("rule"),
+            (F.col("start_frame").isNull() & (F.col("confidence") >= 0.5)).alias("hit"),
+        ),
+    ]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    names = ("observations", "shared_frames", "long_gaps", "weak_links", "weak_starts",
+             "strong_untracked")
+    return stacked.agg(*[
+        F.count_if(F.col("hit") & (F.col("rule") == name)).alias(name) for name in names
+    ])
 
 
 # Tracks with a closed SQL form: sessions of lane 0, visible above the exit confidence, with a new
@@ -381,8 +396,9 @@ def flow_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @video.add("motion_flow")
 def motion_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three frames per document: hashed noise, each frame shifted one pixel to the left."""
-    texture = "array_join(transform(sequence(0, 59), i -> sha2(concat(text, CAST(i AS STRING)), 256)), '')"
-    frames = table(spark, sf_dir, "documents").selectExpr(
+    texture = "array_join(transform(sequence(0, 59), i -> sha2(concat(d, CAST(i AS STRING)), 256)), '')"
+    digests = table(spark, sf_dir, "documents").selectExpr("doc_id", "sha2(text, 256) AS d")
+    frames = digests.selectExpr(
         "doc_id AS video_id", f"unhex({texture}) AS noise", "explode(sequence(0, 2)) AS f"
     ).selectExpr(
         "video_id", "CAST(f AS BIGINT) AS frame_idx", "f * 0.25D AS t", "48 AS width", "40 AS height",
