@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake import skew
-from boxlake.sequential import fold_sorted
+from boxlake.sequential import GROUP_LIMIT, fold_sorted
 
 VECTOR = ("cx", "cy", "w", "h")
-FOLD_LIMIT = 4_000
+FOLD_LIMIT = 500
 
 
 def box_vectors(df: DataFrame) -> DataFrame:
@@ -85,12 +85,13 @@ def _fold_direction(rows: Column, tau: float) -> Column:
 
 
 def smooth_tracks(
-    observations: DataFrame, keys: Sequence[str], tau: float, limit: int = FOLD_LIMIT
+    observations: DataFrame, keys: Sequence[str], tau: float, limit: int = FOLD_LIMIT,
+    round_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """(keys, t, s_cx, s_cy, s_w, s_h): forward and backward exponential smoothing, averaged.
 
     `observations` carries t and a box; times are unique per group. Groups above `limit` rows use
-    two ordered folds in bounded rounds instead of one array.
+    two ordered streaming folds instead of one array, in rounds of `round_limit` rows.
     """
     rows = box_vectors(observations).select(*keys, "t", *VECTOR)
     cool, hot = skew.split_hot(rows, keys, limit)
@@ -107,10 +108,10 @@ def smooth_tracks(
     )
     if hot is None:
         return result
-    forward = fold_sorted(hot, keys, ["t"], _Ewma(tau, "f", ()), group_limit=limit)
+    forward = fold_sorted(hot, keys, ["t"], _Ewma(tau, "f", ()), group_limit=round_limit)
     carried = tuple((f"f_{v}", "double") for v in VECTOR)
     backward = fold_sorted(
-        forward, keys, ["t"], _Ewma(tau, "b", carried), group_limit=limit, descending=True
+        forward, keys, ["t"], _Ewma(tau, "b", carried), group_limit=round_limit, descending=True
     )
     return result.unionByName(backward.select(
         *keys, "t", *[((F.col(f"f_{v}") + F.col(f"b_{v}")) / 2).alias(f"s_{v}") for v in VECTOR]

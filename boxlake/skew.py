@@ -239,15 +239,18 @@ def carried_next(
 ) -> DataFrame:
     """First non-null `value` after each row of a key; the mirror image of `carried_last`."""
     valued = df.withColumn("_value", value)
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    frame = inside.rowsBetween(1, Window.unboundedFollowing)
-    local = valued.withColumn("_local", F.first("_value", ignorenulls=True).over(frame))
+    # Read backwards: a frame that grows from the start is linear, one that shrinks is quadratic.
+    backwards = [F.col(c).desc() for c in order]
+    inside = Window.partitionBy(*keys, chunk).orderBy(*backwards)
+    frame = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = valued.withColumn("_local", F.last("_value", ignorenulls=True).over(frame))
     known = F.when(F.col("_value").isNotNull(), F.struct(*order))
     head = valued.groupBy(*keys, chunk).agg(F.min_by("_value", known).alias("_tail"))
     return _attach_carry(
         local, head, keys, chunk, name,
-        F.first("_tail", ignorenulls=True).over(
-            Window.partitionBy(*keys).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)
+        F.last("_tail", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy(F.col(chunk).desc())
+            .rowsBetween(Window.unboundedPreceding, -1)
         ),
     )
 
