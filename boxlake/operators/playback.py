@@ -108,7 +108,11 @@ def smooth_tracks(
     )
     if hot is None:
         return result
-    forward = fold_sorted(hot, keys, ["t"], _Ewma(tau, "f", ()), group_limit=round_limit)
+    # Both passes read materialised rows, so nothing upstream is computed again per pass or count.
+    hot = skew.checkpointed(hot)
+    forward = skew.checkpointed(
+        fold_sorted(hot, keys, ["t"], _Ewma(tau, "f", ()), group_limit=round_limit)
+    )
     carried = tuple((f"f_{v}", "double") for v in VECTOR)
     backward = fold_sorted(
         forward, keys, ["t"], _Ewma(tau, "b", carried), group_limit=round_limit, descending=True
