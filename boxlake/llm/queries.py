@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxlake.llm import quality, urls
+from boxlake.llm import quality, sharding, toxicity, urls
 from boxlake.llm.frames import table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -23,4 +24,18 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_rules, op5_line_quality)}
+def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op9_balanced_shards)
+}
