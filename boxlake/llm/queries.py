@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import quality, sharding, toxicity, urls
+from boxlake.llm import pieces, quality, sharding, token_files, toxicity, urls
 from boxlake.llm.frames import table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = (
     ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"),
     ("allow", "org/fr/"),
@@ -35,7 +38,21 @@ def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.shared_folder(spark, "token-files")
+    manifest = token_files.write(docs, folder, WORD_PIECES, end_id=1)
+    return token_files.read(token_files.keys_of(docs), manifest).drop("occurrence")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op9_balanced_shards)
+    for f in (
+        op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op8_token_files,
+        op9_balanced_shards,
+    )
 }
