@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import pieces, quality, sharding, token_files, toxicity, urls
+from boxlake.llm import minhash, pieces, quality, sharding, token_files, toxicity, urls
 from boxlake.llm.frames import table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -38,6 +38,10 @@ def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(table(spark, sf_dir, "documents"))
+
+
 def op2_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -52,7 +56,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op8_token_files,
+        op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op8_token_files,
         op9_balanced_shards,
     )
 }
