@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxlake.skew import checkpointed
+from boxlake.skew import checkpointed, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +46,28 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns)
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As materialised, but as compressed Parquet: for wide or many rows."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of a 2-d byte view: row i holds values[bounds[i]:bounds[i + 1]], end to end."""
+    flat = np.ascontiguousarray(values)
+    width = flat.itemsize * (flat.shape[1] if flat.ndim == 2 else 1)
+    offsets = (np.asarray(bounds, np.int64) * width).astype(np.int64)
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(bounds) - 1,
+        [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())],
+    ).cast(pa.binary())

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import minhash, pieces, quality, sharding, token_files, toxicity, urls
-from boxlake.llm.frames import table
+from boxlake.llm import minhash, pieces, quality, sharding, substrings, token_files, toxicity, urls
+from boxlake.llm.frames import shared_folder, table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,15 +48,19 @@ def op2_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = token_files.shared_folder(spark, "token-files")
+    folder = shared_folder(spark, "token-files")
     manifest = token_files.write(docs, folder, WORD_PIECES, end_id=1)
     return token_files.read(token_files.keys_of(docs), manifest).drop("occurrence")
 
 
+def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op8_token_files,
-        op9_balanced_shards,
+        op9_balanced_shards, op10_seed_extend,
     )
 }
