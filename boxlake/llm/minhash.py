@@ -307,3 +307,10 @@ def group(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", *keys).join(members, keys, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """One document of each group, with all its columns: the one of the lowest doc_id."""
+    dropped = group(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped_id"))
+    small = sized_broadcast(materialised(dropped.distinct()), BROADCAST_IDS)
+    return docs.join(small, docs["doc_id"] == small["_dropped_id"], "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import minhash, pieces, quality, sharding, substrings, token_files, toxicity, urls
+from boxlake.llm import decontaminate, minhash, pieces, quality, sharding, substrings, token_files, toxicity, urls
 from boxlake.llm.frames import shared_folder, table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -46,6 +46,10 @@ def op2_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "token-files")
@@ -60,7 +64,7 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op8_token_files,
-        op9_balanced_shards, op10_seed_extend,
+        op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op7_qgram_leaks,
+        op8_token_files, op9_balanced_shards, op10_seed_extend,
     )
 }
