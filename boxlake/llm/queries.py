@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import decontaminate, minhash, pieces, quality, sharding, substrings, token_files, toxicity, urls
+from boxlake.llm import decontaminate, minhash, pieces, quality, sharding, substrings, suffixes, token_files, toxicity, urls
 from boxlake.llm.frames import shared_folder, table
 from boxlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -23,6 +23,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,8 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op5_line_quality, op6_lexicon_toxicity, op7_qgram_leaks,
+        op1_minhash_groups, op2_piece_viterbi, op3_url_rules, op4_suffix_repeats,
+        op5_line_quality, op6_lexicon_toxicity, op7_qgram_leaks,
         op8_token_files, op9_balanced_shards, op10_seed_extend,
     )
 }

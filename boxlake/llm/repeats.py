@@ -70,7 +70,7 @@ def settle(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(removed, open) claims. Removed: an equal span of the anchor starts earlier (`within`: in a
     smaller document or before it in the same one; else: in a smaller document). Open: the first
-    claim of its span, where the anchor has other spans too."""
+    claim of its span (else: all claims of its first document), where the anchor has other spans too."""
     order = np.lexsort((first, doc, span, anchor))
     a, s, d, f = anchor[order], span[order], doc[order], first[order]
     new_anchor = np.ones(len(a), bool)
@@ -86,7 +86,7 @@ def settle(
     spans = np.bincount(key[new_span])[key] if len(key) else key
     removed, opened = np.zeros(len(a), bool), np.zeros(len(a), bool)
     removed[order] = later
-    opened[order] = new_span & (spans > 1)
+    opened[order] = (new_span if within else d == d0) & (spans > 1)
     return removed, opened
 
 
