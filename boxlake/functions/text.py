@@ -59,7 +59,7 @@ def natural_key(name: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
         return F.when(
             run.rlike("^[0-9]"),
-            F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits),
+            F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits),
         ).otherwise(run)
 
     return F.array_join(F.transform(runs, encode), "")

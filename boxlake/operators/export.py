@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +16,6 @@ from boxlake.functions.classes import class_id_of, display_class
 from boxlake.functions.text import fixed, trimmed_decimal
 from boxlake.schemas import CLASS_NAMES
 
-ROWS_PER_PART = 1000
-
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:
     """Boxes with `line`, dropping boxes that are invalid before or after clamping.
@@ -31,36 +34,15 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
     return valid.withColumn("line", line)
 
 
-def yolo_label_texts(
-    images: DataFrame, boxes: DataFrame, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """(image_id, part_no, lines, label_text) for every image; no boxes gives an empty text.
+def yolo_label_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(image_id, det_idx, line): the label lines of every image, one row each.
 
-    Parts of one image, taken in order, are its label file. Only an image with more than
-    `rows_per_part` boxes has more than one.
+    An image without a valid box has one row without det_idx and line, so that its empty file is
+    written too. Lines in the order of det_idx are the file; no image is ever folded into one row.
     """
-    sized = skew.skew_join(
-        boxes, images.select("image_id", "width", "height"), ["image_id"], "inner", ["det_idx"]
-    )
+    sized = boxes.join(images.select("image_id", "width", "height"), "image_id")
     lines = yolo_lines(sized).select("image_id", "det_idx", "line")
-    # Counted on the plain boxes, which is cheaper than on the joined lines and never smaller.
-    if skew.hot_groups(boxes, ["image_id"], rows_per_part) is None:
-        parted = lines.withColumn("part_no", F.lit(0).cast("long"))
-    else:
-        parted = skew.with_part(lines, ["image_id"], [F.col("det_idx")], rows_per_part)
-    texts = parted.groupBy("image_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("det_idx", "line"))).alias("_l")
-    ).select(
-        "image_id", "part_no", F.size("_l").cast("long").alias("lines"),
-        F.concat(F.array_join(F.transform("_l", lambda r: r.getField("line")), "\n"), F.lit("\n"))
-        .alias("label_text"),
-    )
-    return images.select("image_id").join(texts, "image_id", "left").select(
-        "image_id",
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.coalesce("lines", F.lit(0)).alias("lines"),
-        F.coalesce("label_text", F.lit("")).alias("label_text"),
-    )
+    return images.select("image_id").join(lines, "image_id", "left")
 
 
 def audit_label_line(class_id: Column, *values: Column) -> Column:
@@ -68,36 +50,23 @@ def audit_label_line(class_id: Column, *values: Column) -> Column:
     return F.concat_ws(" ", class_id.cast("string"), *[trimmed_decimal(v) for v in values])
 
 
-def review_summary(
-    images: DataFrame, review: DataFrame, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """(image_id, part_no, approved, approved_empty, annotations JSON) for every image."""
+def review_records(images: DataFrame, review: DataFrame) -> DataFrame:
+    """(image_id, approved, approved_empty, det_idx, record JSON): one row per box, and one without
+    det_idx and record for an image without boxes."""
     active = review.groupBy("image_id").agg(F.count_if(~F.col("removed")).alias("_active"))
     record = F.struct(
         F.col("class_name").alias("class"), F.array("x1", "y1", "x2", "y2").alias("bbox"),
         "source", "confirmed", "removed",
         F.when(F.col("source") == "model", F.col("confidence")).alias("modelConfidence"),
     )
-    parted = skew.with_part(review, ["image_id"], [F.col("det_idx")], rows_per_part)
-    listed = parted.groupBy("image_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("det_idx", record.alias("r")))).alias("_r")
-    ).select(
-        "image_id", "part_no", F.size("_r").cast("long").alias("n"),
-        F.to_json(
-            F.transform("_r", lambda x: x.getField("r")), {"ignoreNullFields": "false"}
-        ).alias("annotations"),
-    )
-    joined = images.select("image_id", "image_approved").join(active, "image_id", "left").join(
-        listed, "image_id", "left"
+    records = review.select(
+        "image_id", "det_idx", F.to_json(record, {"ignoreNullFields": "false"}).alias("record")
     )
-    return joined.select(
-        "image_id",
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.col("image_approved").alias("approved"),
-        (F.col("image_approved") & (F.coalesce("_active", F.lit(0)) == 0)).alias("approved_empty"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce("annotations", F.lit("[]")).alias("annotations"),
+    empty = F.col("image_approved") & (F.coalesce("_active", F.lit(0)) == 0)
+    state = images.select("image_id", "image_approved").join(active, "image_id", "left").select(
+        "image_id", F.col("image_approved").alias("approved"), empty.alias("approved_empty")
     )
+    return state.join(records, "image_id", "left")
 
 
 def assign_splits(images: DataFrame, dataset: str = "dataset_id") -> DataFrame:
@@ -146,10 +115,53 @@ def descriptor_text(dataset_size: Column) -> Column:
     )
 
 
-def write_labels(texts: DataFrame, path: str, partition: str | None = None) -> None:
-    """Label texts as Parquet, optionally partitioned (by split)."""
-    writer = texts.write.mode("errorifexists")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+def write_files(
+    rows: DataFrame, folder: str, name: str, order: str, text: str, between: str = "\n",
+    around: tuple[str, str] = ("", "\n"),
+) -> DataFrame:
+    """One file per `name` with its texts in the order of `order`, streamed: a file of any size is
+    never held in memory. Returns (name, n) of the files.
+
+    A name whose only text is null gives a file of `around` alone, or an empty one if `around` opens
+    with nothing. `folder` is any location that the workers share; a file gets its name when complete,
+    so a repeated task replaces it.
+    """
+    opening, closing = around
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        current, stream, count, done = None, None, 0, []
+
+        def close():
+            if stream is not None:
+                if count or opening:
+                    stream.write(closing.encode())
+                stream.close()
+                store.move(f"{base}/.{current}.{attempt}", f"{base}/{current}")
+                done.append((current, count))
+
+        for batch in batches:
+            names, texts = (batch.column(i).to_pylist() for i in range(2))
+            for key, value in zip(names, texts, strict=True):
+                if key != current:
+                    close()
+                    current, count = key, 0
+                    stream = store.open_output_stream(f"{base}/.{key}.{attempt}")
+                    stream.write(opening.encode())
+                if value is not None:
+                    stream.write(((between if count else "") + value).encode())
+                    count += 1
+        close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())],
+            ["name", "n"],
+        )
+
+    named = rows.select(F.col(name).cast("string").alias("name"), F.col(text), F.col(order))
+    placed = named.repartition("name").sortWithinPartitions("name", order).select("name", text)
+    return placed.mapInArrow(run, "name string, n long")
 
 
 def write_manifests(decisions: DataFrame, path: str) -> None:

@@ -235,22 +235,27 @@ def _rounds(
         last = best.groupBy(*keys).agg(
             F.min(F.struct("confidence", (-F.col(order_key)).alias("_neg"))).alias("_last")
         )
-        salts = max(1, -(-rows // BLOCK_ROWS))
-        salted = remaining.withColumn(
-            "_salt", F.pmod(F.xxhash64(order_key), F.lit(salts)).cast("int")
+        # Blocks are counted per group: a group below BLOCK_ROWS has one and copies nothing.
+        sizes = remaining.groupBy(*keys).agg(
+            F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_salts")
         )
-        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        state = skew.sized_broadcast(last.join(sizes, list(keys)))
         behind = (
-            salted.join(last.withColumn("_salt", spread), [*keys, "_salt"])
+            remaining.join(state, list(keys))
             .filter(F.struct("confidence", (-F.col(order_key)).alias("_neg")) < F.col("_last"))
-            .drop("_last")
+            .withColumn("_salt", F.pmod(F.xxhash64(order_key), F.col("_salts")).cast("int"))
+            .drop("_last", "_salts")
+        )
+        spread = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+        kept = kept.join(skew.sized_broadcast(sizes), list(keys)).withColumn("_salt", spread).drop(
+            "_salts"
         )
         schema = ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema.fields
         ) + ", " + ", ".join(f"{n} {'bigint' if n == '_by_idx' else 'double'}" for n in _LINK)
         tested = skew.checkpointed(
             behind.groupBy(*keys, "_salt")
-            .cogroup(_fresh(kept.withColumn("_salt", spread)).groupBy(*keys, "_salt"))
+            .cogroup(_fresh(kept).groupBy(*keys, "_salt"))
             .applyInPandas(_block_filter(rule, hot.columns, order_key), schema)
         )
         by = F.struct(

@@ -509,7 +509,7 @@ def decode_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @boxes.add(
     "ensemble_fallback",
     """
-    WITH general AS (SELECT * FROM detections WHERE variant % 2 = 0 AND variant < 8),
+    WITH general AS (SELECT * FROM detections WHERE variant % 2 = 0),
     has AS (SELECT DISTINCT image_id FROM general WHERE class_name = 'water accumulation')
     SELECT image_id, det_idx, 'general' AS role, class_name, confidence FROM general
     UNION ALL
@@ -519,7 +519,7 @@ def decode_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ensemble_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _detections(spark, sf_dir)
-    general = rows.filter("variant % 2 = 0 AND variant < 8")
+    general = rows.filter("variant % 2 = 0")
     specialist = rows.filter("variant % 2 = 1").withColumn("class_name", F.lit("Water_damage"))
     return detect.ensemble_fallback(general, specialist).select(
         "image_id", "det_idx", "role", "class_name", "confidence"
@@ -551,20 +551,16 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 @boxes.add(
     "detection_json_out",
     """
-    SELECT image_id, part_no, count(*) AS n,
-           '[' || string_agg('{"class":"' || class_name || '","confidence":'
-               || CAST(confidence AS VARCHAR) || ',"bbox":[' || CAST(x1 AS VARCHAR) || ','
-               || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR) || ']}',
-               ',' ORDER BY det_idx) || ']' AS body
-    FROM (SELECT * REPLACE (confidence + 1 AS confidence),
-                 (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no
-          FROM detections) AS d GROUP BY image_id, part_no""",
+    SELECT image_id, det_idx, '{"class":"' || class_name || '","confidence":'
+               || CAST(confidence + 1 AS VARCHAR) || ',"bbox":[' || CAST(x1 AS VARCHAR) || ','
+               || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR) || ']}' AS record
+    FROM detections""",
     ("detections",),
 )
 def detection_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Shifted by one, so that no confidence is printed with an exponent.
     rows = _detections(spark, sf_dir).withColumn("confidence", F.col("confidence") + 1)
-    return det_source.detections_json(rows)
+    return det_source.detection_records(rows)
 
 
 INGEST_SQL = """

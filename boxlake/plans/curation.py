@@ -128,7 +128,7 @@ def candidate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH s AS (
         SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'by-nc' WHEN 1 THEN NULL WHEN 2 THEN 'BY' WHEN 3 THEN 'cc0' ELSE 'by-sa' END AS license,
                CASE doc_id % 4 WHEN 0 THEN 'Flickr' WHEN 1 THEN 'nasa' WHEN 2 THEN 'wikimedia' ELSE 'stocksite' END AS source,
-               lower(concat(coalesce(left(text, 40), ''), ' ', lang, ' ', CASE WHEN doc_id % 9 = 2 THEN 'Digital Art' ELSE 'tag' END)) AS text,
+               lower(concat(coalesce(text, ''), ' ', lang, ' ', CASE WHEN doc_id % 9 = 2 THEN 'Digital Art' ELSE 'tag' END)) AS text,
                CASE WHEN doc_id % 13 = 3 THEN '' ELSE 'u' END AS url, 250 + doc_id % 300 AS side FROM documents)
     SELECT doc_id, text, CASE WHEN license IS NULL OR lower(license) NOT IN ('cc0', 'pdm', 'by', 'by-sa') THEN 'license not in allowlist'
              WHEN lower(source) NOT IN ('flickr', 'wikimedia', 'nasa', 'smithsonian', 'clevelandmuseum') THEN 'source not in allowlist: ' || lower(source)
@@ -141,7 +141,7 @@ def search_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "CASE doc_id % 5 WHEN 0 THEN 'by-nc' WHEN 1 THEN NULL WHEN 2 THEN 'BY' WHEN 3 THEN 'cc0' ELSE 'by-sa' END AS license",
         "CASE doc_id % 4 WHEN 0 THEN 'Flickr' WHEN 1 THEN 'nasa' WHEN 2 THEN 'wikimedia' ELSE 'stocksite' END AS source",
-        "left(text, 40) AS title",
+        "text AS title",
         "array(named_struct('name', lang), named_struct('name', IF(doc_id % 9 = 2, 'Digital Art', 'tag'))) AS tags",
         "IF(doc_id % 13 = 3, '', 'u') AS url", "250 + doc_id % 300 AS width", "250 + doc_id % 300 AS height",
     )
@@ -200,12 +200,13 @@ def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HASH_SPARK = (
-    "aggregate(sequence(1, 63), 0L, "
-    "(a, i) -> a + IF(embedding[i - 1] > 0, shiftleft(1L, i - 1), 0L))"
+    "aggregate(sequence(1, 64), 0L, "
+    "(a, i) -> a | IF(embedding[i - 1] > 0, shiftleft(1L, i - 1), 0L))"
 )
 _HASH_SQL = (
-    "CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 "
-    "THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT)"
+    "(CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 "
+    "THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) "
+    "+ CASE WHEN embedding[64] > 0 THEN CAST(-9223372036854775808 AS BIGINT) ELSE 0 END)"
 )
 
 
@@ -227,18 +228,15 @@ def near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id + 1000000 AS id",
         "array(h ^ (shiftleft(1L, CAST(vec_id % 8 AS INT)) - 1)) AS words",
     )
-    flagged = neardup.flag_near_duplicates(candidates, known, words=1, word_bits=63)
+    flagged = neardup.flag_near_duplicates(candidates, known, words=1, word_bits=64)
     return flagged.select("id", F.get("words", F.lit(0)).alias("h"), "near_duplicate")
 
 
-_LOW_BITS = (1 << 24) - 1
-
-
 def _quota_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with 24 live bits, so that near pairs are common, flagged against known ones."""
+    """Candidates flagged against known ones."""
     rows = _hashes(spark, sf_dir).selectExpr(
         "vec_id AS id", f"{_CATEGORY.format('vec_id')} AS category",
-        f"array(h & {_LOW_BITS}L) AS words", "CAST((vec_id * 37) % 11 AS INT) AS relevance",
+        "array(h) AS words", "CAST((vec_id * 37) % 11 AS INT) AS relevance",
         "concat('T', CAST((vec_id * 7919) % 1009 AS STRING)) AS title",
         "(vec_id * 53) % 400 < 30 AS too_small",
     )
@@ -250,7 +248,7 @@ def _quota_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUOTA_CTE = f"""
     WITH RECURSIVE raw AS (
-        SELECT vec_id AS id, vec_id % 3 AS c, {_CATEGORY.format('vec_id')} AS category, {_HASH_SQL} & {_LOW_BITS} AS h,
+        SELECT vec_id AS id, vec_id % 3 AS c, {_CATEGORY.format('vec_id')} AS category, {_HASH_SQL} AS h,
                (vec_id * 37) % 11 AS relevance, 'T' || CAST((vec_id * 7919) % 1009 AS VARCHAR) AS title,
                (vec_id * 53) % 400 < 30 AS too_small FROM embeddings),
     flagged AS (
@@ -300,8 +298,9 @@ def quota_select_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The search feed prefers one source, then sorts by title.
     rows = _quota_inputs(spark, sf_dir).withColumn(
         "order_key",
+        # A separator below every other character keeps the order of the columns themselves.
         F.concat_ws(
-            "/", F.when(F.col("relevance") == 3, "0").otherwise("1"), F.rpad(F.lower("title"), 8, " "),
+            "\0", F.when(F.col("relevance") == 3, "0").otherwise("1"), F.lower("title"),
             F.lpad(F.col("id").cast("string"), 19, "0"),
         ),
     )
@@ -358,13 +357,13 @@ def manifest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     "first_wins_dedupe",
     """
     SELECT category, title, seq, doc_id, query FROM (
-        SELECT doc_id % 3 AS category, left(text, 12) AS title, n_chars % 7 AS seq, doc_id, source AS query,
-               row_number() OVER (PARTITION BY doc_id % 3, left(text, 12) ORDER BY n_chars % 7, doc_id) AS rn FROM documents) AS d
+        SELECT doc_id % 3 AS category, text AS title, n_chars % 7 AS seq, doc_id, source AS query,
+               row_number() OVER (PARTITION BY doc_id % 3, text ORDER BY n_chars % 7, doc_id) AS rn FROM documents) AS d
     WHERE rn = 1""",
 )
 def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id % 3 AS category", "left(text, 12) AS title", "n_chars % 7 AS seq", "doc_id",
+        "doc_id % 3 AS category", "text AS title", "n_chars % 7 AS seq", "doc_id",
         "source AS query",
     )
     return dedupe.first_wins(found, ["category", "title"], ["seq", "doc_id"])

@@ -186,7 +186,7 @@ def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     WHEN event_type = 'view' THEN 'image/jpeg' WHEN event_type = 'click' THEN 'image/png'
                     WHEN event_type = 'purchase' THEN 'video/mp4'
                     WHEN event_type = 'signup' THEN 'application/pdf' END AS mime
-        FROM events WHERE user_id % 4 <> 2 OR event_type <> 'purchase'
+        FROM events
         UNION ALL
         SELECT event_id + 1000000000, false, 'video/webm' FROM events WHERE event_type = 'error'),
     n AS (
@@ -205,7 +205,7 @@ def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def media_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    uploads = events.filter("user_id % 4 <> 2 OR event_type <> 'purchase'").selectExpr(
+    uploads = events.selectExpr(
         "user_id AS upload_id", "user_id % 4 = 0 AS folder",
         "CASE WHEN user_id % 4 IN (1, 2) AND event_type <> 'purchase' THEN 'image/jpeg' "
         "WHEN event_type = 'view' THEN 'image/jpeg' WHEN event_type = 'click' THEN 'image/png' "
@@ -257,18 +257,15 @@ def media_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT image_id, det_idx, concat_ws(' ', CAST(class_id AS VARCHAR),
                printf('%.6f', round((x1 + x2) / 2 / 600, 6)), printf('%.6f', round((y1 + y2) / 2 / 450, 6)),
                printf('%.6f', round((x2 - x1) / 600, 6)), printf('%.6f', round((y2 - y1) / 450, 6))) AS line
-        FROM sized WHERE x2 > x1 AND y2 > y1),
-    parts AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no FROM lines),
-    texts AS (SELECT image_id, part_no, count(*) AS lines, string_agg(line, chr(10) ORDER BY det_idx) || chr(10) AS label_text
-              FROM parts GROUP BY image_id, part_no)
-    SELECT image_id, coalesce(part_no, 0) AS part_no, coalesce(lines, 0) AS lines, coalesce(label_text, '') AS label_text
-    FROM images LEFT JOIN texts USING (image_id)""",
+        FROM sized WHERE x2 > x1 AND y2 > y1)
+    SELECT image_id, det_idx, line
+    FROM images LEFT JOIN lines USING (image_id)""",
     ("images", "review_detections"),
 )
 def yolo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = images(spark, sf_dir).withColumns({"width": F.lit(600.0), "height": F.lit(450.0)})
     rows = derived(spark, sf_dir, "review_detections").filter(~F.col("removed"))
-    return export.yolo_label_texts(
+    return export.yolo_label_lines(
         spine, rows.select("image_id", "det_idx", "class_name", "x1", "y1", "x2", "y2")
     )
 
@@ -599,7 +596,7 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH n AS (
         SELECT image_id, image_id // 6 AS dataset_id,
                row_number() OVER (PARTITION BY image_id // 6 ORDER BY original_index) AS image_index,
-               count(*) OVER (PARTITION BY image_id // 6) AS dataset_size FROM images WHERE image_id % 97 <> 5)
+               count(*) OVER (PARTITION BY image_id // 6) AS dataset_size FROM images)
     SELECT image_id, dataset_id, image_index, dataset_size,
            CASE WHEN dataset_size >= 5 THEN CASE WHEN image_index % 5 = 0 THEN 'valid' ELSE 'train' END
                 WHEN dataset_size >= 2 AND image_index = dataset_size THEN 'valid' ELSE 'train' END AS split
@@ -607,7 +604,7 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("images",),
 )
 def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = images(spark, sf_dir).filter("image_id % 97 <> 5").selectExpr(
+    rows = images(spark, sf_dir).selectExpr(
         "image_id", "original_index", "image_id div 6 AS dataset_id"
     )
     return export.assign_splits(rows).select(

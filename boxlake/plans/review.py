@@ -95,25 +95,22 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     "review_summary",
     """
     WITH n AS (
-        SELECT image_id, part_no, count(*) AS n,
-               '[' || string_agg('{"class":"' || class_name || '","bbox":[' || CAST(x1 AS VARCHAR) || ','
+        SELECT image_id, det_idx, '{"class":"' || class_name || '","bbox":[' || CAST(x1 AS VARCHAR) || ','
                    || CAST(y1 AS VARCHAR) || ',' || CAST(x2 AS VARCHAR) || ',' || CAST(y2 AS VARCHAR)
                    || '],"source":"' || source || '","confirmed":' || CAST(confirmed AS VARCHAR)
                    || ',"removed":' || CAST(removed AS VARCHAR) || ',"modelConfidence":'
-                   || CASE WHEN source = 'model' THEN CAST(confidence + 1 AS VARCHAR) ELSE 'null' END || '}',
-                   ',' ORDER BY det_idx) || ']' AS annotations
-        FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY det_idx) - 1) // 1000 AS part_no FROM review_detections) AS p
-        GROUP BY image_id, part_no)
-    SELECT i.image_id, coalesce(part_no, 0) AS part_no, image_approved AS approved,
-           image_approved AND i.image_id NOT IN (SELECT image_id FROM review_detections WHERE NOT removed) AS approved_empty, coalesce(n, 0) AS n,
-           coalesce(annotations, '[]') AS annotations
+                   || CASE WHEN source = 'model' THEN CAST(confidence + 1 AS VARCHAR) ELSE 'null' END || '}' AS record
+        FROM review_detections)
+    SELECT i.image_id, image_approved AS approved,
+           image_approved AND i.image_id NOT IN (SELECT image_id FROM review_detections WHERE NOT removed) AS approved_empty,
+           det_idx, record
     FROM images AS i LEFT JOIN n ON n.image_id = i.image_id""",
     ("images", "review_detections"),
 )
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Shifted by one, so that no confidence is printed with an exponent.
     rows = _review(spark, sf_dir).withColumn("confidence", F.col("confidence") + 1)
-    return export.review_summary(images(spark, sf_dir), rows)
+    return export.review_records(images(spark, sf_dir), rows)
 
 
 @reviews.add(

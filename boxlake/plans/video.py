@@ -53,14 +53,20 @@ def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH p AS (
         SELECT event_id AS video_id, value AS duration, rate, greatest(1, CAST(ceil(value * rate) AS BIGINT)) AS samples
-        FROM events, (VALUES (1), (2)) AS r(rate) WHERE ceil(value * rate) <= 60),
-    f AS (SELECT *, unnest(range(samples)) AS frame_idx FROM p)
-    SELECT video_id, rate, frame_idx, least(greatest(0, duration - 0.001::DOUBLE), frame_idx / rate) AS t FROM f""",
+        FROM events, (VALUES (1), (2), (4), (8), (15), (30), (60), (120)) AS r(rate) WHERE ceil(value * rate) <= 2000),
+    f AS (SELECT *, unnest(range(samples)) AS frame_idx FROM p),
+    t AS (SELECT video_id, rate, least(greatest(0, duration - 0.001::DOUBLE), frame_idx / rate) AS t FROM f)
+    SELECT video_id, rate, count(*) AS frames, min(t) AS first_t, max(t) AS last_t,
+           CAST(sum(CAST(floor(t * 1e6::DOUBLE) AS BIGINT)) AS BIGINT) AS sum_us FROM t GROUP BY video_id, rate""",
 )
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "events").selectExpr("event_id AS video_id", "value AS duration")
-    plans = tracking.sampling_plans(videos, 0.5, max_samples=60).filter("rate <= 2")
-    return tracking.sample_times(plans)
+    # Every sample of every plan, reported as one digest per plan.
+    times = tracking.sample_times(tracking.sampling_plans(videos, 0.5))
+    return times.groupBy("video_id", "rate").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+        F.sum(F.floor(F.col("t") * 1e6).cast("long")).alias("sum_us"),
+    )
 
 
 @video.add(
@@ -160,10 +166,10 @@ def track_assign_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-# Tracks with a closed SQL form: sessions of lane 0, visible above the exit confidence, with a new
+# Tracks with a closed SQL form: sessions of each lane, visible above the exit confidence, with a new
 # segment every ten days.
 _TRACKED_CTE = f"""
-    lane AS (SELECT * FROM observations WHERE det_idx % 2 = 0), {_SESSION_CTE.format(source='lane').strip()},
+    lane AS (SELECT * REPLACE (video_id * 2 + det_idx % 2 AS video_id) FROM observations), {_SESSION_CTE.format(source='lane').strip()},
     tracked AS (
         SELECT *, confidence >= 0.325::DOUBLE AS visible, CAST(frame_idx // 864000000 AS INTEGER) AS segment FROM sessions),
     summary AS (
@@ -173,11 +179,13 @@ _TRACKED_CTE = f"""
         FROM tracked GROUP BY 1, 2, 3),
     persistent AS (SELECT * FROM summary WHERE visible_observations >= 2)"""
 _KEYS = ["video_id", "class_name", "session_start"]
+# The two lanes of a video are tracked as videos of their own: inside a lane times are unique.
+_LANE = "video_id * 2 + det_idx % 2"
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lane = _observations(spark, sf_dir).filter("det_idx % 2 = 0")
-    return tracking.with_sessions(lane, MAX_GAP).withColumns({
+    lanes = _observations(spark, sf_dir).withColumn("video_id", F.expr(_LANE))
+    return tracking.with_sessions(lanes, MAX_GAP).withColumns({
         "visible": F.col("confidence") >= 0.325,
         "segment": F.expr("CAST(frame_idx div 864000000 AS INT)"),
     })
@@ -276,7 +284,7 @@ def smooth_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "asof_playback",
     """
     WITH o AS (
-        SELECT *, (x1 + x2) / 2 AS cx FROM observations WHERE det_idx % 2 = 0),
+        SELECT * REPLACE (video_id * 2 + det_idx % 2 AS video_id), (x1 + x2) / 2 AS cx FROM observations),
     p AS (SELECT video_id, CASE class_name WHEN 'pipe burst' THEN 'water drop' WHEN 'water drop' THEN 'water accumulation' ELSE 'pipe burst' END AS class_name,
                  frame_idx, det_idx AS probe_id FROM o),
     b AS (SELECT p.video_id, p.class_name, p.probe_id, p.frame_idx, o.frame_idx AS before_frame, o.cx AS before_cx
@@ -286,7 +294,8 @@ def smooth_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("observations",),
 )
 def asof_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = playback.box_vectors(_observations(spark, sf_dir).filter("det_idx % 2 = 0"))
+    lanes = _observations(spark, sf_dir).withColumn("video_id", F.expr(_LANE))
+    rows = playback.box_vectors(lanes)
     name = F.col("class_name")
     other = (
         F.when(name == "pipe burst", "water drop").when(name == "water drop", "water accumulation")
@@ -379,14 +388,14 @@ def playback_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "flow_consensus",
     """
     WITH p AS (
-        SELECT l_orderkey AS box_id, CAST(l_partkey % 13 - 6 AS DOUBLE) AS dx, CAST(l_suppkey % 7 - 3 AS DOUBLE) AS dy FROM lineitem WHERE l_linenumber <> 4),
+        SELECT l_orderkey AS box_id, CAST(l_partkey % 13 - 6 AS DOUBLE) AS dx, CAST(l_suppkey % 7 - 3 AS DOUBLE) AS dy FROM lineitem),
     m AS (SELECT box_id, median(dx) AS dx, median(dy) AS dy, count(*) AS points FROM p GROUP BY 1),
     s AS (SELECT p.box_id, median(sqrt((p.dx - m.dx) * (p.dx - m.dx) + (p.dy - m.dy) * (p.dy - m.dy))) AS spread FROM p JOIN m USING (box_id) GROUP BY 1)
     SELECT box_id, dx, dy, points, round(greatest(0, least(1, points / 16.0::DOUBLE / (spread + 1))), 9) AS reliability
     FROM m JOIN s USING (box_id) WHERE points >= 4""",
 )
 def flow_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patches = table(spark, sf_dir, "lineitem").filter("l_linenumber <> 4").selectExpr(
+    patches = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS box_id", "CAST(l_partkey % 13 - 6 AS DOUBLE) AS dx",
         "CAST(l_suppkey % 7 - 3 AS DOUBLE) AS dy",
     )

@@ -48,22 +48,15 @@ def ingest_json(docs: DataFrame, key: str = "doc_id", body: str = "body", strict
     return flagged.withColumn("reject_reason", whole).drop("_bad")
 
 
-def detections_json(df: DataFrame, rows_per_part: int = 1000) -> DataFrame:
-    """(image_id, part_no, n, body): JSON arrays of {class, confidence, bbox} in list order.
+def detection_records(df: DataFrame) -> DataFrame:
+    """(image_id, det_idx, record): one JSON object {class, confidence, bbox} per box.
 
-    An image with more than `rows_per_part` boxes becomes several ordered parts.
+    In the order of det_idx, between brackets, they are the image's document (`export.write_files`).
     """
-    parted = skew.with_part(df, ["image_id"], [F.col("det_idx")], rows_per_part)
     item = F.struct(
         F.col("class_name").alias("class"), "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox")
     )
-    listed = parted.groupBy("image_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("det_idx", item.alias("item")))).alias("_items")
-    )
-    return listed.select(
-        "image_id", "part_no", F.size("_items").cast("long").alias("n"),
-        F.to_json(F.transform("_items", lambda r: r.getField("item"))).alias("body"),
-    )
+    return df.select("image_id", "det_idx", F.to_json(item).alias("record"))
 
 
 def check_anchor_rows(anchors: DataFrame, class_count: int) -> DataFrame:
