@@ -88,7 +88,10 @@ def split_counts(images: DataFrame, labels: DataFrame, annotations: DataFrame) -
         F.count_if(F.col("_l") & F.col("_n").isNull()).alias("null_images"),
         *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
     )
-    return counted
+    # A split without images keeps its row of zeros.
+    spine = images.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    whole = spine.join(counted, "split", "left")
+    return whole.select("split", *[F.coalesce(n, F.lit(0)).alias(n) for n in counted.columns[1:]])
 
 
 def exact_duplicate_groups(rows: DataFrame, digest: str, name: str) -> DataFrame:
@@ -106,7 +109,7 @@ def keeper_scores(images: DataFrame, annotations: DataFrame) -> DataFrame:
     per_image = valid.groupBy("split", "stem").agg(
         F.count_if("valid").alias("valid_count"),
         F.count(F.lit(1)).alias("total_count"),
-        F.round(F.sum(F.col("w") * F.col("h")), 6).alias("total_area"),
+        F.sum((F.col("w") * F.col("h")).cast("decimal(28,12)")).alias("total_area"),
     )
     priority = literal_lookup(
         F.col("split"), {s: i for i, s in enumerate(SPLITS)}, F.lit(None).cast("int")
@@ -116,7 +119,7 @@ def keeper_scores(images: DataFrame, annotations: DataFrame) -> DataFrame:
         priority.alias("split_priority"),
         F.coalesce("valid_count", F.lit(0)).alias("valid_count"),
         F.coalesce("total_count", F.lit(0)).alias("total_count"),
-        F.coalesce("total_area", F.lit(0.0)).alias("total_area"),
+        F.coalesce("total_area", F.lit(0).cast("decimal(38,12)")).alias("total_area"),
     )
 
 
@@ -171,13 +174,19 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
 
 
 def violations(
-    images: DataFrame, labels: DataFrame, annotations: DataFrame, minimum_side: int = 256
+    images: DataFrame, labels: DataFrame, annotations: DataFrame,
+    descriptors: DataFrame | None = None, minimum_side: int = 256,
 ) -> DataFrame:
     """All audit findings as (severity, rule, split, subject).
 
-    `images` carries split, stem, digest, width and height.
+    `images` carries split, stem, digest, width, height, format, orientation and decode_error (null
+    for a sound image); `labels` split, stem and parse_error (null for a sound file); `descriptors`
+    (dataset_id, line) holds missing descriptor lines (`missing_lines`). An image that cannot be
+    decoded is reported once and takes part in no later rule; an unparsable label hides its lines.
     """
     pairs = pair_images_and_labels(images, labels)
+    unparsed = labels.filter(F.col("parse_error").isNotNull())
+    every_image, images = images, images.filter(F.col("decode_error").isNull())
 
     def finding(df: DataFrame, severity: str, rule: str, subject: str) -> DataFrame:
         return df.select(
@@ -187,10 +196,12 @@ def violations(
 
     smallest = F.least("width", "height")
     # Only annotations of an existing image count; invalid rows are few, so they are cut first.
-    present = skew.skew_join(
-        with_validity(annotations).filter("not valid"), images.select("split", "stem").distinct(), ["split", "stem"], "left_semi",
-        ["line_no"],
+    present = (
+        with_validity(annotations).filter("not valid")
+        .join(images.select("split", "stem").distinct(), ["split", "stem"], "left_semi")
+        .join(unparsed.select("split", "stem"), ["split", "stem"], "left_anti")
     )
+    hidden = unparsed.join(images.select("split", "stem"), ["split", "stem"], "left_semi")
     copies = images.groupBy("digest").agg(
         F.count(F.lit(1)).alias("copies"), F.min("split").alias("split")
     )
@@ -199,8 +210,23 @@ def violations(
         finding(pairs.filter("has_label and not has_image"), "error", "label has no image", "stem"),
         finding(present, "error", "invalid annotation", "stem"),
         finding(copies.filter("copies > 1"), "error", "exact duplicates remain", "digest"),
+        finding(
+            every_image.filter(F.col("decode_error").isNotNull()), "error", "image cannot be decoded",
+            "stem",
+        ),
+        finding(
+            images.filter(F.coalesce("orientation", F.lit(1)) != 1), "error",
+            "EXIF orientation remains", "stem",
+        ),
+        finding(images.filter(F.col("format") == "MPO"), "error", "image is MPO", "stem"),
+        finding(hidden, "error", "label cannot be parsed", "stem"),
         finding(images.filter(smallest < minimum_side), "warning", "low resolution", "stem"),
     ]
+    if descriptors is not None:
+        datasets = descriptors.select("dataset_id").distinct().withColumn(
+            "split", F.lit(None).cast("string")
+        )
+        parts.append(finding(datasets, "error", "descriptor does not match", "dataset_id"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -211,6 +237,15 @@ def audit_report(found: DataFrame) -> DataFrame:
     )
 
 
+def audit_verdict(found: DataFrame) -> DataFrame:
+    """One row (ok, errors, warnings): a dataset is fine when no error is left."""
+    counted = found.agg(
+        F.count_if(F.col("severity") == "error").alias("errors"),
+        F.count_if(F.col("severity") == "warning").alias("warnings"),
+    )
+    return counted.select((F.col("errors") == 0).alias("ok"), "errors", "warnings")
+
+
 def missing_lines(descriptors: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """(dataset_id, line) of every required descriptor line a dataset lacks."""
     wanted = descriptors.select("dataset_id").distinct().select(

@@ -24,14 +24,19 @@ _CONTENT = (
     "CASE WHEN image_id % 4 = 0 THEN concat('g', CAST(image_id // 16 AS VARCHAR(20))) "
     "ELSE concat('u', CAST(image_id AS VARCHAR(20))) END"
 )
+_FACTS = (
+    "CASE WHEN image_id % 41 = 7 THEN 6 WHEN image_id % 41 <> 8 THEN 1 END AS orientation, "
+    "CASE WHEN image_id % 43 = 5 THEN 'MPO' ELSE 'JPEG' END AS format, "
+    "CASE WHEN image_id % 53 = 11 THEN 'truncated file' END AS decode_error"
+)
+_PARSE = "CASE WHEN image_id % 47 = 9 THEN 'must contain five fields' END AS parse_error"
 _AUDIT_CTE = f"""
     audit_images AS (
         SELECT image_id, {_SPLIT} AS split, concat('img-', CAST(image_id AS VARCHAR)) AS stem, filename,
-               {_SIDE} AS width, height, sha256({_CONTENT}) AS digest
+               {_SIDE} AS width, height, sha256({_CONTENT}) AS digest, {_FACTS}
         FROM images WHERE image_id % 97 <> 0),
     audit_labels AS (
-        SELECT image_id, {_SPLIT} AS split, concat('img-', CAST(image_id AS VARCHAR)) AS stem
-        FROM images WHERE image_id % 89 <> 0),
+        SELECT image_id, {_SPLIT} AS split, concat('img-', CAST(image_id AS VARCHAR)) AS stem, {_PARSE} FROM images WHERE image_id % 89 <> 0),
     boxes AS (SELECT * FROM annotations WHERE image_id % 89 <> 0 AND image_id % 31 <> 0),
     checked AS (
         SELECT *, NOT (class_id BETWEEN 0 AND 2) AS class_fault, NOT (w > 0 AND h > 0) AS size_fault,
@@ -42,7 +47,7 @@ _AUDIT_CTE = f"""
 _SCORED_CTE = _AUDIT_CTE + """,
     per_image AS (
         SELECT split, stem, count(*) FILTER (valid) AS valid_count, count(*) AS total_count,
-               round(sum(w * h), 6) AS total_area FROM valid_boxes GROUP BY split, stem),
+               sum(CAST(w * h AS DECIMAL(28, 12))) AS total_area FROM valid_boxes GROUP BY split, stem),
     scored AS (
         SELECT i.*, CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS split_priority,
                coalesce(valid_count, 0) AS valid_count, coalesce(total_count, 0) AS total_count,
@@ -60,12 +65,13 @@ def _audit_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).filter("image_id % 97 <> 0").selectExpr(
         "image_id", f"{_SPLIT} AS split", "concat('img-', CAST(image_id AS STRING)) AS stem",
         "filename", f"{_SIDE} AS width", "height", f"sha2({content}, 256) AS digest",
+        *_FACTS.split(", "),
     )
 
 
 def _audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).filter("image_id % 89 <> 0").selectExpr(
-        "image_id", f"{_SPLIT} AS split", "concat('img-', CAST(image_id AS STRING)) AS stem"
+        "image_id", f"{_SPLIT} AS split", "concat('img-', CAST(image_id AS STRING)) AS stem", _PARSE,
     )
 
 
@@ -459,13 +465,14 @@ def stem_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     "split_counts",
     f"""
     WITH {_AUDIT_CTE.strip()}
-    SELECT i.split, count(DISTINCT i.image_id) AS images, count(b.line_no) AS annotations,
+    SELECT s.split, count(DISTINCT i.image_id) AS images, count(b.line_no) AS annotations,
            count(DISTINCT i.image_id) FILTER (l.stem IS NOT NULL AND b.line_no IS NULL) AS null_images,
            count(*) FILTER (b.class_id = 0) AS n_pipe_burst,
            count(*) FILTER (b.class_id = 1) AS n_water_accumulation,
            count(*) FILTER (b.class_id = 2) AS n_water_drop
-    FROM audit_images AS i LEFT JOIN audit_labels AS l ON l.image_id = i.image_id
-    LEFT JOIN boxes AS b ON b.image_id = i.image_id GROUP BY i.split""",
+    FROM (VALUES ('train'), ('valid'), ('test')) AS s(split) LEFT JOIN audit_images AS i ON i.split = s.split
+    LEFT JOIN audit_labels AS l ON l.image_id = i.image_id
+    LEFT JOIN boxes AS b ON b.image_id = i.image_id GROUP BY s.split""",
     ("images", "annotations"),
 )
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,29 +481,60 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataset.add(
-    "audit_report",
-    f"""
-    WITH {_AUDIT_CTE.strip()},
+_FOUND_CTE = _AUDIT_CTE + """,
+    sound AS (SELECT * FROM audit_images WHERE decode_error IS NULL),
+    unparsed AS (SELECT * FROM audit_labels WHERE parse_error IS NOT NULL),
     found AS (
         SELECT 'error' AS severity, 'image has no label' AS rule, split, stem AS subject FROM audit_images
         WHERE image_id NOT IN (SELECT image_id FROM audit_labels)
         UNION ALL SELECT 'error', 'label has no image', split, stem FROM audit_labels
         WHERE image_id NOT IN (SELECT image_id FROM audit_images)
         UNION ALL SELECT 'error', 'invalid annotation', split, stem FROM valid_boxes
-        WHERE NOT valid AND image_id IN (SELECT image_id FROM audit_images)
-        UNION ALL SELECT 'error', 'exact duplicates remain', min(split), digest FROM audit_images
+        WHERE NOT valid AND image_id IN (SELECT image_id FROM sound) AND image_id NOT IN (SELECT image_id FROM unparsed)
+        UNION ALL SELECT 'error', 'exact duplicates remain', min(split), digest FROM sound
         GROUP BY digest HAVING count(*) > 1
-        UNION ALL SELECT 'warning', 'low resolution', split, stem FROM audit_images WHERE least(width, height) < 256)
+        UNION ALL SELECT 'error', 'image cannot be decoded', split, stem FROM audit_images WHERE decode_error IS NOT NULL
+        UNION ALL SELECT 'error', 'EXIF orientation remains', split, stem FROM sound WHERE coalesce(orientation, 1) <> 1
+        UNION ALL SELECT 'error', 'image is MPO', split, stem FROM sound WHERE format = 'MPO'
+        UNION ALL SELECT 'error', 'label cannot be parsed', split, stem FROM unparsed WHERE image_id IN (SELECT image_id FROM sound)
+        UNION ALL SELECT 'error', 'descriptor does not match', NULL, CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey % 2 = 1
+        UNION ALL SELECT 'warning', 'low resolution', split, stem FROM sound WHERE least(width, height) < 256)"""
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One descriptor per region; every other one lacks its last line.
+    required = ("path: .", "nc: 3")
+    bodies = table(spark, sf_dir, "region").selectExpr(
+        "r_regionkey AS dataset_id", "IF(r_regionkey % 2 = 1, 'path: .', 'path: .\\nnc: 3') AS body"
+    )
+    return audit.violations(
+        _audit_images(spark, sf_dir), _audit_labels(spark, sf_dir), _annotations(spark, sf_dir),
+        audit.missing_lines(bodies, required),
+    )
+
+
+@dataset.add(
+    "audit_report",
+    f"""
+    WITH {_FOUND_CTE.strip()}
     SELECT severity, rule, split, count(*) AS findings, min(subject) AS first_subject
     FROM found GROUP BY severity, rule, split""",
     ("images", "annotations"),
 )
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.violations(
-        _audit_images(spark, sf_dir), _audit_labels(spark, sf_dir), _annotations(spark, sf_dir)
-    )
-    return audit.audit_report(found)
+    return audit.audit_report(_violations(spark, sf_dir))
+
+
+@dataset.add(
+    "audit_verdict",
+    f"""
+    WITH {_FOUND_CTE.strip()}
+    SELECT count(*) FILTER (severity = 'error') = 0 AS ok, count(*) FILTER (severity = 'error') AS errors,
+           count(*) FILTER (severity = 'warning') AS warnings FROM found""",
+    ("images", "annotations"),
+)
+def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_verdict(_violations(spark, sf_dir))
 
 
 @dataset.add(

@@ -25,6 +25,7 @@ TABLE_SCHEMAS = {
     "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
     "p_retailprice DOUBLE",
+    "region": "r_regionkey INT, r_name STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
 }
 

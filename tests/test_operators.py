@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ from boxlake import skew
 from boxlake.functions import classes as c
 from boxlake.functions import text as t
 from boxlake.operators import (
-    audit, curate, detect, fingerprint, greedy, inference, motion, neardup, playback, replay,
+    audit, curate, detect, export, fingerprint, greedy, inference, motion, neardup, playback, replay,
     review, tracking,
 )
 from boxlake.sources import detections as det_source
@@ -78,6 +79,71 @@ def test_greedy_matches_model_in_both_paths(spark, rule, limit):
     assert sorted(r.det_idx for r in found.collect()) == expected
 
 
+def test_greedy_rounds_over_many_groups_copy_little(spark, monkeypatch):
+    """Blocks are counted per group: many groups just above the limit stay one block each."""
+    monkeypatch.setattr(greedy, "BLOCK_ROWS", 50)
+    rng = random.Random(6)
+    groups = {g: [] for g in range(20)}
+    for g, rows in groups.items():
+        for _ in range(70 if g else 260):
+            x, y = rng.randrange(300), rng.randrange(300)
+            rows.append((rng.randrange(90) / 90, (x, y, x + rng.randrange(5, 60), y + rng.randrange(5, 60))))
+    frame = spark.createDataFrame(
+        [(g, i, "a", float(conf), *map(float, box))
+         for g, rows in groups.items() for i, (conf, box) in enumerate(rows)],
+        "image_id long, det_idx long, class_name string, confidence double, "
+        "x1 double, y1 double, x2 double, y2 double",
+    )
+    copies = []
+    broadcast = skew.sized_broadcast
+
+    def counted(df, *args):
+        if "_salts" in df.columns:
+            copies.append(df.agg(F.max("_salts"), F.sum("_salts"), F.count("*")).first())
+        return broadcast(df, *args)
+
+    monkeypatch.setattr(skew, "sized_broadcast", counted)
+    found = greedy.suppress(frame, greedy.SUPPRESSION, group_limit=60).collect()
+    for g, rows in groups.items():
+        expected = reference_greedy([(conf, i, *box) for i, (conf, box) in enumerate(rows)], greedy.SUPPRESSION)
+        assert sorted(r.det_idx for r in found if r.image_id == g) == expected
+    assert copies and all(most <= 6 and total <= 2 * n + 5 for most, total, n in copies)
+
+
+def test_one_export_shape_for_images_of_any_size(spark, tmp_path):
+    images = spark.createDataFrame(
+        [(1, 600.0, 450.0, True), (2, 600.0, 450.0, True), (3, 600.0, 450.0, False)],
+        "image_id long, width double, height double, image_approved boolean",
+    )
+    found = spark.range(5_000).selectExpr(
+        "1L AS image_id", "id AS det_idx", "'water drop' AS class_name", "0.5D AS confidence",
+        "CAST(id % 500 AS DOUBLE) AS x1", "1.0D AS y1", "CAST(id % 500 + 20 AS DOUBLE) AS x2", "9.0D AS y2",
+        "'model' AS source", "true AS confirmed", "false AS removed",
+    ).unionByName(spark.createDataFrame(
+        [(2, 0, "pipe burst", 0.5, 1.0, 1.0, 5.0, 5.0, "model", False, False)],
+        "image_id long, det_idx long, class_name string, confidence double, x1 double, y1 double, "
+        "x2 double, y2 double, source string, confirmed boolean, removed boolean",
+    ))
+    lines = export.yolo_label_lines(images, found.drop("source", "confirmed", "removed"))
+    assert lines.count() == 5_002 and lines.filter("line IS NULL").count() == 1
+    done = export.write_files(lines, f"file://{tmp_path}/labels", "image_id", "det_idx", "line").collect()
+    assert {r.name: r.n for r in done} == {"1": 5_000, "2": 1, "3": 0}
+    ordered = [r.line for r in lines.filter("image_id = 1").orderBy("det_idx").collect()]
+    assert (tmp_path / "labels" / "1").read_text() == "\n".join(ordered) + "\n"
+    assert (tmp_path / "labels" / "3").read_text() == ""
+
+    records = det_source.detection_records(found)
+    export.write_files(
+        records, f"file://{tmp_path}/json", "image_id", "det_idx", "record", ",", ("[", "]")
+    ).collect()
+    assert len(json.loads((tmp_path / "json" / "1").read_text())) == 5_000
+    assert json.loads((tmp_path / "json" / "2").read_text())[0]["class"] == "pipe burst"
+
+    kept = export.review_records(images, found).collect()
+    assert len(kept) == 5_002
+    assert [(r.approved, r.approved_empty, r.record) for r in kept if r.image_id == 3] == [(False, False, None)]
+
+
 def test_decode_keeps_two_of_ten_anchors(spark):
     scores = [[0.0, 0.0, 0.0] for _ in range(10)]
     scores[0][0], scores[1][0], scores[2][2] = 0.9, 0.8, 0.7
