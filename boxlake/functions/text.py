@@ -42,13 +42,14 @@ def clean_html(value: Column, entities: Mapping[str, str] = COMMON_ENTITIES) ->
 @F.pandas_udf(StringType())
 def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(html.unescape)
+        yield batch.map(html.unescape, na_action="ignore")
 
 
 def clean_html_full(value: Column) -> Column:
-    """As `clean_html` for the whole entity set; rows without '&' never reach Python's work."""
+    """As `clean_html` for the whole entity set; of rows without '&' only a null goes to Python."""
     text = F.coalesce(value, F.lit(""))
-    return _strip_tags(_unescape(text))
+    escaped = F.when(F.contains(text, F.lit("&")), text)
+    return _strip_tags(F.coalesce(_unescape(escaped), text))
 
 
 def natural_key(name: Column) -> Column:

@@ -178,6 +178,14 @@ def quota_select(
     )
 
 
+def _no_decisions(rows: DataFrame) -> DataFrame:
+    """The empty result: a category that wants nothing looks at nothing."""
+    return rows.filter(F.lit(False)).select(
+        "id", "category", F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+
+
 def quota_select_open(
     candidates: DataFrame, targets: Mapping[str, int], words: int, limit: int = 5,
     chunk: int = 500,
@@ -221,6 +229,7 @@ def quota_select_open(
         mine = accepted[before:]
         full = len(mine) == target
         if full and target == 0:
+            parts.append(_no_decisions(rows))
             continue
         seen = rows if not full else rows.filter(F.col("order_key") <= F.lit(last_key))
         taken = F.col("id").isin(*[i for i, _ in mine]) if mine else F.lit(False)
@@ -230,7 +239,7 @@ def quota_select_open(
             F.when(taken, "accepted").otherwise("rejected").alias("status"),
             F.when(~taken, reason).alias("reason"),
         ))
-    result = parts[0]
+    result = parts[0] if parts else _no_decisions(candidates)
     for part in parts[1:]:
         result = result.unionByName(part)
     return result

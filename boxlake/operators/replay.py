@@ -34,8 +34,18 @@ class ReviewState:
     future: list[tuple[ReviewBox, ...]] = field(default_factory=list)
     edited: bool = False
     approved: bool = False
+    loading: list[ReviewBox] = field(default_factory=list)
 
+    def load(self) -> None:
+        """Append the boxes loaded since the last edit, in one step."""
+        if self.loading:
+            self.boxes, self.loading = (*self.boxes, *self.loading), []
 
+
+OPS = (
+    "model", "approve", "toggle", "undo", "redo", "add", "reset", "confirm", "remove", "restore",
+    "reclass", "move", "resize", "set",
+)
 _CHANGES = {
     "confirm": lambda b, box, name: replace(b, confirmed=True),
     "remove": lambda b, box, name: replace(b, removed=True, confirmed=False),
@@ -51,9 +61,17 @@ def apply_event(
     state: ReviewState, op: str, det_id: int | None, box: tuple | None, name: str | None,
     confidence: float | None = None,
 ) -> None:
-    """One event. `model` rows load detections; edits of unknown boxes are ignored."""
+    """One event. `model` rows load detections; `reset` empties the review for a new detection;
+    edits of unknown boxes and unknown operations are ignored (`unknown_events` lists the latter)."""
     if op == "model":
-        state.boxes = (*state.boxes, ReviewBox(det_id, name, confidence, box))
+        state.loading.append(ReviewBox(det_id, name, confidence, box))
+        return
+    state.load()
+    if op not in OPS:
+        return
+    if op == "reset":
+        state.boxes, state.past, state.future = (), [], []
+        state.edited = state.approved = False
         return
     if op in ("approve", "toggle"):
         state.approved = True if op == "approve" else not state.approved
@@ -108,6 +126,7 @@ class Replay:
         return []
 
     def finish(self, state: ReviewState) -> list[tuple]:
+        state.load()
         tail = (state.edited, state.approved, len(state.past))
         return [
             (b.det_id, b.class_name, b.confidence, *b.box, b.confirmed, b.removed, b.source, *tail)
@@ -121,6 +140,11 @@ class Replay:
         return pickle.loads(saved)
 
 
+def unknown_events(events: DataFrame) -> DataFrame:
+    """Events whose operation the replay does not know."""
+    return events.filter(~F.coalesce(F.col("op").isin(*OPS), F.lit(False)))
+
+
 def replay_reviews(
     detections: DataFrame, events: DataFrame, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:

@@ -437,6 +437,31 @@ def test_playback_interpolates_two_tracks_and_respects_gaps(spark):
     assert 0.5 not in {r.time for r in gap.collect()}
 
 
+def test_reset_empties_a_review_and_unknown_operations_are_listed(spark):
+    state = replay.ReviewState()
+    replay.apply_event(state, "model", 1, (0.0, 0.0, 5.0, 5.0), "a", 0.5)
+    replay.apply_event(state, "confirm", 1, None, None)
+    replay.apply_event(state, "approve", None, None, None)
+    replay.apply_event(state, "sparkle", 1, None, None)
+    assert state.boxes[0].confirmed and state.approved and state.past
+    replay.apply_event(state, "reset", None, None, None)
+    assert (state.boxes, state.past, state.edited, state.approved) == ((), [], False, False)
+    replay.apply_event(state, "model", 7, (0.0, 0.0, 5.0, 5.0), "b", 0.5)
+    assert [row[0] for row in replay.Replay().finish(state)] == [7]
+    events = spark.createDataFrame([("confirm",), ("sparkle",), (None,)], "op string")
+    assert replay.unknown_events(events).count() == 2
+
+
+def test_open_quota_of_nothing_is_empty(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "k", [0], False, False)],
+        "id long, category string, order_key string, words array<long>, too_small boolean, "
+        "known_duplicate boolean",
+    )
+    assert curate.quota_select_open(rows, {"a": 0}, words=1).collect() == []
+    assert curate.quota_select_open(rows, {}, words=1).collect() == []
+
+
 def test_undo_and_redo(spark):
     box = (0.0, 0.0, 10.0, 10.0)
     state = replay.ReviewState()
