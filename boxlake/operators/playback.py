@@ -13,7 +13,6 @@ from boxlake import skew
 from boxlake.sequential import GROUP_LIMIT, fold_sorted
 
 VECTOR = ("cx", "cy", "w", "h")
-FOLD_LIMIT = 500
 
 
 def box_vectors(df: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def box_vectors(df: DataFrame) -> DataFrame:
 
 
 class _Ewma:
-    """One direction of the smoothing for groups too long for an array fold."""
+    """One direction of the smoothing."""
 
     def __init__(self, tau: float, suffix: str, carry: Sequence[tuple[str, str]]) -> None:
         self.tau = tau
@@ -57,69 +56,36 @@ class _Ewma:
         return pickle.loads(saved)
 
 
-def _fold_direction(rows: Column, tau: float) -> Column:
-    """Running smoothed vectors of time-ordered structs (t, cx, cy, w, h), as an array."""
-    start = F.struct(
-        F.lit(None).cast("double").alias("t"),
-        *[F.lit(None).cast("double").alias(v) for v in VECTOR],
-        F.expr("CAST(array() AS ARRAY<STRUCT<cx: DOUBLE, cy: DOUBLE, w: DOUBLE, h: DOUBLE>>)")
-        .alias("out"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        gap = F.abs(row.getField("t") - state.getField("t"))
-        alpha = F.when(gap > 0, 1 - F.exp(-gap / tau)).otherwise(1.0) if tau > 0 else F.lit(1.0)
-        moved = [
-            F.when(state.getField("t").isNull(), row.getField(v)).otherwise(
-                state.getField(v) + (row.getField(v) - state.getField(v)) * alpha
-            )
-            for v in VECTOR
-        ]
-        entry = F.struct(*[m.alias(v) for m, v in zip(moved, VECTOR, strict=True)])
-        return F.struct(
-            row.getField("t").alias("t"), *[m.alias(v) for m, v in zip(moved, VECTOR, strict=True)],
-            F.array_append(state.getField("out"), entry).alias("out"),
-        )
-
-    return F.aggregate(rows, start, step, lambda s: s.getField("out"))
-
-
 def smooth_tracks(
-    observations: DataFrame, keys: Sequence[str], tau: float, limit: int = FOLD_LIMIT,
-    round_limit: int = GROUP_LIMIT,
+    observations: DataFrame, keys: Sequence[str], tau: float, round_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """(keys, t, s_cx, s_cy, s_w, s_h): forward and backward exponential smoothing, averaged.
 
-    `observations` carries t and a box; times are unique per group. Groups above `limit` rows use
-    two ordered streaming folds instead of one array, in rounds of `round_limit` rows.
+    `observations` carries t and a box. Rows of one time are taken in the order of their vectors, for
+    groups of any size; groups above `round_limit` rows stream through the same fold in rounds.
     """
     rows = box_vectors(observations).select(*keys, "t", *VECTOR)
-    cool, hot = skew.split_hot(rows, keys, limit)
-    listed = cool.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("t", *VECTOR))).alias("_o")
-    )
-    both = listed.withColumn("_f", _fold_direction(F.col("_o"), tau)).withColumn(
-        "_b", F.reverse(_fold_direction(F.reverse("_o"), tau))
-    )
-    flat = both.select(*keys, F.explode(F.arrays_zip("_o", "_f", "_b")).alias("z"))
-    result = flat.select(
-        *keys, F.col("z._o.t").alias("t"),
-        *[((F.col(f"z._f.{v}") + F.col(f"z._b.{v}")) / 2).alias(f"s_{v}") for v in VECTOR],
-    )
+    order = ["t", *VECTOR]
+    carried = tuple((f"f_{v}", "double") for v in VECTOR)
+
+    def averaged(forward: DataFrame, limit: int | None) -> DataFrame:
+        backward = fold_sorted(
+            forward, keys, order, _Ewma(tau, "b", carried), group_limit=limit, descending=True
+        )
+        return backward.select(
+            *keys, "t",
+            *[((F.col(f"f_{v}") + F.col(f"b_{v}")) / 2).alias(f"s_{v}") for v in VECTOR],
+        )
+
+    cool, hot = skew.split_hot(rows, keys, round_limit)
+    result = averaged(fold_sorted(cool, keys, order, _Ewma(tau, "f", ()), group_limit=None), None)
     if hot is None:
         return result
     # Both passes read materialised rows, so nothing upstream is computed again per pass or count.
-    hot = skew.checkpointed(hot)
-    forward = skew.checkpointed(
-        fold_sorted(hot, keys, ["t"], _Ewma(tau, "f", ()), group_limit=round_limit)
-    )
-    carried = tuple((f"f_{v}", "double") for v in VECTOR)
-    backward = fold_sorted(
-        forward, keys, ["t"], _Ewma(tau, "b", carried), group_limit=round_limit, descending=True
+    forward = fold_sorted(
+        skew.checkpointed(hot), keys, order, _Ewma(tau, "f", ()), group_limit=round_limit
     )
-    return result.unionByName(backward.select(
-        *keys, "t", *[((F.col(f"f_{v}") + F.col(f"b_{v}")) / 2).alias(f"s_{v}") for v in VECTOR]
-    ))
+    return result.unionByName(averaged(skew.checkpointed(forward), round_limit))
 
 
 def asof_both(

@@ -173,7 +173,8 @@ def test_unigram_viterbi_equals_a_plain_one():
         return best[-1]
 
     words = ["".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(60)] + ["▁abca"]
-    for word, ids in zip(words, model.solve(words), strict=True):
+    for word, raw in zip(words, model.solve(words), strict=True):
+        ids = np.frombuffer(raw, "<i4")
         assert scores[ids].sum() == plain(word)[0] and "".join(texts[i] for i in ids) == word
 
 

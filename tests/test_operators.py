@@ -414,13 +414,11 @@ def test_tracker_rounds_and_sessions_equal_one_pass(spark):
 
 
 def test_long_groups_smooth_the_same(spark):
-    rows = random_observations(spark).dropDuplicates(["frame_idx", "class_name"])
+    rows = random_observations(spark)  # several rows at one time
     keys = ["video_id", "class_name"]
     short = playback.smooth_tracks(rows, keys, 0.5)
-    long = playback.smooth_tracks(rows, keys, 0.5, limit=20, round_limit=30)
-    key = lambda r: (r.class_name, r.t)
-    for a, b in zip(sorted(short.collect(), key=key), sorted(long.collect(), key=key), strict=True):
-        assert a.t == b.t and a.s_cx == pytest.approx(b.s_cx, abs=1e-9)
+    long = playback.smooth_tracks(rows, keys, 0.5, round_limit=30)
+    assert sorted(short.collect()) == sorted(long.collect())
 
 
 def test_playback_interpolates_two_tracks_and_respects_gaps(spark):
