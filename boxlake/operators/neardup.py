@@ -1,13 +1,16 @@
 """Exact Hamming near-duplicate search by banding.
 
 Two fingerprints within `limit` bits agree on at least one of `limit + 1` disjoint bands, so equal
-bands find every match. Copies collapse to distinct fingerprints first. A crowded band value (say,
-all zero) is split by a second level: inside it the remaining bits again have `limit + 1` runs of
-which one must agree. Whatever is still crowded is salted on the known side.
+bands find every match. Bands are laid over informative bits only: bits that are the same in all rows
+never differ and would only make bands that everything shares. Copies collapse to distinct
+fingerprints first. A band value that is crowded on either side is split by a second level: inside it
+the remaining bits again have `limit + 1` runs of which one must agree. Whatever is still crowded is
+salted on the known side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,31 +42,51 @@ def _bits(words: Column, start: int, length: int, word_bits: int) -> Column:
     return F.concat_ws(":", *parts)
 
 
-def _banded(df: DataFrame, layout: list[tuple[int, int]], word_bits: int) -> DataFrame:
+def _key(words: Column, bits: Sequence[int], word_bits: int) -> Column:
+    """The listed bits (ascending) as one string key."""
+    cuts = [i for i in range(1, len(bits)) if bits[i] != bits[i - 1] + 1]
+    runs = [bits[i:j] for i, j in zip([0, *cuts], [*cuts, len(bits)], strict=True)]
+    return F.concat_ws("|", *[_bits(words, r[0], len(r), word_bits) for r in runs])
+
+
+def _split(bits: Sequence[int], parts: int) -> list[Sequence[int]]:
+    return [bits[start : start + length] for start, length in band_layout(len(bits), parts)]
+
+
+def informative_bits(rows: DataFrame, words: int, word_bits: int) -> list[int]:
+    """Bit positions that are not the same in all rows: only they can differ between two rows, so
+    only they tell rows apart. One aggregate without a shuffle of rows."""
+    found = rows.agg(*[
+        f(F.get("words", F.lit(i))).alias(f"{n}{i}")
+        for i in range(words) for n, f in (("o", F.bit_or), ("a", F.bit_and))
+    ]).first()
+    if found["o0"] is None:
+        return list(range(words * word_bits))
+    return [
+        i * word_bits + b for i in range(words) for b in range(word_bits)
+        if (found[f"o{i}"] ^ found[f"a{i}"]) >> b & 1
+    ]
+
+
+def _banded(df: DataFrame, layout: Sequence[Sequence[int]], word_bits: int) -> DataFrame:
     keys = [
-        F.struct(F.lit(i).alias("band"), _bits(F.col("words"), s, n, word_bits).alias("value"))
-        for i, (s, n) in enumerate(layout)
+        F.struct(F.lit(i).alias("band"), _key(F.col("words"), bits, word_bits).alias("value"))
+        for i, bits in enumerate(layout)
     ]
     return df.select("words", F.explode(F.array(*keys)).alias("k")).select("words", "k.*")
 
 
 def _second_level(
-    df: DataFrame, layout: list[tuple[int, int]], total: int, limit: int, word_bits: int
+    df: DataFrame, layout: Sequence[Sequence[int]], limit: int, word_bits: int
 ) -> DataFrame:
-    """Rows of crowded buckets keyed by a run of the bits outside their band as well."""
+    """Rows of crowded buckets keyed by a run of the informative bits outside their band as well."""
     choices = None
-    for band, (start, length) in enumerate(layout):
-        rest = [b for b in range(total) if not start <= b < start + length]
-        runs = []
-        for j, (a, n) in enumerate(band_layout(len(rest), limit + 1)):
-            bits = rest[a : a + n]
-            # A run crosses the removed band at most once, so it is one or two plain ranges.
-            cut = next((i for i in range(1, n) if bits[i] != bits[i - 1] + 1), n)
-            ranges = [bits[:cut], bits[cut:]]
-            value = F.concat_ws(
-                "|", *[_bits(F.col("words"), r[0], len(r), word_bits) for r in ranges if r]
-            )
-            runs.append(F.struct(F.lit(j).alias("run"), value.alias("run_value")))
+    for band, own in enumerate(layout):
+        rest = sorted(b for bits in layout for b in bits if bits is not own)
+        runs = [
+            F.struct(F.lit(j).alias("run"), _key(F.col("words"), bits, word_bits).alias("run_value"))
+            for j, bits in enumerate(_split(rest, limit + 1))
+        ]
         here = F.array(*runs)
         choices = (F if choices is None else choices).when(F.col("band") == band, here)
     return df.select("words", "band", "value", F.explode(choices).alias("r")).select(
@@ -76,26 +99,35 @@ def near_matches(
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """Distinct candidate fingerprints within `limit` bits of any known one."""
-    total = words * word_bits
-    layout = band_layout(total, limit + 1)
-    ours = _banded(candidates.select("words").distinct(), layout, word_bits)
-    theirs = _banded(known.select("words").distinct(), layout, word_bits).withColumnRenamed(
-        "words", "known_words"
+    mine, other = candidates.select("words").distinct(), known.select("words").distinct()
+    bits = informative_bits(
+        candidates.select("words").unionByName(known.select("words")), words, word_bits
     )
+    if len(bits) <= limit:
+        # No two rows differ in more bits than that: every candidate is near any known row.
+        return mine.join(F.broadcast(known.limit(1).select(F.lit(True).alias("_any"))))[["words"]]
+    layout = _split(bits, limit + 1)
+    ours = _banded(mine, layout, word_bits)
+    theirs = _banded(other, layout, word_bits).withColumnRenamed("words", "known_words")
     close = hamming(F.col("words"), F.col("known_words"), words) <= limit
     keys = ["band", "value"]
-    crowded = skew.hot_groups(theirs, keys, bucket_limit)
+    # A bucket is crowded if either side is; with few bits left a second level has nothing to add.
+    crowded = None
+    if len(bits) - max(map(len, layout)) > limit:
+        sides = [skew.hot_groups(side, keys, bucket_limit) for side in (ours, theirs)]
+        sides = [side.select(*keys) for side in sides if side is not None]
+        crowded = sides[0] if sides else None
+        if len(sides) == 2:
+            crowded = sides[0].unionByName(sides[1]).distinct()
     if crowded is None:
         found = ours.join(theirs, keys).filter(close)
         return found.select("words").distinct()
-    crowded = skew.sized_broadcast(crowded.select(*keys))
+    crowded = skew.sized_broadcast(crowded)
     calm = ours.join(crowded, keys, "left_anti").join(theirs, keys).filter(close)
-    hot_ours = _second_level(
-        ours.join(crowded, keys, "left_semi"), layout, total, limit, word_bits
-    )
+    hot_ours = _second_level(ours.join(crowded, keys, "left_semi"), layout, limit, word_bits)
     hot_theirs = _second_level(
         theirs.join(crowded, keys, "left_semi").withColumnRenamed("known_words", "words"),
-        layout, total, limit, word_bits,
+        layout, limit, word_bits,
     ).withColumnRenamed("words", "known_words")
     salted_theirs = hot_theirs.withColumn(
         "salt", F.pmod(F.xxhash64("known_words"), F.lit(SALTS)).cast("int")

@@ -316,6 +316,28 @@ def test_near_duplicates_match_brute_force(spark, bucket):
     assert flagged.count() == len(candidates)
 
 
+@pytest.mark.parametrize("varying", [3, 24])
+def test_near_duplicates_on_half_constant_hashes(spark, varying):
+    """Constant bits make no bands: candidates do not all meet all known rows."""
+    rng = random.Random(12)
+    live = sorted(rng.sample(range(64), varying))
+    value = lambda: sum(1 << b for b in live if rng.random() < 0.5) - (1 << 63 if 63 in live else 0)
+    known, candidates = [value() for _ in range(150)], [value() for _ in range(150)]
+    near = {i for i, v in enumerate(candidates) if any(((v ^ k) % (1 << 64)).bit_count() <= 5 for k in known)}
+    left = spark.createDataFrame([(i, [v]) for i, v in enumerate(candidates)], "id long, words array<bigint>")
+    right = spark.createDataFrame([(i, [v]) for i, v in enumerate(known)], "id long, words array<bigint>")
+    flagged = neardup.flag_near_duplicates(left, right, 1, 64)
+    assert {r.id for r in flagged.collect() if r.near_duplicate} == near
+    bits = neardup.informative_bits(left.union(right), 1, 64)
+    assert bits == live
+    if varying > 5:
+        layout = neardup._split(bits, 6)
+        met = neardup._banded(left, layout, 64).join(
+            neardup._banded(right, layout, 64).withColumnRenamed("words", "other"), ["band", "value"]
+        )
+        assert met.count() < 100 * len(candidates)
+
+
 def test_open_quota_with_tiny_chunks(spark):
     rng = random.Random(3)
     rows = [
