@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from boxlake.llm import kernel
 from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
 
 SHARD_BYTES = 32_000_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 LEVELS = 40
 _KEY = np.uint64(0xA0761D6478BD642F)
 
@@ -126,7 +127,71 @@ def load(tokenizer: str):
     return Tokenizer.from_file(tokenizer)
 
 
-_words: dict[str, dict[bytes, bytes]] = {}
+# A word of letters that need no normalisation but lower case, with other signs after it. Such a word
+# is two pieces to the tokenizer's own split, so its letters can be coded apart and kept.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_END_OF_WORD = "</w>"
+
+
+class Words:
+    """Raw ids of words, kept per worker; for tokenizers that drop white space, never join across it
+    and fold case (`by_word`). Plain letters are coded many at a time: an id that ends a word tells
+    where the next one begins."""
+
+    def __init__(self, tokenizer: str, kind: str):
+        self.model, self.kind = load(tokenizer), kind
+        self.whole: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_END_OF_WORD)]] = True
+
+    def _code(self, texts: list[str]) -> list[bytes]:
+        coded = self.model.encode_batch(texts, add_special_tokens=False)
+        return [np.array(c.ids, self.kind).tobytes() for c in coded]
+
+    def _code_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            ids = self.model.encode(" ".join(part), add_special_tokens=False).ids
+            ids = np.array(ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
+                coded = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                coded = self._code(part)
+            self.letters.update(zip(part, coded, strict=True))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Code the words that are not known yet."""
+        if len(self.whole) > CACHED_WORDS:
+            self.whole.clear()
+        if len(self.letters) > CACHED_WORDS:
+            self.letters.clear()
+        plain, other = [], []
+        for word in words:
+            if word not in self.whole:
+                text = word.decode("utf-8", "surrogatepass")
+                split = _PLAIN.fullmatch(text)
+                if split:
+                    plain.append((word, split[1].lower(), split[2]))
+                else:
+                    other.append((word, text))
+        fresh = {x for _, *pair in plain for x in pair if x and x not in self.letters}
+        signs = [x for x in fresh if not x[0].isalpha()]
+        self.letters.update(zip(signs, self._code(signs), strict=True))
+        self._code_letters([x for x in fresh if x[0].isalpha()])
+        known = self.letters
+        for word, letters, sign in plain:
+            self.whole[word] = known[letters] + known[sign] if sign else known[letters]
+        coded = self._code([t for _, t in other])
+        self.whole.update(zip([w for w, _ in other], coded, strict=True))
+
+
+@functools.lru_cache(maxsize=2)
+def words_of(tokenizer: str, kind: str) -> Words:
+    return Words(tokenizer, kind)
 
 
 def id_type(tokenizer: str) -> str:
@@ -135,26 +200,14 @@ def id_type(tokenizer: str) -> str:
 
 
 def encode_texts(tokenizer: str, texts: list[str], by_word: bool, kind: str) -> list[bytes]:
-    """Raw ids of each text. With `by_word`, for tokenizers that drop white space and never join
-    across it, distinct words are encoded once per worker."""
-    model = load(tokenizer)
+    """Raw ids of each text. With `by_word`, distinct words are coded once per worker."""
     if not by_word:
-        coded = model.encode_batch(texts, add_special_tokens=False)
+        coded = load(tokenizer).encode_batch(texts, add_special_tokens=False)
         return [np.array(c.ids, kind).tobytes() for c in coded]
-    cache = _words.setdefault(tokenizer, {})
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
+    known = words_of(tokenizer, kind)
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    fresh = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        coded = model.encode_batch(
-            [w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False
-        )
-        cache.update(
-            (w, np.array(c.ids, kind).tobytes()) for w, c in zip(part, coded, strict=True)
-        )
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    known.learn({w for words in split for w in words})
+    return [b"".join(map(known.whole.__getitem__, words)) for words in split]
 
 
 # --- files ------------------------------------------------------------------------------------
