@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxlake.skew import checkpointed, ensure_checkpoint_dir
+from boxlake.skew import ensure_checkpoint_dir
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+STORED_BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +27,6 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Written once to the shared checkpoint folder; a lost executor does not repeat the work."""
-    return checkpointed(df)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,11 +54,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As materialised, but as compressed Parquet: for wide or many rows."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written once as Parquet below the shared checkpoint folder and read back: lineage is cut, and a
+    lost executor does not repeat the work. (A checkpointed plan keeps the partitionings and orderings
+    of the plan before it, which grow without bound in loops; a file does not.)"""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    before = spark.conf.get(ARROW_ROWS)
+    # Texts may be long: a batch of the default 10,000 rows can hold hundreds of MB on both sides.
+    spark.conf.set(ARROW_ROWS, str(min(STORED_BATCH_ROWS, int(before))))
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for file in df.inputFiles()[:1]:
+        folder = hadoop.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -5,18 +5,19 @@
    cost one row each from here on.
 2. Inverted lists: every run of `RUN` neighbouring retained values is a key. Two sets of similarity
    0.75 or more miss all common runs with a chance below 1e-7 (never, when the sets are small enough
-   to be retained whole). In every list each class is paired with one leader only, the class of the
-   lowest random rank, which is the same for most lists of a group.
+   to be retained whole). In every list each class is paired with one leader only, which is the
+   same for most lists of a group.
 3. Pairs are filtered by the union sketch (the share of common values among the lowest of both) and
    confirmed on full sets; the confirmed links give components.
-4. What a leader did not settle: lists that still hold several components. Members outside the
-   leader's component are paired with the members of other components. Lists with many such members
-   (a passage that many texts share) are replaced by lists of longer runs over larger sketches, in
-   which texts that only share the passage do not meet; the leader step and this step repeat there.
+4. What a leader did not settle: lists that still hold several components. In a list of up to `MANY`
+   members, those outside the leader's component are paired with the members of other components.
+   The members of longer lists (a passage that many texts share, or a large group of near copies)
+   are listed anew by the rarest of their `LONG` lowest values: texts that only share common values do
+   not meet there, and texts with too many values of their own are in no list at all. The leader step
+   and the pairing repeat on these lists, of any length.
 
-No pair inside a component is ever listed, no list is cut, and no list is expanded into all pairs
-unless its members are all unlike and few. A list of the longer runs is not bounded: texts that meet
-there share half of their shingles or more, and each such pair has to be looked at.
+The leader of a list is the member that shares most values with others, the centre of a group of near
+copies. No pair inside a component is ever listed, and no list is cut.
 
 Defined cases: texts without words have an empty set (0 shingles) and are linked with nothing, nor
 with each other; shorter texts than one shingle are one shingle; repeated rows of one id keep one row
@@ -30,20 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm import kernel
 from boxlake.llm.components import components
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, materialised
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, stored
 from boxlake.skew import sized_broadcast
 
 WORDS = 5
 PERCENT = 75
 SKETCH = 64
 LISTED, RUN = 32, 2
-LONG_LISTED, LONG_RUN = 512, 6
+LONG = 512
 MANY = 16
+# Of 512 lowest values a similar set shares 384 on average; 0.65 of them is 5 deviations below.
+LEAST_LONG = 0.65
 # A shared value has a chance of at least 0.75 in the union sketch; 0.45 of 64 is 5 deviations below.
 LEAST_ESTIMATE = 0.45
 BROADCAST_IDS = 1_000_000
@@ -126,11 +129,16 @@ def _listed(sketches: DataFrame, listed: int, run: int) -> DataFrame:
 
 
 def _shared(lists: DataFrame) -> DataFrame:
-    """(key, node, leader) of the lists with more than one member."""
-    leaders = lists.groupBy("key").agg(
-        F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")
-    )
-    return lists.join(leaders.filter("members > 1").drop("members"), "key")
+    """The lists with more than one member, each row with its list's leader: the member whose lists
+    are longest together."""
+    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    common = lists.join(counts, "key")
+    # One number orders by the sum and then by the random rank.
+    order = F.least(F.sum("members"), F.lit(1 << 40)) * (1 << 20) + F.pmod("node", F.lit(1 << 20))
+    central = common.groupBy("node").agg(order.alias("central"))
+    led = common.drop("members").join(central, "node")
+    leaders = led.groupBy("key").agg(F.max_by("node", "central").alias("leader"))
+    return led.drop("central").join(leaders, "key")
 
 
 def _to_leaders(shared: DataFrame) -> DataFrame:
@@ -185,16 +193,16 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the classes' first documents. Ids are broadcast up to a counted bound,
     beyond it joined by a shuffle."""
-    ids = materialised(classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
+    ids = stored(classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
     own = keyed_texts(docs).join(sized_broadcast(ids, BROADCAST_IDS), "doc_id")
     return own.select("node", "text")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with 100 * common >= 75 * union on full sets."""
-    pairs = materialised(pairs)
+    pairs = stored(pairs)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = materialised(_texts_of(nodes, classes, docs))
+    texts = stored(_texts_of(nodes, classes, docs))
     rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,39 +225,84 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 
 
 def _unsettled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with component, number of members outside the leader's component) per open list."""
-    labels = components(links)
+    """(members with component, open lists with their number of members): a list is open if a member
+    stands outside its leader's component."""
+    # Leaders make stars: two rounds settle them, and what is not settled yet is only paired again.
+    labels = components(links, rounds=2)
     member = shared.join(labels.toDF("node", "label"), "node", "left").select(
-        "key", "node", "leader", F.coalesce("label", "node").alias("part")
+        *shared.columns, F.coalesce("label", "node").alias("part")
     )
     main = member.filter("node = leader").select("key", F.col("part").alias("main"))
     apart = member.join(main, "key").withColumn("stray", F.col("part") != F.col("main"))
-    counted = apart.groupBy("key").agg(F.sum(F.col("stray").cast("long")).alias("strays"))
-    open_lists = counted.filter("strays > 0")
-    return apart, open_lists
+    counted = apart.groupBy("key").agg(
+        F.sum(F.col("stray").cast("long")).alias("strays"), F.count(F.lit(1)).alias("members")
+    )
+    return apart, counted.filter("strays > 0").drop("strays")
 
 
 def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
     """Each stray with the members of other components; the leader has been tried before."""
     own = apart.join(lists.select("key"), "key")
-    stray = own.filter("stray").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-    other = own.filter("node <> leader").select(
-        "key", F.col("node").alias("y"), F.col("part").alias("py"), F.col("stray").alias("both")
+    sized = "size" in own.columns
+    rule = "px <> py AND (NOT both OR x < y)"
+    if sized:  # the smaller set needs the key among its rarest; of equal sets both do
+        rule += (
+            " AND least(sx, sy) * 100 >= greatest(sx, sy) * {} AND (sx > sy OR rx) AND (sy > sx OR ry)"
+        ).format(PERCENT)
+    more = ["size", "rare"] if sized else []
+    stray = own.filter("stray").select("key", "node", "part", *more).toDF(
+        "key", "x", "px", *["sx", "rx"][: len(more)]
+    )
+    other = own.filter("node <> leader").select("key", "node", "part", "stray", *more).toDF(
+        "key", "y", "py", "both", *["sy", "ry"][: len(more)]
     )
-    met = stray.join(other, "key").filter("px <> py AND (NOT both OR x < y)")
+    met = stray.join(other, "key").filter(rule)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _long_sketches(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _long_values(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, node, size, kept): the LONG lowest values of each class, the size of its set, and how
+    many values are listed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches):
             sets = shingle_sets(*kernel.string_bytes(batch.column("text")))
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            kept = np.array([min(len(s), LONG) for s in sets])
             yield batch_of(
-                node=batch.column("node"),
-                sketch=pa.array([s[:LONG_LISTED].tobytes() for s in sets], pa.binary()),
+                key=_signed(np.concatenate([s[:LONG] for s in sets])), node=np.repeat(nodes, kept),
+                size=np.repeat(np.array([len(s) for s in sets]), kept), kept=np.repeat(kept, kept),
             )
 
-    return arrow_map(_texts_of(nodes, classes, docs), run, "node long", "sketch binary")
+    return arrow_map(
+        _texts_of(nodes, classes, docs), run, "key long", "node long", "size long", "kept long"
+    )
+
+
+def _rarest(values: DataFrame) -> DataFrame:
+    """(key, node, size, rare) of the values that similar sets cannot all miss.
+
+    A set that is similar to another shares at least LEAST of its listed values with it, so with all
+    values in one order (rarest first) the two share a value among the first listed - LEAST + 1.
+    Values of one class only come first and meet nothing; a set with enough of them is in no list.
+    `rare` marks the shorter head that two sets of equal size need (of the smaller one, generally).
+    """
+    counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    common = values.join(counts, "key")
+    whole = F.col("kept") == F.col("size")
+    least = F.when(whole, F.ceil(F.col("kept") * PERCENT / 100)).otherwise(
+        F.floor(F.col("kept") * LEAST_LONG)
+    )
+    # Of two equal sets of n with a share p of the union, 2 p / (1 + p) of n are common.
+    equal = F.when(whole, F.ceil(F.col("kept") * 2 * PERCENT / (100 + PERCENT))).otherwise(least)
+    node = Window.partitionBy("node")
+    placed = common.withColumns({
+        "place": F.row_number().over(node.orderBy("holders", "key")),
+        "alone": F.col("kept") - F.count(F.lit(1)).over(node),
+    }).withColumn("place", F.col("place") + F.col("alone"))
+    return placed.filter(F.col("place") <= F.col("kept") - least + 1).select(
+        "key", "node", "size", (F.col("place") <= F.col("kept") - equal + 1).alias("rare")
+    )
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,35 +319,33 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")
     )
     fields = ["n_shingles long", "digest_a long", "digest_b long", "rep long", "sketch binary"]
-    classes = materialised(arrow_map(grouped, ranked, "node long", *fields))
-    shared = materialised(_shared(_listed(classes, LISTED, RUN)))
-    found = materialised(_confirmed(_likely(_to_leaders(shared), classes), classes, docs))
+    classes = stored(arrow_map(grouped, ranked, "node long", *fields))
+    shared = stored(_shared(_listed(classes, LISTED, RUN)))
+    found = stored(_confirmed(_likely(_to_leaders(shared), classes), classes, docs))
 
     apart, open_lists = _unsettled(shared, found)
-    apart, open_lists = materialised(apart), materialised(open_lists)
-    pairs = _stray_pairs(apart, open_lists.filter(F.col("strays") <= MANY))
-    crowded = materialised(
-        apart.join(open_lists.filter(F.col("strays") > MANY).select("key"), "key")
+    apart, open_lists = stored(apart), stored(open_lists)
+    pairs = _stray_pairs(apart, open_lists.filter(F.col("members") <= MANY))
+    crowded = stored(
+        apart.join(open_lists.filter(F.col("members") > MANY).select("key"), "key")
         .select("node").distinct()
     )
     if crowded.isEmpty():
         more = _confirmed(_likely(pairs, classes), classes, docs)
-        return classes, materialised(found.union(more))
-    longer = materialised(_shared(_listed(
-        _long_sketches(crowded, classes, docs), LONG_LISTED, LONG_RUN
-    )))
+        return classes, stored(found.union(more))
+    longer = stored(_shared(_rarest(_long_values(crowded, classes, docs))))
     pairs = pairs.union(_to_leaders(longer)).distinct()
     more = _confirmed(_likely(pairs, classes), classes, docs)
-    found = materialised(found.union(more))
+    found = stored(found.union(more))
     apart, open_lists = _unsettled(longer, found)
-    pairs = _stray_pairs(materialised(apart), open_lists)
+    pairs = _stray_pairs(stored(apart), open_lists)
     last = _confirmed(_likely(pairs, classes), classes, docs)
-    return classes, materialised(found.union(last))
+    return classes, stored(found.union(last))
 
 
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    signed = materialised(signatures(docs))
+    signed = stored(signatures(docs))
     classes, found = links(docs, signed)
     labels = components(found)
     reps = classes.select("node", "rep")
@@ -312,5 +363,5 @@ def group(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the one of the lowest doc_id."""
     dropped = group(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped_id"))
-    small = sized_broadcast(materialised(dropped.distinct()), BROADCAST_IDS)
+    small = sized_broadcast(stored(dropped.distinct()), BROADCAST_IDS)
     return docs.join(small, docs["doc_id"] == small["_dropped_id"], "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, materialised, shuffle_parts
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, stored, shuffle_parts
 
 GROUPS_PER_TASK = 20_000
 
@@ -120,12 +120,12 @@ def shard(
         "piece", F.when(F.col("pieces").isNull(), 0)
         .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
     )
-    placed = materialised(placed.select("doc_id", "size", "text_crc32", "group", "piece"))
+    placed = stored(placed.select("doc_id", "size", "text_crc32", "group", "piece"))
     tasks = -(-(total[1] or 1) // groups_per_task)
     pieces = placed.groupBy("group", "piece").agg(F.sum("size").alias("bytes")).withColumn(
         "task", F.pmod(F.xxhash64("group", "piece"), F.lit(tasks)).cast("int")
     )
-    binned = materialised(
+    binned = stored(
         arrow_map(
             _by_task(pieces.select("task", "group", "piece", "bytes"), tasks), _per_task(shards),
             "task int", "group string", "piece int", "bin int", "bin_bytes long", "rows long",
