@@ -13,8 +13,9 @@ before it, so a step counts only if no merge crosses the border of the two piece
 the library's. Characters outside the vocabulary become byte pieces, so decoding restores every text;
 only U+2581, which the format itself uses for the space, comes back as a space.
 
-Words are cut where no piece can cross: before a space that follows another character, and around
-characters that are in no piece (such as the line break).
+Words are cut where no piece can cross: before a space that follows another character, around
+characters that are in no piece (such as the line break), and between Latin letters and ASCII signs if
+no piece joins the two.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; texts of any length are
 encoded whole; repeated rows are encoded alike; empty tables give empty results; only doc_id and text
@@ -35,10 +36,13 @@ from boxlake.llm import kernel
 from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
 
 SPACE = "▁"
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
-SLICE_BYTES = 1_000_000
-CELLS = 2_000_000  # characters of words solved together
+CACHED_WORDS = 250_000
+CACHED_PAIRS = 300_000
+SLICE_BYTES = 2_000_000
+FILTER_BITS = 20
+CELLS = 1_000_000  # characters of words solved together
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,28 +91,41 @@ class Pieces:
         used = {c for t in texts for c in t}
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in used)
         cut = f"{SPACE}{alone}"
-        self.words = re.compile(f"{SPACE}*[^{cut}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        joined = any(
+            (x in SIGNS and LATIN.match(y)) or (y in SIGNS and LATIN.match(x))
+            for t in texts for x, y in zip(t, t[1:])
+        )
+        sign = re.escape(SIGNS)
+        finer = "" if joined else (
+            f"{SPACE}*+{LATIN.pattern}++(?=[{sign}{cut}]|\\Z)|"
+            f"{SPACE}*+[{sign}]++(?={LATIN.pattern}|[{cut}]|\\Z)|"
+        )
+        self.words = re.compile(
+            f"{finer}{SPACE}*[^{cut}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        )
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def _derive(self, texts: Sequence[str], ids: np.ndarray) -> None:
-        """For each piece that its own merges reach: the pieces that stand at its left and at its
-        right edge while it grows, each with the rank at which the next one swallows it."""
-        self.edges: dict[int, tuple[list, list]] = {}
-        parts = {t: self._last_merge(t) for t in texts}
-        for text, number in zip(texts, ids, strict=True):
-            sides = []
-            for side in (0, 1):
-                chain, now, until = [], text, np.inf
-                while now is not None:
-                    since = self.rank[now][0] if len(now) > 1 else -1.0
-                    chain.append((now, since, until))
-                    children = parts.get(now)
-                    if children is None and len(now) > 1:
-                        chain = None
-                        break
-                    until, now = since, children[side] if children else None
-                sides.append(chain)
-            if sides[0] is not None and sides[1] is not None:
-                self.edges[int(number)] = (sides[0], sides[1])
+        """The last merge of each piece, and the ids of the pieces that their own merges reach."""
+        self.parts = {t: self._last_merge(t) for t in texts}
+        self.reached = {
+            int(i) for t, i in zip(texts, ids, strict=True)
+            if self._edge(t, 0) is not None and self._edge(t, 1) is not None
+        }
+
+    def _edge(self, text: str, side: int) -> list[tuple[str, float, float]] | None:
+        """The pieces at one edge (0 left, 1 right) of a piece while it grows, last first, each with
+        the ranks at which it appears and at which the next one swallows it."""
+        chain, now, until = [], text, np.inf
+        while now is not None:
+            since = self.rank[now][0] if len(now) > 1 else -1.0
+            chain.append((now, since, until))
+            children = self.parts.get(now)
+            if children is None and len(now) > 1:
+                return None
+            until, now = since, children[side] if children else None
+        return chain
 
     def _last_merge(self, text: str) -> tuple[str, str] | None:
         """The two pieces whose merge completes `text`; None if merging does not end there."""
@@ -126,8 +143,9 @@ class Pieces:
 
     def _is_stable(self, left: int, right: int) -> bool:
         """No merge ever joins the right edge of one piece with the left edge of the next."""
-        for a, a_since, a_until in self.edges[left][1]:
-            for b, b_since, b_until in self.edges[right][0]:
+        ends = self._edge(self.texts[right], 0)
+        for a, a_since, a_until in self._edge(self.texts[left], 1):
+            for b, b_since, b_until in ends:
                 joined = self.rank.get(a + b)
                 if joined is None or max(a_since, b_since) >= min(a_until, b_until):
                     continue
@@ -144,9 +162,10 @@ class Pieces:
             ok = known.get(pair)
             if ok is None:
                 left, right = pair >> 32, pair & 0xFFFFFFFF
-                ok = right in self.edges and (left < 0 or self._is_stable(left, right))
-                if len(known) < CACHED_PAIRS:
-                    known[pair] = ok
+                ok = right in self.reached and (left < 0 or self._is_stable(left, right))
+                if len(known) >= CACHED_PAIRS:
+                    known.clear()
+                known[pair] = ok
             out[i] = ok
         return out[which]
 
@@ -155,10 +174,10 @@ class Pieces:
         codes = np.array([[ord(c) for c in text]], np.uint64)
         return int(_substring(_prefixes(codes), 0, len(text))[0])
 
-    def solve(self, words: list[str]) -> list[np.ndarray]:
-        """Best ids of each word; words may have different lengths."""
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Best ids of each word (32-bit, little-endian); words may have different lengths."""
         sizes = np.array([len(w) for w in words])
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        out = [b""] * len(words)
         for size in np.unique(sizes[sizes > 0]):
             own = np.flatnonzero(sizes == size)
             step = max(1, CELLS // (int(size) * 4))
@@ -169,7 +188,7 @@ class Pieces:
                     out[i] = ids
         return out
 
-    def _solve(self, words: list[str], size: int) -> list[np.ndarray]:
+    def _solve(self, words: list[str], size: int) -> list[bytes]:
         raw = "".join(words).encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, "<u4").reshape(len(words), size).astype(np.uint64)
         prefixes = _prefixes(codes)
@@ -180,28 +199,43 @@ class Pieces:
         chosen = np.full((n, size + 1), -1, np.int32)
         last = len(self.keys) - 1
         chosen[:, 0] = -2
+        shift = np.uint64(64 - FILTER_BITS)
         for end in range(1, size + 1):
-            for span in range(1, min(self.longest, end) + 1):
-                keys = _substring(prefixes, end - span, end)
-                at = np.minimum(np.searchsorted(self.keys, keys), last)
-                hit = (self.keys[at] == keys) & (best[:, end - span] > -np.inf)
-                score = np.full(n, -np.inf)
+            spans = range(min(self.longest, end), 0, -1) if self.merges else range(
+                1, min(self.longest, end) + 1
+            )
+            todo = np.arange(n)  # with merges, exactly one piece fits: rows leave when they have it
+            for span in spans:
+                keys = _substring(prefixes[todo], end - span, end)
+                own = np.flatnonzero(self.maybe[(keys >> shift).astype(np.int64)])
+                own = own[best[todo[own], end - span] > -np.inf]
+                at = np.minimum(np.searchsorted(self.keys, keys[own]), last)
+                real = self.keys[at] == keys[own]
+                own, ids = own[real], self.ids[at[real]]
+                rows_hit = todo[own]
                 if self.merges:
-                    own = np.flatnonzero(hit)
-                    before = chosen[own, end - span].astype(np.int64)
-                    own = own[self.fits(before, self.ids[at[own]].astype(np.int64))]
-                    score[own] = span
+                    before = chosen[rows_hit, end - span].astype(np.int64)
+                    fit = self.fits(before, ids.astype(np.int64))
+                    own, rows_hit, ids = own[fit], rows_hit[fit], ids[fit]
+                    total = best[rows_hit, end - span]
                 else:
-                    score[hit] = self.scores[at[hit]]
-                if span == 1:
-                    # A single character is always possible: as bytes, below all pieces.
-                    alone = ~np.isin(codes[:, end - 1], self.known)
-                    score[alone] = self.unknown_score
-                total = best[:, end - span] + score
-                better = total > best[:, end]
-                best[better, end] = total[better]
-                back[better, end] = span
-                chosen[better, end] = np.where(hit, self.ids[at], -1)[better]
+                    total = best[rows_hit, end - span] + self.scores[at[real]]
+                better = total > best[rows_hit, end]
+                put = rows_hit[better]
+                best[put, end], back[put, end], chosen[put, end] = total[better], span, ids[better]
+                if self.merges:
+                    todo = np.delete(todo, own)
+                    if len(todo) == 0:
+                        break
+            # A character of no piece is always possible: as bytes, below all pieces.
+            alone = np.flatnonzero(
+                ~np.isin(codes[:, end - 1], self.known) & (best[:, end - 1] > -np.inf)
+            )
+            total = best[alone, end - 1] + (0.0 if self.merges else self.unknown_score)
+            put = alone[total > best[alone, end]]
+            best[put, end], back[put, end], chosen[put, end] = (
+                total[total > best[alone, end]], 1, -1
+            )
         rows, at = np.arange(n), np.full(n, size)
         ids = np.full((n, size), -2, np.int32)
         places = np.zeros((n, size), np.int32)
@@ -213,18 +247,16 @@ class Pieces:
             ids[open_rows, step] = chosen[open_rows, ends]
             at[open_rows] = ends - back[open_rows, ends]
             places[open_rows, step] = at[open_rows]
-        out = []
-        for row in range(n):
-            own = ids[row]
-            if (own == -1).any():
-                own = np.concatenate([
-                    self.byte_ids[list(words[row][p].encode("utf-8", "surrogatepass"))]
-                    if i == -1 else np.array([i], np.int32)
-                    for i, p in zip(own, places[row], strict=True) if i != -2
-                ])
-            else:
-                own = own[own != -2]
-            out.append(own.astype(np.int32))
+        used = ids != -2
+        flat = ids[used].astype("<i4").tobytes()
+        ends = (np.cumsum(used.sum(axis=1)) * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for row in np.flatnonzero((ids == -1).any(axis=1)).tolist():
+            out[row] = b"".join(
+                self.byte_ids[list(words[row][p].encode("utf-8", "surrogatepass"))].tobytes()
+                if i == -1 else int(i).to_bytes(4, "little")
+                for i, p in zip(ids[row], places[row], strict=True) if i != -2
+            )
         return out
 
     def split(self, text: str) -> list[str]:
@@ -264,8 +296,7 @@ def encode_texts(path: str, texts: Sequence[str]) -> list[bytes]:
         cache.clear()
     split = [model.split(t) for t in texts]
     fresh = list({w for words in split for w in words if w not in cache})
-    for word, ids in zip(fresh, model.solve(fresh), strict=True):
-        cache[word] = ids.tobytes()
+    cache.update(zip(fresh, model.solve(fresh), strict=True))
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
