@@ -86,4 +86,78 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM counted
 """
 
-ORACLES = {"op3_url_rules": OP3, "op5_line_quality": OP5}
+OP1 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM doc
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+    FROM shingles AS x JOIN shingles AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) AS p
+  JOIN sizes AS m ON m.doc_id = a JOIN sizes AS n ON n.doc_id = b
+  WHERE 100 * shared >= 75 * (m.n + n.n - shared)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b
+), lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM lowest LEFT JOIN sizes USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents)
+), windows AS (
+  SELECT doc_id, i, w,
+         CASE WHEN count(*) OVER next = 20 THEN string_agg(w, ' ') OVER next END AS g
+  FROM words WINDOW next AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT doc_id, i, w, CASE WHEN g IS NOT NULL
+    THEN row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 ELSE false END AS again FROM windows
+), covered AS (
+  SELECT doc_id, i, w, bool_or(again) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) AS d LEFT JOIN kept AS k USING (doc_id)
+"""
+
+OP4 = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b,
+         CASE WHEN 2 * i + 100 <= length(h) THEN substr(h, 2 * i + 1, 100) END AS g
+  FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM doc)
+), judged AS (
+  SELECT doc_id, i, b, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM bytes
+), covered AS (
+  SELECT doc_id, i, b, bool_or(again) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), edged AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens
+  FROM covered
+), kept AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed,
+         count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS h
+  FROM edged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM (SELECT doc_id FROM documents) AS d LEFT JOIN kept AS k USING (doc_id)
+"""
+
+ORACLES = {
+    "op1_minhash_groups": OP1, "op3_url_rules": OP3, "op4_suffix_repeats": OP4,
+    "op5_line_quality": OP5,
+    "op10_seed_extend": OP10,
+}
