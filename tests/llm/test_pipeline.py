@@ -22,7 +22,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, texts, frame):
     import sentencepiece
 
     item = "a benchmark item that stands in one of the clean documents and has to be found there"
-    good = "Plain prose {0} goes its {0} own way and ends {0} with a stop."
+    good = "{0} plain prose goes {0} its own way {0} and it ends {0}."
     docs = dict(texts) | {
         500: "\n".join(good.format("abcd"[i] * 9) for i in range(4)) + f"\n{item}.",
         501: "\n".join(good.format("efgh"[i] * 9) for i in range(4)),
