@@ -207,7 +207,7 @@ def repeated(
 ) -> DataFrame:
     """(doc_id, places) of the windows that occur earlier. `compare` settles the open spans: it gets
     (doc_id, text, PLACES) and the number of parts, and gives rows like `settled`."""
-    parts = max(8, shuffle_parts(docs.sparkSession) // 2)
+    parts = max(16, shuffle_parts(docs.sparkSession))
     own = keyed_texts(docs)
     first = stored(settled(anchored(docs, words, window, k, within, parts), within), "claims")
     opened = first.filter("open")

@@ -35,6 +35,8 @@ from boxlake.llm.frames import arrow_map, batch_of, binaries, keyed_texts
 WINDOW, SEED = 50, 20
 MEMORY = 30_000_000  # queue entries in memory, about 9 bytes each
 CAP = 250
+BATCH = 1_000_000
+SHARDS_PER_PART = 6
 SYMBOLS = 257  # separator 0, bytes from 1
 
 
@@ -59,15 +61,25 @@ class Queues:
         """Batches in order, also those pushed meanwhile."""
         own = self.items[symbol]
         while own:
-            batch = own.pop(0)
-            if isinstance(batch, str):
-                with np.load(batch) as raw:
-                    loaded = raw["positions"], raw["common"]
-                os.remove(batch)
-                yield loaded
+            size = 0
+            ready = []
+            while own and size < BATCH:  # waiting batches are taken together
+                positions, common = self._load(own.pop(0))
+                ready.append((positions, common))
+                size += len(positions)
+            if len(ready) == 1:
+                yield ready[0]
             else:
-                self.held -= len(batch[0])
-                yield batch
+                yield np.concatenate([p for p, _ in ready]), np.concatenate([c for _, c in ready])
+
+    def _load(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(batch, str):
+            with np.load(batch) as raw:
+                loaded = raw["positions"], raw["common"]
+            os.remove(batch)
+            return loaded
+        self.held -= len(batch[0])
+        return batch
 
 
 def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -200,7 +212,7 @@ def _ranked_minima(
         induce(text, small, begin, np.zeros(len(begin), np.uint8), folder, memory)
     ]
     order = np.concatenate(parts[::-1])
-    order = np.concatenate((np.setdiff1d(least, order), order))  # the final separator is induced by none
+    order = np.append(least[-1:], order)  # the final separator is induced by none
     prefix = np.zeros(len(text) + 1, np.uint64)
     up, _ = kernel.powers(len(text))
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, out=prefix[1:])
@@ -274,6 +286,9 @@ def _sort_shards(window: int, seed: int, memory: int):
     """Settles open spans: their strings are sorted shard by shard."""
 
     def compare(texts: DataFrame, parts: int) -> DataFrame:
+        # A shard is sorted by one task; more and smaller shards than claim parts bound its memory.
+        parts = parts * SHARDS_PER_PART
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in kernel.slices(batches):
                 units = repeats.Units(*kernel.string_bytes(batch.column("text")), False)
