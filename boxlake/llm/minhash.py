@@ -289,12 +289,12 @@ def _rarest(values: DataFrame) -> DataFrame:
     """
     counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     common = values.join(counts, "key")
-    whole = F.col("kept") == F.col("size")
-    least = F.when(whole, F.ceil(F.col("kept") * PERCENT / 100)).otherwise(
-        F.floor(F.col("kept") * LEAST_LONG)
-    )
+    # A set that is listed whole can have a partner that is not: then LONG * LEAST_LONG are shared,
+    # as between two cut lists, however many of the smaller set's higher values the partner holds.
+    cut = F.lit(int(LONG * LEAST_LONG))
+    least = F.least(F.ceil(F.col("kept") * PERCENT / 100), cut)
     # Of two equal sets of n with a share p of the union, 2 p / (1 + p) of n are common.
-    equal = F.when(whole, F.ceil(F.col("kept") * 2 * PERCENT / (100 + PERCENT))).otherwise(least)
+    equal = F.least(F.ceil(F.col("kept") * 2 * PERCENT / (100 + PERCENT)), cut)
     node = Window.partitionBy("node")
     placed = common.withColumns({
         "place": F.row_number().over(node.orderBy("holders", "key")),

@@ -31,6 +31,41 @@ def test_near_duplicates(frame, texts, monkeypatch, many):
     assert got == sorted(want)
 
 
+def test_crowded_lists_join_whole_sets_with_cut_ones(spark):
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 620, dtype=np.int64))
+
+    def part_of(values, size, own):  # `size` values, `own` of them foreign
+        kept = rng.choice(values, size - own, replace=False)
+        return np.sort(np.append(kept, rng.integers(0, 1 << 63, own, dtype=np.int64)))
+
+    sets = [part_of(base, int(n), 0) for n in np.linspace(590, 615, 30)]
+    for size in [*range(380, 480, 10), *range(490, 513), 530, 560, 640, 690]:
+        near = sets[int(rng.integers(30))]  # each near the threshold with one of the others
+        share = rng.uniform(0.74, 0.78) if size < 490 or size > 512 else rng.uniform(0.75, 0.755)
+        common = min(size, len(near), int(np.ceil(share / (1 + share) * (size + len(near)))))
+        sets.append(part_of(near, size, size - common))
+    listed = [
+        (int(v), node, len(s), min(len(s), minhash.LONG))
+        for node, s in enumerate(sets) for v in s[: minhash.LONG]
+    ]
+    values = spark.createDataFrame(listed, "key long, node long, size long, kept long")
+    shared = minhash._shared(minhash._rarest(values)).cache()
+    # Nothing is linked yet: every member is a component of its own.
+    apart = shared.selectExpr("*", "node AS part", "node <> leader AS stray")
+    pairs = minhash._to_leaders(shared).union(minhash._stray_pairs(apart, shared.select("key").distinct()))
+    got = {tuple(sorted(r)) for r in pairs.collect()}
+    want, mixed = set(), 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                want.add((i, j))
+                small, large = sorted((len(a), len(sets[j])))
+                mixed += small <= minhash.LONG < large
+    assert mixed > 20 and not want - got
+
+
 def test_near_duplicates_keep_one_document_with_all_columns(frame, texts):
     docs = frame(texts)
     kept = minhash.clean(docs)
