@@ -6,8 +6,12 @@ two with the largest spread are merged, the largest sums of one onto the smalles
 task ends with one partial partition, and those are differenced in the same way. What reaches the
 driver is one row of `shards` sums per task, whatever the number of groups.
 
-A group that alone exceeds 1 / `split_share` of an even shard cannot stay whole without breaking the
-balance; it is cut into pieces of that size, so a group with a third of all rows still spreads.
+Large groups, those above 1 / `groups_per_task` of all bytes, are differenced first, in a task of their
+own. Every other task starts from its share of the sums they left, so that small groups fill the
+shards that large groups leave low.
+
+Only a group that exceeds 1 / `split_share` of an even shard (by default: a whole one) is cut, because
+it fits into no shard; into as few pieces as possible, balanced over `SLICES` hashed slices a piece.
 
 Defined cases: null texts are empty (size 8) and form one group; repeated rows share a group; ties
 are broken by key, so a repeated run gives the same shards; an empty table gives an empty result;
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, stored, shuffle_parts
 
 GROUPS_PER_TASK = 20_000
+SLICES = 64
 
 
 def difference(items: list[tuple[np.ndarray, list]]) -> tuple[np.ndarray, list[list]]:
@@ -75,7 +80,8 @@ def start_items(sizes: np.ndarray, shards: int) -> list[tuple[np.ndarray, list]]
     return items
 
 
-def _assign(shards: int):
+def _assign(shards: int, loads: np.ndarray | None = None, rest: float = 0):
+    """Differences one task's groups; `loads`: sums of the large groups, shared by `rest` bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -84,10 +90,14 @@ def _assign(shards: int):
             [("bytes", "descending"), ("group", "ascending"), ("piece", "ascending")]
         )
         sizes = whole["bytes"].to_numpy().astype(float)
-        sums, bins = difference(start_items(sizes, shards))
+        items = start_items(sizes, shards)
+        if loads is not None:
+            items.append((np.sort(loads) * (sizes.sum() / rest), [None] * shards))
+        _, bins = difference(items)
         bin_of = np.empty(len(sizes), np.int32)
         for b, members in enumerate(bins):
             bin_of[flat(members)] = b
+        sums = np.bincount(bin_of, sizes, shards)
         n = len(sizes)
         yield batch_of(
             task=whole["task"].combine_chunks(), group=whole["group"].combine_chunks(),
@@ -98,53 +108,117 @@ def _assign(shards: int):
     return run
 
 
+def _pieces(rows: DataFrame, limit: int) -> DataFrame | None:
+    """(group, slice, of, piece) of the groups above `limit`: `of` slices of a group, by hash of the
+    row's id, are differenced over the fewest pieces; None if there is no such group."""
+    # Their number is bounded by the number of shares, and each has SLICES slices a piece.
+    large = rows.groupBy("group").agg(F.sum("size").alias("whole")).filter(
+        F.col("whole") > limit
+    ).collect()
+    if not large:
+        return None
+    count = {r["group"]: -(-r["whole"] // limit) for r in large}
+    spark = rows.sparkSession
+    named = spark.createDataFrame(
+        [(g, n * SLICES) for g, n in sorted(count.items())], "group string, of int"
+    )
+    slices = rows.join(F.broadcast(named), "group").groupBy("group", _slice(), "of").agg(
+        F.sum("size").alias("bytes")
+    ).collect()
+    found = []
+    for group, n in sorted(count.items()):
+        own = sorted((r for r in slices if r["group"] == group), key=lambda r: r["slice"])
+        _, bins = difference(start_items(np.array([r["bytes"] for r in own], float), n))
+        found += [
+            (group, own[i]["slice"], n * SLICES, piece)
+            for piece, members in enumerate(bins) for i in flat(members)
+        ]
+    return spark.createDataFrame(found, "group string, slice int, of int, piece int")
+
+
+def _slice():
+    return F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int").alias("slice")
+
+
 def shard(
-    docs: DataFrame, shards: int = 24, split_share: int = 16, groups_per_task: int = GROUPS_PER_TASK
+    docs: DataFrame, shards: int = 24, split_share: int = 1, groups_per_task: int = GROUPS_PER_TASK
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = keyed_texts(docs).select(
+    rows = stored(keyed_texts(docs).select(
         "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("group"),
+    ))
+    total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total = total or 0
+    cut = _pieces(rows, max(1, total // (shards * split_share)))
+    if cut is None:
+        placed = rows.withColumn("piece", F.lit(0))
+    else:
+        of = F.broadcast(cut.select("group", "of").distinct())
+        placed = rows.join(of, "group", "left").select("*", _slice()).join(
+            F.broadcast(cut.drop("of")), ["group", "slice"], "left"
+        ).withColumn("piece", F.coalesce("piece", F.lit(0))).drop("slice", "of")
+    tasks = -(-(n or 1) // groups_per_task)
+    pieces = stored(placed.groupBy("group", "piece").agg(F.sum("size").alias("bytes")))
+    # Fewer than groups_per_task groups are large; a table of one task is differenced at once.
+    large = F.col("bytes") > (total // groups_per_task if tasks > 1 else -1)
+    first = _binned(pieces.filter(large), 1, shards, tasks)
+    bins = _sums(first)
+    loads = np.zeros(shards)
+    for row in bins:
+        loads[row["bin"]] = row["bytes"]
+    rest = total - loads.sum()
+    others = None
+    if rest:
+        others = _binned(pieces.filter(~large), tasks, shards, 0, loads if loads.any() else None, rest)
+        bins += _sums(others)
+    final = spark.createDataFrame(_combine(bins, shards), "task int, bin int, shard int")
+    # `shards` rows per task: bounded by the number of tasks.
+    located = lambda binned: binned.join(F.broadcast(final), ["task", "bin"]).select(
+        "group", "piece", "shard"
     )
-    total = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    limit = max(1, (total[0] or 0) // (shards * split_share))
-    sums = rows.groupBy("group").agg(F.sum("size").alias("whole"))
-    # Pieces of an oversized group: by hash of the row's id, each about `limit` bytes.
-    large = sums.filter(F.col("whole") > limit).select(
-        "group", F.ceil(F.col("whole") / limit).cast("int").alias("pieces")
+    # Large groups can have many rows: their places are broadcast, the others are joined by shuffle.
+    known = placed.join(F.broadcast(located(first)), ["group", "piece"], "left")
+    if others is None:
+        return with_slots(known.drop("group", "piece"))
+    rest_rows = known.filter(F.col("shard").isNull()).drop("shard").join(
+        located(others), ["group", "piece"]
     )
-    # Fewer than shards * split_share groups can exceed their share: a bounded broadcast.
-    placed = rows.join(F.broadcast(large), "group", "left").withColumn(
-        "piece", F.when(F.col("pieces").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
+    return with_slots(
+        known.filter(F.col("shard").isNotNull()).unionByName(rest_rows).drop("group", "piece")
     )
-    placed = stored(placed.select("doc_id", "size", "text_crc32", "group", "piece"))
-    tasks = -(-(total[1] or 1) // groups_per_task)
-    pieces = placed.groupBy("group", "piece").agg(F.sum("size").alias("bytes")).withColumn(
-        "task", F.pmod(F.xxhash64("group", "piece"), F.lit(tasks)).cast("int")
+
+
+def _binned(
+    pieces: DataFrame, tasks: int, shards: int, start: int, loads: np.ndarray | None = None,
+    rest: float = 0,
+) -> DataFrame:
+    """Pieces with their task, numbered from `start`, and their bin in it."""
+    own = pieces.withColumn(
+        "task", (F.pmod(F.xxhash64("group", "piece"), F.lit(tasks)) + start).cast("int")
     )
-    binned = stored(
+    return stored(
         arrow_map(
-            _by_task(pieces.select("task", "group", "piece", "bytes"), tasks), _per_task(shards),
+            _by_task(own.select("task", "group", "piece", "bytes"), tasks),
+            _per_task(shards, loads, rest),
             "task int", "group string", "piece int", "bin int", "bin_bytes long", "rows long",
         )
     )
-    bins = binned.groupBy("task", "bin").agg(F.max("bin_bytes").alias("bytes")).collect()
-    final = spark.createDataFrame(_combine(bins, shards), "task int, bin int, shard int")
-    # `shards` rows per task: bounded by the number of tasks.
-    located = binned.join(F.broadcast(final), ["task", "bin"]).select("group", "piece", "shard")
-    return with_slots(placed.join(located, ["group", "piece"]).drop("group", "piece"))
+
+
+def _sums(binned: DataFrame) -> list:
+    return binned.groupBy("task", "bin").agg(F.max("bin_bytes").alias("bytes")).collect()
 
 
 def _by_task(pieces: DataFrame, tasks: int) -> DataFrame:
     return pieces.repartition(tasks, "task").sortWithinPartitions("task")
 
 
-def _per_task(shards: int):
+def _per_task(shards: int, loads: np.ndarray | None, rest: float):
     """Rows arrive sorted by task; each task's groups (at most about groups_per_task) are held."""
-    one = _assign(shards)
+    one = _assign(shards, loads, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

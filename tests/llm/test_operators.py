@@ -258,6 +258,29 @@ def test_shards(frame, texts, per_task):
     assert sum(len(s) > 1 for s in where.values()) <= 2  # only groups too large for one shard
 
 
+@pytest.mark.parametrize("per_task", [sharding.GROUPS_PER_TASK, 40])
+def test_shards_keep_every_group_that_fits_whole(spark, per_task):
+    # Of 6 shards of about 80,000 bytes, copies fill 0.95, 0.7, 0.5 and 0.1; one group fills 1.6.
+    groups = [(k, 1_000, n) for k, n in enumerate((128, 76, 56, 40, 8))]
+    groups += [(k, 100 + 7 * (k % 150), 1) for k in range(5, 300)]
+    table, size = [], {}
+    for k, width, copies in groups:
+        text = f"{k:05d}" + "x" * (width - 13)
+        size[text] = width * copies
+        table += [(len(table) + i, text) for i in range(copies)]
+    got = sharding.shard(
+        spark.createDataFrame(table, "doc_id long, text string"), 6, groups_per_task=per_task
+    ).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(table)))
+    where, sums = {}, [0] * 6
+    for r in got:
+        where.setdefault(table[r.doc_id][1], set()).add(r.shard)
+        sums[r.shard] += r.size
+    even = sum(sums) / 6
+    assert all(len(s) == 1 for t, s in where.items() if size[t] <= even)
+    assert max(map(len, where.values())) == 2 and max(sums) - min(sums) < even / 40
+
+
 def test_differencing_balances_and_keeps_all_members():
     sizes = np.array([8, 7, 6, 5, 4], float)
     sums, bins = sharding.difference(sharding.start_items(sizes, 2))
