@@ -129,13 +129,15 @@ def slices(
             start = end
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of all words, and the n + 1 word bounds of the documents."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(bounds), np.int64)
-    space = SPACE[data]
+    space = separators[data]
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     before = cut[:-1].copy()

@@ -156,8 +156,48 @@ SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::
 FROM (SELECT doc_id FROM documents) AS d LEFT JOIN kept AS k USING (doc_id)
 """
 
+def _centroid_sql(clusters: int = 16, rounds: int = 3, size: int = 64) -> str:
+    def nearest(means: str) -> str:
+        return f"""
+  SELECT v, d, c FROM (
+    SELECT v, c, sum((x - m) ** 2)::BIGINT AS d,
+           row_number() OVER (PARTITION BY v ORDER BY sum((x - m) ** 2), c) AS nth
+    FROM parts JOIN {means} USING (i) GROUP BY v, c) WHERE nth = 1"""
+
+    steps = ""
+    for n in range(rounds):
+        steps += f""", near{n} AS ({nearest(f"mean{n}")}
+), mean{n + 1} AS (
+  SELECT c, i, coalesce(s, m) AS m FROM mean{n} LEFT JOIN (
+    SELECT c, i, CASE WHEN sum(x) % count(*) < 0 THEN (sum(x) - sum(x) % count(*)) // count(*) - 1
+                      ELSE (sum(x) - sum(x) % count(*)) // count(*) END::BIGINT AS s
+    FROM near{n} JOIN parts USING (v) GROUP BY c, i) USING (c, i)
+)"""
+    return f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS v, vec_id, [x::DOUBLE FOR x IN embedding] AS e
+  FROM embeddings WHERE len(embedding) = {size}
+), whole AS (
+  SELECT v, vec_id, [floor({size} * x)::BIGINT FOR x IN e] AS e FROM vectors
+  WHERE len([x FOR x IN e IF x IS NOT NULL AND isfinite(x)]) = {size}
+), parts AS (SELECT v, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM whole),
+mean0 AS (
+  SELECT c, i, x AS m FROM parts JOIN (
+    SELECT v, row_number() OVER (ORDER BY vec_id IS NULL, sha256('1:' || vec_id::VARCHAR), e) - 1 AS c
+    FROM whole) USING (v) WHERE c < {clusters}
+){steps}, last AS ({nearest(f"mean{rounds}")}
+), named AS (
+  SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM mean{rounds} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d AS distance,
+       (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM last JOIN whole USING (v) JOIN named USING (c)
+"""
+
+
 ORACLES = {
     "op1_minhash_groups": OP1, "op3_url_rules": OP3, "op4_suffix_repeats": OP4,
     "op5_line_quality": OP5,
-    "op10_seed_extend": OP10,
+    "op10_seed_extend": OP10, "op12_table_centroids": _centroid_sql(),
 }
