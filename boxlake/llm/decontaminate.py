@@ -11,8 +11,10 @@ Items are bounded in blocks of `BLOCK_BYTES`; every block scans the documents on
 
 Defined cases: null and empty documents are clean; items without `Q` folded characters are too short
 to tell and never match; the edit budget of short items shrinks so that the bound stays at least one
-q-gram; repeated items are reported each; repeated documents give repeated rows; empty tables give
-clean or empty results; `judge` reads only doc_id and text, `clean` keeps all columns.
+q-gram; repeated items are reported each; repeated documents give repeated rows, and texts of one id that
+differ are judged apart, whatever the number of blocks; a document that quotes only a part of an item is
+clean; empty tables give clean or empty results; `judge` reads only doc_id and text, `clean` keeps all
+columns.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm import kernel
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, same_rows
 
 Q = 12
 EDIT_RATE = 0.05
@@ -210,26 +212,44 @@ def _block_hits(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
         for batch in kernel.slices(batches):
             found = _find(batch, items, bitmap)
             hits = [
-                [dict(zip(("item_id", "start", "edits"), h, strict=True)) for h in found.get(r, [])]
+                [
+                    dict(zip(("item_id", "start", "edits"), h, strict=True))
+                    for h in sorted(found.get(r, []))
+                ]
                 for r in range(batch.num_rows)
             ]
-            yield batch_of(doc_id=batch.column("doc_id"), hits=pa.array(hits, kind))
+            yield batch_of(
+                doc_id=batch.column("doc_id"), digest=batch.column("digest"),
+                hits=pa.array(hits, kind),
+            )
 
-    return arrow_map(keyed_texts(docs), run, "doc_id long", f"hits {HITS}")
+    named = keyed_texts(docs).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return arrow_map(named, run, "doc_id long", "digest string", f"hits {HITS}")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, hits (item, first byte, edits), n_hits and kept of every document."""
-    parts = [_block_hits(docs, rows) for rows in item_blocks(benchmark)]
-    whole = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
+    """doc_id, hits (item, first byte, edits; in this order), n_hits and kept of every document row."""
+    blocks = [
+        _block_hits(docs, rows).withColumn("block", F.lit(n))
+        for n, rows in enumerate(item_blocks(benchmark))
+    ]
+    whole = blocks[0]
+    if len(blocks) > 1:
+        # Rows of one id and text have the same hits in a block, so one of them speaks for all; their
+        # number brings the rows back. Texts of one id that differ stay apart.
+        for part in blocks[1:]:
             whole = whole.unionByName(part)
-        # One row per block and document row; repeated doc_ids become one row here.
-        whole = whole.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    return whole.withColumns({
-        "n_hits": F.size("hits").cast("long"), "kept": F.size("hits") == 0,
-    })
+        row = ["doc_id", "digest"]
+        once = whole.groupBy(*row, "block").agg(
+            F.first("hits").alias("hits"), F.count(F.lit(1)).alias("copies")
+        )
+        whole = once.groupBy(*row).agg(
+            F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.max("copies").alias("copies")
+        ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return whole.select(
+        "doc_id", "hits", F.size("hits").cast("long").alias("n_hits"),
+        (F.size("hits") == 0).alias("kept"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,5 +265,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = [row not in found for row in range(batch.num_rows)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = same_rows(out, run)
     return out

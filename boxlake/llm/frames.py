@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,10 +37,31 @@ def schema(*fields: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(fields))
 
 
-def arrow_map(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *fields: str
-) -> DataFrame:
-    return df.mapInArrow(fn, schema(*fields))
+Batches = Iterator[pa.RecordBatch]
+
+
+def freed(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`fn`, returning the memory of its batches to the system at the end of the task. Workers are kept
+    for later tasks, and what an idle one holds is missing to everything else on its machine."""
+
+    def run(batches: Batches) -> Batches:
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], *fields: str) -> DataFrame:
+    return df.mapInArrow(freed(fn), schema(*fields))
+
+
+def same_rows(df: DataFrame, fn: Callable[[Batches], Batches]) -> DataFrame:
+    """`fn` over the batches of `df`, which keeps its columns."""
+    return df.mapInArrow(freed(fn), df.schema)
 
 
 def batch_of(**columns) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm import kernel, license_rules
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, same_rows
 
 PHRASES = (
     ("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"),
@@ -238,4 +238,4 @@ def clean(docs: DataFrame, blocked: Sequence[str], least: float = 0.5) -> DataFr
             ]
             yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return same_rows(docs, run)

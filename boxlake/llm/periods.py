@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxlake.llm import kernel
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, same_rows
 
 FIRST_BLOCK = 8
 LEAST_RUN = 24
@@ -259,4 +259,4 @@ def clean(docs: DataFrame, least: int = LEAST_RUN, times: int = TIMES) -> DataFr
                 columns["n_chars"] = sizes.cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return same_rows(docs, run)

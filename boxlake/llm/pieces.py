@@ -38,7 +38,6 @@ from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
 SPACE = "▁"
 CACHED_WORDS = 250_000
 CACHED_PAIRS = 300_000
-SLICE_BYTES = 2_000_000
 FILTER_BITS = 20
 CELLS = 1_000_000  # characters of words solved together
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,18 +89,18 @@ class Pieces:
         self.unknown_score = float(scores[scores > -1e6].min()) - 10.0
         used = {c for t in texts for c in t}
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in used)
-        cut = f"{SPACE}{alone}"
+        cut = f" {alone}"
         joined = any(
             (x in SIGNS and LATIN.match(y)) or (y in SIGNS and LATIN.match(x))
             for t in texts for x, y in zip(t, t[1:])
         )
         sign = re.escape(SIGNS)
         finer = "" if joined else (
-            f"{SPACE}*+{LATIN.pattern}++(?=[{sign}{cut}]|\\Z)|"
-            f"{SPACE}*+[{sign}]++(?={LATIN.pattern}|[{cut}]|\\Z)|"
+            f" *+{LATIN.pattern}++(?=[{sign}{cut}]|\\Z)|"
+            f" *+[{sign}]++(?={LATIN.pattern}|[{cut}]|\\Z)|"
         )
         self.words = re.compile(
-            f"{finer}{SPACE}*[^{cut}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+            f"{finer} *[^{cut}]+| +" + (f"|[{alone}]" if alone else "")
         )
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
@@ -191,6 +190,7 @@ class Pieces:
     def _solve(self, words: list[str], size: int) -> list[bytes]:
         raw = "".join(words).encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, "<u4").reshape(len(words), size).astype(np.uint64)
+        codes[codes == ord(" ")] = ord(SPACE)
         prefixes = _prefixes(codes)
         n = len(words)
         best = np.full((n, size + 1), -np.inf)
@@ -260,8 +260,9 @@ class Pieces:
         return out
 
     def split(self, text: str) -> list[str]:
-        """The words of a text, with the dummy space before the first."""
-        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The words of a text, with the dummy space before the first. Words keep plain spaces: strings
+        with U+2581 take two bytes a character and more time to search."""
+        return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def decode(self, ids: Sequence[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     """doc_id, ids, n_ids and whether decoding the ids restores the text (U+2581 read as a space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches, limit=SLICE_BYTES):
+        for batch in kernel.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = encode_texts(path, texts)
             values = np.frombuffer(b"".join(coded), "<i4")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxlake.llm import kernel
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, same_rows
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = b"|>"
@@ -216,4 +216,4 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 columns["n_chars"] = pa.array(lengths, pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return same_rows(docs, run)

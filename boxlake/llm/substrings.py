@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxlake.llm import kernel, repeats
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, freed, keyed_texts
 
 MIN_WORDS, SEED_WORDS = 20, 8
 
@@ -110,4 +110,4 @@ def clean(docs: DataFrame, window: int = MIN_WORDS, seed: int = SEED_WORDS) -> D
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     whole = repeats.with_places(docs, removed_places(docs, window, seed))
-    return whole.select(*names, repeats.PLACES).mapInArrow(run, docs.schema)
+    return whole.select(*names, repeats.PLACES).mapInArrow(freed(run), docs.schema)

@@ -168,11 +168,18 @@ def test_decontamination(frame, spark, texts):
 
 
 def test_decontamination_in_blocks_of_items(frame, spark, texts, monkeypatch):
-    items = [(i, texts[i]) for i in (70, 90, 91)]
+    items = [(i, texts[i]) for i in (70, 90, 91)] + [(90, texts[90])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = rows(decontaminate.judge(frame(texts), bench), "doc_id", "n_hits", "kept")
+    other = frame({90: texts[91], 70: None, 71: f"{texts[90]} {texts[91]}"})  # other texts of the ids
+    docs = frame(texts, repeat=(0, 70, 90)).union(other)
+    whole = rows(decontaminate.judge(docs, bench), "doc_id", "hits", "n_hits", "kept")
+    assert len(whole) == len(texts) + 6 and max(r[2] for r in whole) == 3
+    assert sorted(r[2] for r in whole if r[0] == 90) == [1, 2, 2]
+    left = rows(decontaminate.clean(docs, bench), "doc_id")
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
-    assert rows(decontaminate.judge(frame(texts), bench), "doc_id", "n_hits", "kept") == whole
+    assert len(list(decontaminate.item_blocks(bench))) > 2
+    assert rows(decontaminate.judge(docs, bench), "doc_id", "hits", "n_hits", "kept") == whole
+    assert rows(decontaminate.clean(docs, bench), "doc_id") == left
 
 
 def test_pieces_equal_the_library_and_restore_the_text(frame, spark, texts):
