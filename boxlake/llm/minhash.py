@@ -240,21 +240,29 @@ def _unsettled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return apart, counted.filter("strays > 0").drop("strays")
 
 
+def _least_common(x: str, y: str) -> str:
+    """SQL for the number of listed values that similar sets of these sizes share at least: exact if both
+    are listed whole. A set that is listed whole can have a partner that is not: then LONG * LEAST_LONG
+    are shared, as between two cut lists, however many of its higher values the partner holds."""
+    return f"""CASE WHEN greatest({x}, {y}) <= {LONG}
+        THEN (({x} + {y}) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT} ELSE {int(LONG * LEAST_LONG)} END"""
+
+
 def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
     """Each stray with the members of other components; the leader has been tried before."""
     own = apart.join(lists.select("key"), "key")
-    sized = "size" in own.columns
-    rule = "px <> py AND (NOT both OR x < y)"
-    if sized:  # the smaller set needs the key among its rarest; of equal sets both do
-        rule += (
-            " AND least(sx, sy) * 100 >= greatest(sx, sy) * {} AND (sx > sy OR rx) AND (sy > sx OR ry)"
-        ).format(PERCENT)
-    more = ["size", "rare"] if sized else []
-    stray = own.filter("stray").select("key", "node", "part", *more).toDF(
-        "key", "x", "px", *["sx", "rx"][: len(more)]
-    )
+    rule, more = "px <> py AND (NOT both OR x < y)", []
+    if "size" in own.columns:
+        # The first value that two sets share, in the order of places, leaves room for all others they must
+        # share: no later one needs to list the pair.
+        rule += f"""
+            AND least(sx, sy) * 100 >= greatest(sx, sy) * {PERCENT}
+            AND least(kx - ox, ky - oy) + 1 >= {_least_common("sx", "sy")}"""
+        more = ["size", "kept", "place"]
+    names = lambda s: [f"{m[0] if m != 'place' else 'o'}{s}" for m in more]
+    stray = own.filter("stray").select("key", "node", "part", *more).toDF("key", "x", "px", *names("x"))
     other = own.filter("node <> leader").select("key", "node", "part", "stray", *more).toDF(
-        "key", "y", "py", "both", *["sy", "ry"][: len(more)]
+        "key", "y", "py", "both", *names("y")
     )
     met = stray.join(other, "key").filter(rule)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -280,28 +288,23 @@ def _long_values(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
 
 
 def _rarest(values: DataFrame) -> DataFrame:
-    """(key, node, size, rare) of the values that similar sets cannot all miss.
+    """(key, node, size, kept, place) of the values that similar sets cannot all miss.
 
     A set that is similar to another shares at least LEAST of its listed values with it, so with all
     values in one order (rarest first) the two share a value among the first listed - LEAST + 1.
     Values of one class only come first and meet nothing; a set with enough of them is in no list.
-    `rare` marks the shorter head that two sets of equal size need (of the smaller one, generally).
+    `place` counts in that order: two sets of known sizes must meet further ahead (`_least_common`).
     """
     counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     common = values.join(counts, "key")
-    # A set that is listed whole can have a partner that is not: then LONG * LEAST_LONG are shared,
-    # as between two cut lists, however many of the smaller set's higher values the partner holds.
-    cut = F.lit(int(LONG * LEAST_LONG))
-    least = F.least(F.ceil(F.col("kept") * PERCENT / 100), cut)
-    # Of two equal sets of n with a share p of the union, 2 p / (1 + p) of n are common.
-    equal = F.least(F.ceil(F.col("kept") * 2 * PERCENT / (100 + PERCENT)), cut)
+    least = F.least(F.ceil(F.col("kept") * PERCENT / 100), F.lit(int(LONG * LEAST_LONG)))
     node = Window.partitionBy("node")
     placed = common.withColumns({
         "place": F.row_number().over(node.orderBy("holders", "key")),
         "alone": F.col("kept") - F.count(F.lit(1)).over(node),
     }).withColumn("place", F.col("place") + F.col("alone"))
     return placed.filter(F.col("place") <= F.col("kept") - least + 1).select(
-        "key", "node", "size", (F.col("place") <= F.col("kept") - equal + 1).alias("rare")
+        "key", "node", "size", "kept", "place"
     )
 
 
