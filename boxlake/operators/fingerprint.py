@@ -7,14 +7,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from boxlake.sources import images
 
 WORD_BITS = 48
 FINGERPRINT_SCHEMA = "id BIGINT, words ARRAY<BIGINT>"
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=32)
 def _resample_weights(source: int, target: int, lobes: float = 3.0) -> np.ndarray:
     """(target, source) row-normalised windowed-sinc weights, widened when shrinking."""
     scale = source / target
@@ -26,42 +29,42 @@ def _resample_weights(source: int, target: int, lobes: float = 3.0) -> np.ndarra
 
 
 def resize_grey(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Grey image to (height, width), rounded to bytes after each direction."""
-    rows, columns = pixels.shape
+    """Grey images (..., rows, columns) to (..., height, width), rounded to bytes after each direction."""
+    rows, columns = pixels.shape[-2:]
     across = pixels.astype(float) @ _resample_weights(columns, width).T
     across = np.clip(np.floor(across + 0.5), 0, 255)
     down = _resample_weights(rows, height) @ across
     return np.clip(np.floor(down + 0.5), 0, 255)
 
 
-def difference_words(pixels: np.ndarray, size: int = 12) -> list[int]:
-    """Row-major left > right bits of the shrunken image, most significant first, in words."""
+def difference_words(pixels: np.ndarray, size: int = 12) -> np.ndarray:
+    """Row-major left > right bits of shrunken grey images (n, rows, columns), most significant first, as
+    (n, words)."""
     small = resize_grey(pixels, size + 1, size)
-    bits = (small[:, :-1] > small[:, 1:]).ravel()
-    pad = -len(bits) % WORD_BITS
-    grouped = np.concatenate([np.zeros(pad, dtype=bool), bits]).reshape(-1, WORD_BITS)
+    bits = (small[..., :-1] > small[..., 1:]).reshape(len(pixels), -1)
+    pad = -bits.shape[1] % WORD_BITS
+    grouped = np.pad(bits, ((0, 0), (pad, 0))).reshape(len(pixels), -1, WORD_BITS)
     powers = 1 << np.arange(WORD_BITS - 1, -1, -1, dtype=np.int64)
-    return [int(w) for w in grouped @ powers]
-
+    return grouped @ powers
 
-def luma(rgb: np.ndarray) -> np.ndarray:
-    """Grey bytes of an (h, w, 3) RGB image."""
-    weighted = rgb[..., 0] * 0.299 + rgb[..., 1] * 0.587 + rgb[..., 2] * 0.114
-    return np.floor(weighted + 0.5).astype(np.uint8)
 
+def fingerprints(blocks: DataFrame, size: int = 12) -> DataFrame:
+    """Words of every (id, width, height, channels, data) pixel block; null without pixels."""
 
-def fingerprints(images: DataFrame, size: int = 12) -> DataFrame:
-    """Words of every (id, width, height, grey BINARY) image, batch by batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [
-                difference_words(np.frombuffer(g, np.uint8).reshape(int(h), int(w)), size)
-                for g, w, h in zip(batch["grey"], batch["width"], batch["height"], strict=True)
-            ]
-            yield pd.DataFrame({"id": batch["id"], "words": words})
-
-    return images.select("id", "width", "height", "grey").mapInPandas(run, FINGERPRINT_SCHEMA)
+            words = [None] * batch.num_rows
+            for rows, pixels in images.stacks(batch):
+                found = difference_words(images.grey_print(pixels), size).tolist()
+                for row, own in zip(rows.tolist(), found, strict=True):
+                    words[row] = own
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(words, pa.list_(pa.int64()))], ["id", "words"]
+            )
+
+    return blocks.select(F.col("id").cast("long").alias("id"), *images.BLOCK).mapInArrow(
+        run, FINGERPRINT_SCHEMA
+    )
 
 
 def band_layout(total_bits: int, bands: int) -> list[tuple[int, int]]:

@@ -7,17 +7,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake import skew
+from boxlake.sources import images
 
 FLOW_SCHEMA = (
     "video_id BIGINT, frame_idx BIGINT, det_idx BIGINT, dx DOUBLE, dy DOUBLE, dt DOUBLE, "
     "reliability DOUBLE"
 )
 
+FLOW_NAMES = ["video_id", "frame_idx", "det_idx", "dx", "dy", "dt", "reliability"]
+CORNERS = ("x1", "y1", "x2", "y2")
+# One frame in so many is shuffled twice.
+CHUNK_FRAMES = 16
+BOXES_AT_ONCE = 64
+
 
 def search_radius(sample_rate: float) -> int:
     return 6 if sample_rate >= 30 else 8 if sample_rate >= 8 else 12
@@ -31,22 +37,35 @@ class FlowOptions:
     texture: float = 18.0
 
 
-def box_flow(
-    previous: np.ndarray, current: np.ndarray, box: tuple, options: FlowOptions = FlowOptions()
-) -> tuple[float, float, float] | None:
-    """(dx, dy, reliability) of one box, or None without enough textured patches."""
+def box_flows(
+    previous: np.ndarray, current: np.ndarray, boxes: np.ndarray,
+    options: FlowOptions = FlowOptions(),
+) -> np.ndarray:
+    """(dx, dy, reliability) of each box (x1, y1, x2, y2) from one grey frame to the next, all boxes side
+    by side; NaN without enough textured patches."""
     if previous.shape != current.shape:
         raise ValueError("Frames must have matching dimensions.")
+    out = np.full((len(boxes), 3), np.nan)
     height, width = previous.shape
     r, s, n = options.patch, options.search, options.grid
     margin = r + s
-    x1, x2 = (max(margin, min(width - margin, v)) for v in (box[0], box[2]))
-    y1, y2 = (max(margin, min(height - margin, v)) for v in (box[1], box[3]))
-    if x2 - x1 < 2 or y2 - y1 < 2:
-        return None
+    x1, x2 = (np.clip(boxes[:, c], margin, max(margin, width - margin)) for c in (0, 2))
+    y1, y2 = (np.clip(boxes[:, c], margin, max(margin, height - margin)) for c in (1, 3))
+    own = np.flatnonzero((x2 - x1 >= 2) & (y2 - y1 >= 2))
     steps = (np.arange(n) + 0.5) / n
-    xs = np.tile(np.floor(x1 + steps * (x2 - x1) + 0.5).astype(int), n)
-    ys = np.repeat(np.floor(y1 + steps * (y2 - y1) + 0.5).astype(int), n)
+    for at in range(0, len(own), BOXES_AT_ONCE):
+        part = own[at : at + BOXES_AT_ONCE]
+        span_x, span_y = (x2 - x1)[part, None], (y2 - y1)[part, None]
+        xs = np.floor(x1[part, None] + steps * span_x + 0.5).astype(int)
+        ys = np.floor(y1[part, None] + steps * span_y + 0.5).astype(int)
+        xs, ys = np.tile(xs, n).ravel(), np.repeat(ys, n, axis=1).ravel()
+        out[part] = _consensus(_moves(previous, current, xs, ys, options), len(part), options)
+    return out
+
+
+def _moves(previous, current, xs, ys, options: FlowOptions) -> np.ndarray:
+    """(points, 2) moves of the patches around the points; NaN where the texture is too weak."""
+    r, s = options.patch, options.search
 
     def squares(frame: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
         span = np.arange(-reach, reach + 1)
@@ -54,65 +73,123 @@ def box_flow(
             (ys[at, None] + span)[:, :, None], (xs[at, None] + span)[:, None, :]
         ].astype(np.int32)
 
-    everywhere = np.arange(n * n)
-    patches = squares(previous, r, everywhere)
-    rich = patches.std(axis=(1, 2)) >= options.texture
-    if rich.sum() < max(2, math.ceil(n * n * 0.2)):
-        return None
-    patches = patches[rich]
-    areas = squares(current, margin, everywhere[rich])
-    windows = np.lib.stride_tricks.sliding_window_view(areas, patches.shape[1:], axis=(1, 2))
-    errors = np.abs(windows - patches[:, None, None]).sum(axis=(3, 4))
-    best = errors.reshape(len(patches), -1).argmin(axis=1)  # row-major: the first minimum wins
-    found = np.stack([best % (2 * s + 1) - s, best // (2 * s + 1) - s], axis=1).astype(float)
-    dx, dy = np.median(found[:, 0]), np.median(found[:, 1])
-    spread = np.median(np.hypot(found[:, 0] - dx, found[:, 1] - dy))
-    reliability = (1 / (1 + spread)) * (len(found) / (n * n))
-    return float(dx), float(dy), float(max(0.0, min(1.0, reliability)))
+    moves = np.full((len(xs), 2), np.nan)
+    patches = squares(previous, r, np.arange(len(xs)))
+    rich = np.flatnonzero(patches.std(axis=(1, 2)) >= options.texture)
+    if len(rich):
+        patches = patches[rich]
+        areas = squares(current, r + s, rich)
+        windows = np.lib.stride_tricks.sliding_window_view(areas, patches.shape[1:], axis=(1, 2))
+        errors = np.abs(windows - patches[:, None, None]).sum(axis=(3, 4))
+        best = errors.reshape(len(patches), -1).argmin(axis=1)  # row-major: the first minimum wins
+        moves[rich] = np.stack((best % (2 * s + 1) - s, best // (2 * s + 1) - s), axis=1)
+    return moves
+
+
+def _consensus(moves: np.ndarray, boxes: int, options: FlowOptions) -> np.ndarray:
+    points = options.grid**2
+    moves = moves.reshape(boxes, points, 2)
+    found = (~np.isnan(moves[..., 0])).sum(axis=1)
+    out = np.full((boxes, 3), np.nan)
+    enough = found >= max(2, math.ceil(points * 0.2))
+    moves, found = moves[enough], found[enough]
+    if len(moves):
+        middle = np.nanmedian(moves, axis=1)
+        away = moves - middle[:, None]
+        spread = np.nanmedian(np.hypot(away[..., 0], away[..., 1]), axis=1)
+        reliability = np.clip(1 / (1 + spread) * (found / points), 0, 1)
+        out[enough] = np.column_stack((middle, reliability))
+    return out
+
+
+def box_flow(
+    previous: np.ndarray, current: np.ndarray, box: tuple, options: FlowOptions = FlowOptions()
+) -> tuple[float, float, float] | None:
+    """(dx, dy, reliability) of one box, or None without enough textured patches."""
+    found = box_flows(previous, current, np.array([box], float), options)[0]
+    return None if np.isnan(found[0]) else tuple(found.tolist())
 
 
 def motion_flow(
     frames: DataFrame, boxes: DataFrame, options: FlowOptions = FlowOptions(),
-    boxes_per_row: int = 300,
+    chunk_frames: int = CHUNK_FRAMES,
 ) -> DataFrame:
     """Flow from every box's frame to the next one.
 
-    `frames` is (video_id, frame_idx, t, width, height, grey BINARY) with dense frame numbers, so a
-    frame meets its successor by an equi-join on both keys and a long video spreads over its
-    frames. Boxes travel as bounded arrays, so pixels are not repeated per box.
+    `frames` are pixel blocks with (video_id, frame_idx, t) and dense frame numbers. Pixels are shuffled
+    once: a video is cut into chunks of `chunk_frames` frames, and only the last frame of a chunk goes to
+    the next one as well. Inside its chunk each frame is held until its successor has come; the boxes
+    of a frame follow its successor in the same order, so a task holds two frames and one batch, however
+    long a video is and however many boxes a frame has.
     """
-    keys = ["video_id", "frame_idx"]
-    following = frames.select(
-        "video_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("t").alias("next_t"),
-        F.col("width").alias("next_width"), F.col("height").alias("next_height"),
-        F.col("grey").alias("next_grey"),
+    chunk = lambda f: F.floor(f / F.lit(chunk_frames)).cast("long")
+    number = F.col("frame_idx")
+    none = F.lit(None)
+    pixels = frames.select(
+        "video_id",
+        F.explode(F.array_distinct(F.array(chunk(number), chunk(number + 1)))).alias("chunk"),
+        number.alias("place"), F.lit(0).alias("kind"), none.cast("long").alias("det_idx"),
+        F.col("t").cast("double").alias("t"), *images.BLOCK,
+        *[none.cast("double").alias(c) for c in CORNERS],
+    )
+    wanted = boxes.select(
+        "video_id", chunk(number + 1).alias("chunk"), (number + 1).alias("place"), F.lit(1).alias("kind"),
+        F.col("det_idx").cast("long"), none.cast("double").alias("t"),
+        *[none.cast(pixels.schema[c].dataType).alias(c) for c in images.BLOCK],
+        *[F.col(c).cast("double").alias(c) for c in CORNERS],
     )
-    parted = skew.with_part(boxes, keys, [F.col("det_idx")], boxes_per_row)
-    listed = parted.groupBy(*keys, "part_no").agg(
-        F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2")).alias("boxes")
+    keys = ["video_id", "chunk"]
+    ordered = pixels.unionByName(wanted).repartition(*keys).sortWithinPartitions(
+        *keys, "place", "kind", "det_idx"
     )
-    pairs = listed.join(frames, keys).join(following, keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (video, frame, t, grey) of the last two frames
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                before = np.frombuffer(row.grey, np.uint8).reshape(row.height, row.width)
-                after = np.frombuffer(row.next_grey, np.uint8).reshape(
-                    row.next_height, row.next_width
-                )
-                for box in row.boxes:
-                    corners = tuple(box[c] for c in ("x1", "y1", "x2", "y2"))
-                    flow = box_flow(before, after, corners, options)
-                    if flow is not None:
-                        dx, dy, reliability = flow
-                        rows.append((row.video_id, row.frame_idx, box["det_idx"], dx, dy,
-                                     row.next_t - row.t, reliability))
-            yield pd.DataFrame(rows, columns=[
-                "video_id", "frame_idx", "det_idx", "dx", "dy", "dt", "reliability"
-            ]).astype({"video_id": "int64", "frame_idx": "int64", "det_idx": "int64"})
-
-    return pairs.mapInPandas(run, FLOW_SCHEMA)
+            # Frames are converted at once, all of one shape together.
+            greys: dict[int, np.ndarray] = {}
+            for rows, stack in images.stacks(batch):
+                greys.update(zip(rows.tolist(), images.grey_video(stack), strict=True))
+            video, place, kind, t = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("video_id", "place", "kind", "t")
+            )
+            corners = np.column_stack(
+                [batch.column(c).to_numpy(zero_copy_only=False) for c in CORNERS]
+            )
+            # Runs of rows of one (video, place, kind): a frame, or the boxes before it.
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (
+                (video[1:] != video[:-1]) | (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])
+                | (kind[1:] == 0)
+            )
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if kind[a] == 0:
+                    held = [*held[-1:], (video[a], place[a], t[a], greys.get(a))]
+                    continue
+                if len(held) < 2 or not _pair(held, video[a], place[a]):
+                    continue
+                before, after = held
+                flows = box_flows(before[3], after[3], corners[a:b], options)
+                good = np.flatnonzero(~np.isnan(flows[:, 0]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(video[a:b][good].astype(np.int64)),
+                    pa.array(place[a:b][good].astype(np.int64) - 1),
+                    batch.column("det_idx").slice(a, b - a).take(pa.array(good)),
+                    *[pa.array(flows[good, c]) for c in range(2)],
+                    pa.array(np.full(len(good), after[2] - before[2])), pa.array(flows[good, 2]),
+                ], names=FLOW_NAMES)
+
+    return ordered.mapInArrow(run, FLOW_SCHEMA)
+
+
+def _pair(held: list[tuple], video: int, place: int) -> bool:
+    """Whether the held frames are the pair that ends at `place`, both decoded and of one size."""
+    (v, f, _, before), (w, g, _, after) = held
+    return (
+        v == w == video and g == place and f == place - 1 and before is not None
+        and after is not None and before.shape == after.shape
+    )
 
 
 def flow_consensus(patches: DataFrame, key: str, grid: int = 4) -> DataFrame:

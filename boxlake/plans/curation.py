@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlake import skew
 from boxlake.functions import text as t
 from boxlake.operators import curate, dedupe, fingerprint, neardup
 from boxlake.plans.fixtures import table
 from boxlake.plans.registry import Registry
 from boxlake.sources import candidates as source
+from boxlake.sources import images as image_files
 
 curation = Registry()
 
@@ -369,14 +371,45 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.first_wins(found, ["category", "title"], ["seq", "doc_id"])
 
 
-@curation.add("dhash_fingerprint")
-def dhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document bytes shown as 16-pixel-wide grey images, padded to whole rows."""
-    grey = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS id", "encode(text, 'utf-8') AS bytes"
-    ).selectExpr(
-        "id", "16 AS width", "greatest(1, ceil(octet_length(bytes) / 16)) AS height",
-        "rpad(bytes, CAST(greatest(1, ceil(octet_length(bytes) / 16)) * 16 AS INT), X'00') AS grey",
+# Images of 13 x 12 pixels are their own reduction, so that SQL can say their fingerprint.
+_PICTURES = 15  # digests that hold the bytes of a picture
+_DHASH_SQL = f"""
+    WITH p AS (
+        SELECT s_suppkey AS id, s_suppkey % 3 = 1 AS grey,
+               string_agg(sha256(s_suppkey::VARCHAR || '-' || i::VARCHAR), '' ORDER BY i) AS h
+        FROM supplier, range({_PICTURES}) AS r(i) GROUP BY 1),
+    px AS (
+        SELECT id, j, CASE WHEN grey THEN ('0x' || substr(h, 2 * j + 1, 2))::INT
+               ELSE (('0x' || substr(h, 6 * j + 1, 2))::INT * 7471 + ('0x' || substr(h, 6 * j + 3, 2))::INT * 38470
+                     + ('0x' || substr(h, 6 * j + 5, 2))::INT * 19595 + 32768) >> 16 END AS v
+        FROM p, range(156) AS r(j)),
+    bits AS (
+        SELECT a.id, (a.j // 13) * 12 + a.j % 13 AS k, (a.v > b.v)::BIGINT AS bit
+        FROM px AS a JOIN px AS b ON a.id = b.id AND b.j = a.j + 1 WHERE a.j % 13 < 12)
+    SELECT id, sum(CASE WHEN k < 48 THEN bit << (47 - k) ELSE 0 END)::BIGINT AS w0,
+           sum(CASE WHEN k BETWEEN 48 AND 95 THEN bit << (95 - k) ELSE 0 END)::BIGINT AS w1,
+           sum(CASE WHEN k >= 96 THEN bit << (143 - k) ELSE 0 END)::BIGINT AS w2
+    FROM bits GROUP BY id"""
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of 13 x 12 pixels for each supplier: grey or coloured, to be a PNG or BMP file."""
+    digests = f"array_join(transform(sequence(0, {_PICTURES - 1}), i -> sha2(concat(s_suppkey, '-', i), 256)), '')"
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS STRING) AS name", "IF(s_suppkey % 3 = 2, 'bmp', 'png') AS format",
+        "13 AS width", "12 AS height", "IF(s_suppkey % 3 = 1, 1, 3) AS channels",
+        f"substring(unhex({digests}), 1, IF(s_suppkey % 3 = 1, 156, 468)) AS data",
     )
-    words = fingerprint.fingerprints(grey)
+
+
+@curation.add("dhash_fingerprint", _DHASH_SQL)
+def dhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of image files: written by tasks, read and decoded by the image source."""
+    folder = skew.shared_folder(spark, "pictures")
+    written = image_files.write_images(pictures(spark, sf_dir), folder)
+    if written.agg(F.count("bytes")).first()[0] == 0:
+        blocks = spark.createDataFrame([], "id long, width int, height int, channels int, data binary")
+    else:
+        blocks = image_files.read_images(spark, folder).withColumn("id", F.col("name").cast("long"))
+    words = fingerprint.fingerprints(blocks)
     return words.select("id", *[F.get("words", F.lit(i)).alias(f"w{i}") for i in range(3)])

@@ -402,23 +402,61 @@ def flow_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.flow_consensus(patches, "box_id")
 
 
-@video.add("motion_flow")
+# A patch of 3 x 3 pixels is searched 3 pixels around: sums of absolute differences that SQL can list.
+_FLOW_OPTIONS = motion.FlowOptions(patch=1, search=3)
+_FLOW_SQL = """
+    WITH d AS (
+        SELECT doc_id, string_agg(sha256(h || i::VARCHAR), '' ORDER BY i) AS noise
+        FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), range(60) AS r(i) GROUP BY 1),
+    px AS (SELECT doc_id, j, ('0x' || substr(noise, 2 * j + 1, 2))::INT AS v FROM d, range(1920) AS r(j)),
+    near AS (SELECT y * 3 + x AS o, y - 1 AS oy, x - 1 AS ox FROM range(3) AS a(y), range(3) AS b(x)),
+    moves AS (SELECT y - 3 AS dy, x - 3 AS dx FROM range(7) AS a(y), range(7) AS b(x)),
+    points AS (
+        SELECT f, det, gy * 4 + gx AS pt, floor(10 + det + (gx + 0.5) * 6.5 + 0.5)::INT AS x, floor(9 + (gy + 0.5) * 5.25 + 0.5)::INT AS y
+        FROM range(2) AS a(f), range(2) AS b(det), range(4) AS c(gy), range(4) AS d(gx)),
+    before AS (
+        SELECT doc_id, f, det, pt, x, y, o, ox, oy, v
+        FROM points CROSS JOIN near JOIN px ON px.j = ((y + oy) * 48 + x + ox + f) % 1920),
+    rich AS (
+        SELECT doc_id, f, det, pt FROM before GROUP BY ALL HAVING 9 * sum(v * v) - sum(v) * sum(v) >= 26244),
+    sad AS (
+        SELECT b.doc_id, f, det, pt, dy, dx, sum(abs(b.v - px.v)) AS e
+        FROM (SELECT * FROM before JOIN rich USING (doc_id, f, det, pt)) AS b CROSS JOIN moves
+        JOIN px ON px.doc_id = b.doc_id AND px.j = ((b.y + dy + b.oy) * 48 + b.x + dx + b.ox + b.f + 1) % 1920
+        GROUP BY ALL),
+    best AS (
+        SELECT doc_id, f, det, dx, dy FROM sad
+        QUALIFY row_number() OVER (PARTITION BY doc_id, f, det, pt ORDER BY e, dy, dx) = 1),
+    middle AS (
+        SELECT doc_id, f, det, median(dx) AS mx, median(dy) AS my, count(*) AS n FROM best GROUP BY ALL HAVING count(*) >= 4),
+    spread AS (
+        SELECT doc_id, f, det, mx, my, n, median(sqrt((dx - mx) * (dx - mx) + (dy - my) * (dy - my))) AS s
+        FROM best JOIN middle USING (doc_id, f, det) GROUP BY ALL)
+    SELECT doc_id AS video_id, f AS frame_idx, det AS det_idx, mx AS dx, my AS dy, 0.25::DOUBLE AS dt,
+           round(greatest(0, least(1, 1 / (1 + s) * (n / 16.0::DOUBLE))), 9) AS reliability
+    FROM spread"""
+
+
+@video.add("motion_flow", _FLOW_SQL)
 def motion_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three frames per document: hashed noise, each frame shifted one pixel to the left."""
     texture = "array_join(transform(sequence(0, 59), i -> sha2(concat(d, CAST(i AS STRING)), 256)), '')"
-    digests = table(spark, sf_dir, "documents").selectExpr("doc_id", "sha2(text, 256) AS d")
+    digests = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "sha2(coalesce(text, ''), 256) AS d"
+    )
     frames = digests.selectExpr(
         "doc_id AS video_id", f"unhex({texture}) AS noise", "explode(sequence(0, 2)) AS f"
     ).selectExpr(
         "video_id", "CAST(f AS BIGINT) AS frame_idx", "f * 0.25D AS t", "48 AS width", "40 AS height",
-        "concat(substring(noise, f + 1, 1920), substring(noise, 1, f)) AS grey",
+        "1 AS channels", "concat(substring(noise, f + 1, 1920), substring(noise, 1, f)) AS data",
     )
     boxes = frames.selectExpr(
         "video_id", "frame_idx", "explode(sequence(0L, 1L)) AS det_idx"
     ).selectExpr(
         "*", "10.0D + det_idx AS x1", "9.0D AS y1", "36.0D + det_idx AS x2", "30.0D AS y2"
     )
-    return motion.motion_flow(frames, boxes)
+    flows = motion.motion_flow(frames, boxes, _FLOW_OPTIONS)
+    return flows.withColumn("reliability", F.round("reliability", 9))
 
 
 _EVENT_OPS = ("confirm", "move", "remove", "undo", "add", "redo", "reclass", "undo", "restore",

@@ -7,6 +7,7 @@ rounds, and no row is dropped, sampled or capped.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, as a URI."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if "://" not in base:
+        base = f"file://{base.removeprefix('file:')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the reliable checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

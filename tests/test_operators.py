@@ -18,6 +18,7 @@ from boxlake.operators import (
     review, tracking,
 )
 from boxlake.sources import detections as det_source
+from boxlake.sources import images as image_files
 from boxlake.sources import labels, media
 
 
@@ -365,12 +366,14 @@ def test_open_quota_with_tiny_chunks(spark):
 
 def test_difference_hash():
     flat = np.full((40, 60), 90, np.uint8)
-    assert fingerprint.difference_words(flat) == [0, 0, 0]
     falling = np.tile(np.linspace(250, 5, 130).astype(np.uint8), (60, 1))
-    assert sum(w.bit_count() for w in fingerprint.difference_words(falling)) == 144
     moved = np.roll(falling, 1, axis=0)
-    assert fingerprint.difference_words(moved) == fingerprint.difference_words(falling)
-    assert fingerprint.luma(np.array([[[255, 0, 0], [0, 255, 0]]], float)).tolist() == [[76, 150]]
+    assert fingerprint.difference_words(flat[None]).tolist() == [[0, 0, 0]]
+    words, same = fingerprint.difference_words(np.stack((falling, moved))).tolist()
+    assert sum(w.bit_count() for w in words) == 144 and words == same
+    bgr = np.array([[[0, 0, 255], [0, 255, 0], [255, 0, 0], [9, 200, 31]]], np.uint8)
+    assert image_files.grey_video(bgr).tolist() == [[76, 150, 29, 128]]
+    assert image_files.grey_print(bgr).tolist() == [[76, 150, 29, 128]]
 
 
 def test_box_flow_finds_a_known_shift():
