@@ -160,7 +160,7 @@ def write_files(
         )
 
     named = rows.select(F.col(name).cast("string").alias("name"), F.col(text), F.col(order))
-    placed = named.repartition("name").sortWithinPartitions("name", order).select("name", text)
+    placed = skew.in_one_task(named, ["name"], [order]).select("name", text)
     return placed.mapInArrow(run, "name string, n long")
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake import skew
 from boxlake.sources import images
 
 FLOW_SCHEMA = (
@@ -139,9 +140,7 @@ def motion_flow(
         *[F.col(c).cast("double").alias(c) for c in CORNERS],
     )
     keys = ["video_id", "chunk"]
-    ordered = pixels.unionByName(wanted).repartition(*keys).sortWithinPartitions(
-        *keys, "place", "kind", "det_idx"
-    )
+    ordered = skew.in_one_task(pixels.unionByName(wanted), keys, ["place", "kind", "det_idx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (video, frame, t, grey) of the last two frames

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake import skew
-from boxlake.sequential import GROUP_LIMIT, fold_sorted
+from boxlake import affine, skew
 
 VECTOR = ("cx", "cy", "w", "h")
+CHUNK_ROWS = 200_000
 
 
 def box_vectors(df: DataFrame) -> DataFrame:
@@ -23,69 +23,129 @@ def box_vectors(df: DataFrame) -> DataFrame:
     })
 
 
-class _Ewma:
-    """One direction of the smoothing."""
-
-    def __init__(self, tau: float, suffix: str, carry: Sequence[tuple[str, str]]) -> None:
-        self.tau = tau
-        self.inputs = ("t", *VECTOR, *[n for n, _ in carry])
-        self.outputs = (
-            ("t", "double"), *[(v, "double") for v in VECTOR], *carry,
-            *[(f"{suffix}_{v}", "double") for v in VECTOR],
-        )
-
-    def begin(self) -> list:
-        return [None, None]
-
-    def feed(self, state: list, row: tuple) -> list[tuple]:
-        t, vector = row[0], row[1:5]
-        if state[0] is not None:
-            gap = abs(t - state[0])
-            alpha = 1.0 if self.tau <= 0 or gap <= 0 else 1 - math.exp(-gap / self.tau)
-            vector = tuple(p + (v - p) * alpha for p, v in zip(state[1], vector, strict=True))
-        state[0], state[1] = t, vector
-        return [(*row, *vector)]
-
-    def finish(self, state: list) -> list[tuple]:
-        return []
-
-    def save(self, state: list) -> bytes:
-        return pickle.dumps(state)
-
-    def load(self, saved: bytes) -> list:
-        return pickle.loads(saved)
+SUMMARY = ("first_t", "last_t", "decay")
+
+
+def _boundary(prefix: str) -> list[str]:
+    return [f"{prefix}_{v}" for v in ("t", *VECTOR)]
+
+
+def _smoothed(rows: DataFrame, keys: list[str], parts: list[str], tau: float, chunked: bool) -> DataFrame:
+    """Averaged states of groups that fit into a task; with `chunked`, of chunks of larger ones, whose rows
+    carry what enters from both sides."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    whole = [*keys, *parts]
+
+    def make(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sides = [None, None]
+        if chunked:
+            first = table.take(pa.array(starts))
+            sides = [affine.values(first, _boundary(p)) for p in ("before", "after")]
+            sides = [(s[:, 0], s[:, 1:]) for s in sides]
+        t = affine.values(table, ["t"])[:, 0]
+        forward, backward = affine.both_ways(t, affine.values(table, VECTOR), starts, tau, *sides)
+        mean = (forward + backward) / 2
+        columns = [table.column(k).combine_chunks() for k in [*keys, "t"]]
+        columns += [pa.array(np.ascontiguousarray(mean[:, i])) for i in range(len(VECTOR))]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "t", *[f"s_{v}" for v in VECTOR]])
+
+    placed = skew.in_one_task(rows, whole, ["t", *VECTOR])
+    fields = [f"`{k}` {kinds[k]}" for k in keys] + ["t double"] + [f"s_{v} double" for v in VECTOR]
+    return placed.mapInArrow(affine.kernel(whole, make), ", ".join(fields))
+
+
+def _chunk_maps(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
+    """One row per (keys, _chunk): its first and last time and vector, how much of a state is left after
+    all its steps (`decay`, the same in both directions), and the state it ends with on both sides
+    if nothing enters but its own first row."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    whole = [*keys, "_chunk"]
+    names = [*SUMMARY] + [f"{p}_{v}" for p in ("first", "last", "on", "back") for v in VECTOR]
+
+    def make(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        t, v = affine.values(table, ["t"])[:, 0], affine.values(table, VECTOR)
+        ends = np.append(starts[1:], len(t)) - 1
+        forward, backward = affine.both_ways(t, v, starts, tau)
+        steps = affine.decays(np.append(0.0, np.diff(t)), tau)
+        steps[starts] = 1.0
+        left = np.multiply.reduceat(steps, starts)
+        numbers = np.column_stack((
+            t[starts], t[ends], left, v[starts], v[ends], forward[ends], backward[starts]
+        ))
+        first = table.take(pa.array(starts))
+        columns = [first.column(k).combine_chunks() for k in whole]
+        columns += [pa.array(np.ascontiguousarray(numbers[:, i])) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, [*whole, *names])
+
+    placed = skew.in_one_task(rows, whole, ["t", *VECTOR])
+    fields = [f"`{k}` {kinds[k]}" for k in whole] + [f"{n} double" for n in names]
+    return placed.mapInArrow(affine.kernel(whole, make), ", ".join(fields))
+
+
+def _entering(maps: DataFrame, keys: list[str], tau: float) -> DataFrame:
+    """(keys, _chunk, before_*, after_*): time and state of the rows beside each chunk. The maps of a group,
+    one for some hundred thousand rows, are composed in one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in maps.schema.fields}
+    whole = [*keys, "_chunk"]
+    names = [*_boundary("before"), *_boundary("after")]
+
+    def make(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        named = lambda p: affine.values(table, [f"{p}_{v}" for v in VECTOR])
+        first_t, last_t, decay = affine.values(table, SUMMARY).T
+        n = len(decay)
+        begins = np.zeros(n, bool)
+        begins[starts] = True
+        ends = np.append(begins[1:], True)
+
+        def states(gap, kept, near, on, edge):
+            # A chunk: x = keep * y + (1 - keep) * near, then on + kept * (x - near).
+            passed = np.where(edge, 0.0, affine.decays(gap, tau)) * kept
+            return affine.scan(passed, on - passed[:, None] * near)[1]
+
+        gap = np.append(0.0, first_t[1:] - last_t[:-1])
+        out = states(gap, decay, named("first"), named("on"), begins)
+        rear = np.append(first_t[1:] - last_t[:-1], 0.0)
+        turned = (x[::-1] for x in (rear, decay, named("last"), named("back"), ends))
+        back = states(*turned)[::-1]
+        sides = np.full((n, 2 * len(VECTOR) + 2), np.nan)
+        held = np.flatnonzero(~begins)
+        sides[held, : len(VECTOR) + 1] = np.column_stack((last_t[held - 1], out[held - 1]))
+        held = np.flatnonzero(~ends)
+        sides[held, len(VECTOR) + 1 :] = np.column_stack((first_t[held + 1], back[held + 1]))
+        columns = [table.column(k).combine_chunks() for k in whole]
+        columns += [pa.array(np.ascontiguousarray(sides[:, i])) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, [*whole, *names])
+
+    placed = skew.in_one_task(maps, keys, ["_chunk"])
+    fields = [f"`{k}` {kinds[k]}" for k in whole] + [f"{n} double" for n in names]
+    return placed.mapInArrow(affine.kernel(keys, make), ", ".join(fields))
 
 
 def smooth_tracks(
-    observations: DataFrame, keys: Sequence[str], tau: float, round_limit: int = GROUP_LIMIT
+    observations: DataFrame, keys: Sequence[str], tau: float, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """(keys, t, s_cx, s_cy, s_w, s_h): forward and backward exponential smoothing, averaged.
 
-    `observations` carries t and a box. Rows of one time are taken in the order of their vectors, for
-    groups of any size; groups above `round_limit` rows stream through the same fold in rounds.
+    `observations` carries t and a box. Rows of one time are taken in the order of their vectors. Groups
+    above `chunk_rows` rows are cut into chunks: one pass composes each chunk to a map, the maps of a
+    group are composed to what enters its chunks from both sides, and one more pass smooths all
+    chunks at once. The number of jobs does not depend on the length of a group.
     """
-    rows = box_vectors(observations).select(*keys, "t", *VECTOR)
-    order = ["t", *VECTOR]
-    carried = tuple((f"f_{v}", "double") for v in VECTOR)
-
-    def averaged(forward: DataFrame, limit: int | None) -> DataFrame:
-        backward = fold_sorted(
-            forward, keys, order, _Ewma(tau, "b", carried), group_limit=limit, descending=True
-        )
-        return backward.select(
-            *keys, "t",
-            *[((F.col(f"f_{v}") + F.col(f"b_{v}")) / 2).alias(f"s_{v}") for v in VECTOR],
-        )
-
-    cool, hot = skew.split_hot(rows, keys, round_limit)
-    result = averaged(fold_sorted(cool, keys, order, _Ewma(tau, "f", ()), group_limit=None), None)
+    keys = list(keys)
+    rows = box_vectors(observations).select(*keys, F.col("t").cast("double").alias("t"), *VECTOR)
+    rows = rows.withColumns({v: F.col(v).cast("double") for v in VECTOR})
+    cool, hot = skew.split_hot(rows, keys, chunk_rows)
+    result = _smoothed(cool, keys, [], tau, False)
     if hot is None:
         return result
-    # Both passes read materialised rows, so nothing upstream is computed again per pass or count.
-    forward = fold_sorted(
-        skew.checkpointed(hot), keys, order, _Ewma(tau, "f", ()), group_limit=round_limit
-    )
-    return result.unionByName(averaged(skew.checkpointed(forward), round_limit))
+    order = [F.col(c).asc() for c in ("t", *VECTOR)]
+    indexed = skew.group_index(hot, keys, order, "_i")
+    chunks = skew.checkpointed(indexed.select(
+        *rows.columns, F.floor((F.col("_i") - 1) / chunk_rows).cast("long").alias("_chunk")
+    ))
+    entering = _entering(_chunk_maps(chunks, keys, tau), keys, tau)
+    joined = chunks.join(entering, [*keys, "_chunk"])
+    return result.unionByName(_smoothed(joined, keys, ["_chunk"], tau, True))
 
 
 def asof_both(

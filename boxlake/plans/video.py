@@ -408,22 +408,23 @@ _FLOW_SQL = """
     WITH d AS (
         SELECT doc_id, string_agg(sha256(h || i::VARCHAR), '' ORDER BY i) AS noise
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), range(60) AS r(i) GROUP BY 1),
-    px AS (SELECT doc_id, j, ('0x' || substr(noise, 2 * j + 1, 2))::INT AS v FROM d, range(1920) AS r(j)),
+    px AS MATERIALIZED (SELECT doc_id, j, ('0x' || substr(noise, 2 * j + 1, 2))::INT AS v FROM d, range(1920) AS r(j)),
     near AS (SELECT y * 3 + x AS o, y - 1 AS oy, x - 1 AS ox FROM range(3) AS a(y), range(3) AS b(x)),
     moves AS (SELECT y - 3 AS dy, x - 3 AS dx FROM range(7) AS a(y), range(7) AS b(x)),
     points AS (
         SELECT f, det, gy * 4 + gx AS pt, floor(10 + det + (gx + 0.5) * 6.5 + 0.5)::INT AS x, floor(9 + (gy + 0.5) * 5.25 + 0.5)::INT AS y
         FROM range(2) AS a(f), range(2) AS b(det), range(4) AS c(gy), range(4) AS d(gx)),
-    before AS (
+    before AS MATERIALIZED (
         SELECT doc_id, f, det, pt, x, y, o, ox, oy, v
         FROM points CROSS JOIN near JOIN px ON px.j = ((y + oy) * 48 + x + ox + f) % 1920),
     rich AS (
         SELECT doc_id, f, det, pt FROM before GROUP BY ALL HAVING 9 * sum(v * v) - sum(v) * sum(v) >= 26244),
+    probe AS MATERIALIZED (
+        SELECT doc_id, f, det, pt, dy, dx, v AS was, ((y + dy + oy) * 48 + x + dx + ox + f + 1) % 1920 AS j
+        FROM before JOIN rich USING (doc_id, f, det, pt) CROSS JOIN moves),
     sad AS (
-        SELECT b.doc_id, f, det, pt, dy, dx, sum(abs(b.v - px.v)) AS e
-        FROM (SELECT * FROM before JOIN rich USING (doc_id, f, det, pt)) AS b CROSS JOIN moves
-        JOIN px ON px.doc_id = b.doc_id AND px.j = ((b.y + dy + b.oy) * 48 + b.x + dx + b.ox + b.f + 1) % 1920
-        GROUP BY ALL),
+        SELECT doc_id, f, det, pt, dy, dx, sum(abs(was - v)) AS e FROM probe JOIN px USING (doc_id, j)
+        GROUP BY doc_id, f, det, pt, dy, dx),
     best AS (
         SELECT doc_id, f, det, dx, dy FROM sad
         QUALIFY row_number() OVER (PARTITION BY doc_id, f, det, pt ORDER BY e, dy, dx) = 1),

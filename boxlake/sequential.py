@@ -114,9 +114,7 @@ def fold_sorted(
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
     def run(part: DataFrame) -> DataFrame:
-        placed = part.repartition(*keys).sortWithinPartitions(
-            *[F.col(k) for k in keys], F.col("_state").isNull().asc(), *sort
-        )
+        placed = skew.in_one_task(part, keys, [F.col("_state").isNull().asc(), *sort])
         return placed.mapInArrow(kernel, schema)
 
     cool, hot = (rows, None) if group_limit is None else skew.split_hot(rows, keys, group_limit)

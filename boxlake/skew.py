@@ -50,6 +50,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_one_task(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The rows of each key in one task, sorted by the keys and `order`.
+
+    Rows are placed by a hash of the keys and not by the keys themselves: a repartition by the keys of a
+    join is dropped as already done, and adaptive execution, which does not know what depends on it,
+    may then read the join's shuffle in local pieces or split its hot partitions.
+    """
+    keys = list(keys)
+    placed = df.withColumn("_place", F.xxhash64(*keys)).repartition("_place")
+    return placed.sortWithinPartitions(*keys, *order).drop("_place")
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than `limit` rows, or None. Counting combines before the shuffle."""
     counts = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
@@ -438,12 +439,58 @@ def test_tracker_rounds_and_sessions_equal_one_pass(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, cut.select(*whole.columns).collect()))
 
 
-def test_long_groups_smooth_the_same(spark):
+def plain_smoothed(rows, tau):
+    """[(t, vector)] in order: the two folds, averaged."""
+    def fold(rows):
+        out = []
+        for t, v in rows:
+            if out:
+                gap = abs(t - out[-1][0])
+                alpha = 1.0 if tau <= 0 or gap <= 0 else 1 - math.exp(-gap / tau)
+                v = [p + (x - p) * alpha for p, x in zip(out[-1][1], v)]
+            out.append((t, v))
+        return [v for _, v in out]
+
+    return [
+        [(x + y) / 2 for x, y in zip(a, b)] for a, b in zip(fold(rows), fold(rows[::-1])[::-1])
+    ]
+
+
+@pytest.mark.parametrize("tau", [0.5, 40.0, 0.0])
+def test_groups_of_any_length_smooth_like_a_fold(spark, tau):
     rows = random_observations(spark)  # several rows at one time
+    rows = rows.union(rows.withColumn("class_name", F.lit("c")).limit(1))
+    rows = rows.withColumn("class_name", F.when(F.col("det_idx") < 1, F.col("class_name")))
     keys = ["video_id", "class_name"]
-    short = playback.smooth_tracks(rows, keys, 0.5)
-    long = playback.smooth_tracks(rows, keys, 0.5, round_limit=30)
-    assert sorted(short.collect()) == sorted(long.collect())
+    groups = {}
+    for r in playback.box_vectors(rows).collect():
+        groups.setdefault(r.class_name, []).append((r.t, [r.cx, r.cy, r.w, r.h]))
+    want = [(str(name), t, *v) for name, own in groups.items()
+            for (t, _), v in zip(sorted(own), plain_smoothed(sorted(own), tau))]
+    assert len(want) > 200
+    for limit in (playback.CHUNK_ROWS, 30, 1):
+        found = playback.smooth_tracks(rows, keys, tau, chunk_rows=limit).drop("video_id").collect()
+        got = [(str(r[0]), *r[1:]) for r in found]
+        for g, w in zip(sorted(got), sorted(want), strict=True):
+            assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9, abs=1e-9)
+
+
+def test_a_long_track_takes_as_many_jobs_as_a_short_one(spark):
+    def jobs(n, chunk_rows):
+        rows = spark.range(n).selectExpr("1L AS k", "id * 0.1D AS t", "id % 7 + 0.0D AS x1", "0.0D AS y1",
+                                         "id % 7 + 9.0D AS x2", "5.0D AS y2")
+        group = f"smooth-{n}-{chunk_rows}"
+        spark.sparkContext.setJobGroup(group, group)
+        first = playback.smooth_tracks(rows, ["k"], 3.0, chunk_rows).agg(F.sum("s_cx")).first()[0]
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        return count, first
+
+    # 500,000 rows in 5 chunks and in 5,000.
+    few, a = jobs(500_000, 100_000)
+    many, b = jobs(500_000, 100)
+    whole, c = jobs(500_000, 1_000_000)
+    assert many <= few + 2 and a == pytest.approx(c, rel=1e-12) and b == pytest.approx(c, rel=1e-12)
 
 
 def test_playback_interpolates_two_tracks_and_respects_gaps(spark):
