@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from boxlake.llm import kernel
 from boxlake.llm.components import components
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts, stored
+from boxlake.llm.frames import arrow_map, batch_of, freed, keyed_texts, stored
 from boxlake.skew import sized_broadcast
 
 WORDS = 5
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     return arrow_map(
-        keyed_texts(docs), run, "doc_id long", "n_shingles long", "digest_a long", "digest_b long",
+        keyed_texts(docs), freed(run), "doc_id long", "n_shingles long", "digest_a long", "digest_b long",
         "sketch binary",
     )
 
@@ -221,7 +221,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
             own = batch.filter(pa.array(good, pa.bool_()))
             yield batch_of(a=own.column("a"), b=own.column("b"))
 
-    return arrow_map(rows.select("a", "b", "text_a", "text_b"), keep, "a long", "b long")
+    return arrow_map(rows.select("a", "b", "text_a", "text_b"), freed(keep), "a long", "b long")
 
 
 def _unsettled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxlake.llm import kernel
-from boxlake.llm.frames import arrow_map, batch_of, keyed_texts
+from boxlake.llm.frames import arrow_map, batch_of, freed, keyed_texts
 
 SPACE = "▁"
 CACHED_WORDS = 250_000
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
             )
 
     return arrow_map(
-        keyed_texts(docs), run, "doc_id long", "ids array<int>", "n_ids long", "round_trip boolean"
+        keyed_texts(docs), freed(run), "doc_id long", "ids array<int>", "n_ids long", "round_trip boolean"
     )
 
 
