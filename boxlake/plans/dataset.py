@@ -147,39 +147,78 @@ def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataset.add(
-    "media_probe",
-    """
-    WITH i AS (SELECT image_id, CASE WHEN image_id % 53 = 0 THEN 200 ELSE 640 END AS width,
-                      CAST(300 + image_id % 200 AS INTEGER) AS height, image_id % 6 AS kind FROM images)
-    SELECT CAST(image_id AS VARCHAR) AS path,
-           CASE kind WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'JPEG' WHEN 3 THEN 'MPO' WHEN 4 THEN 'BMP' END AS format,
-           CASE WHEN kind < 5 THEN width END AS width, CASE WHEN kind < 5 THEN height END AS height,
-           CASE WHEN kind = 2 THEN 6 ELSE 1 END AS orientation,
-           concat_ws(',', CASE WHEN kind = 5 THEN 'cannot decode' END,
-               CASE WHEN kind = 2 THEN 'exif orientation' END, CASE WHEN kind = 3 THEN 'mpo' END,
-               CASE WHEN kind < 5 AND width < 256 THEN 'low resolution' END) AS issues
-    FROM i""",
-    ("images",),
+# Kind, format and orientation of the derived header files.
+_PROBE_KINDS = (
+    ("PNG", 1), ("JPEG", 1), ("JPEG", 6), ("MPO", 1), ("BMP", 1), (None, 1), ("WEBP", 1), ("WEBP", 1), ("WEBP", 3),
+    ("AVIF", 1), ("AVIF", 8), ("AVIF", 7),
 )
+
+
+def _probe_cases(values: list[str]) -> str:
+    return "CASE kind " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_PROBE_SQL = f"""
+    WITH i AS (SELECT image_id, CASE WHEN image_id % 53 = 0 THEN 200 ELSE 640 END AS w,
+                      CAST(300 + image_id % 200 AS INTEGER) AS h, image_id % {len(_PROBE_KINDS)} AS kind FROM images),
+    k AS (SELECT *, {_probe_cases([f"'{f}'" if f else "NULL" for f, _ in _PROBE_KINDS])} AS format,
+                 {_probe_cases([str(o) for _, o in _PROBE_KINDS])} AS orientation FROM i)
+    SELECT CAST(image_id AS VARCHAR) AS path, format, CASE WHEN kind <> 5 THEN w END AS width,
+           CASE WHEN kind <> 5 THEN h END AS height, orientation,
+           concat_ws(',', CASE WHEN kind = 5 THEN 'cannot decode' END, CASE WHEN orientation <> 1 THEN 'exif orientation' END,
+               CASE WHEN format = 'MPO' THEN 'mpo' END, CASE WHEN kind <> 5 AND w < 256 THEN 'low resolution' END) AS issues
+    FROM k"""
+
+
+@dataset.add("media_probe", _PROBE_SQL, ("images",))
 def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = "concat('FFC0000B08', lpad(hex(height), 4, '0'), lpad(hex(width), 4, '0'), '01011100FFDA')"
-    exif = "FFE10022457869660000" + "4D4D002A00000008" + "0001" + "011200030000000100060000" + "00000000"
-    reverse32 = "concat(substr({0}, 7, 2), substr({0}, 5, 2), substr({0}, 3, 2), substr({0}, 1, 2))"
-    little = {n: reverse32.format(f"lpad(hex({n}), 8, '0')") for n in ("width", "height")}
+    """Headers of every format, put together from the sizes of the images."""
+
+    def big(value: str, size: int) -> str:
+        return f"lpad(hex({value}), {2 * size}, '0')"
+
+    def little(value: str, size: int) -> str:
+        digits = big(value, size)
+        return "concat(" + ", ".join(f"substr({digits}, {2 * i - 1}, 2)" for i in range(size, 0, -1)) + ")"
+
+    def joined(*parts: str) -> str:
+        return f"concat({', '.join(p if '(' in p else repr(p) for p in parts)})"
+
+    def tiff(orientation: int) -> str:
+        return "4D4D002A00000008" + "0001" + f"01120003000000010{orientation:03X}0000" + "00000000"
+
+    frame = joined("FFC0000B08", big("height", 2), big("width", 2), "01011100FFDA")
+    exif = "FFE10022457869660000" + tiff(6)
+    riff = lambda size: joined("52494646", little(f"{size}L", 4), "57454250")
+    lossless = little("(width - 1) + (height - 1) * 16384L", 4)
+
+    def avif(transforms: str, count: int, linked: str) -> str:
+        """ftyp, then meta with pitm and iprp (ipco: ispe and transforms; ipma of item 1)."""
+        ispe = joined("0000001469737065" + "00000000", big("width", 4), big("height", 4))
+        ipco, ipma = 8 + 20 + len(transforms) // 2, 8 + 8 + 3 + count
+        iprp = 8 + ipco + ipma
+        return joined(
+            "0000001C66747970617669660000000061766966" + "6D696631" + "6D696166",
+            big(f"{12 + 14 + iprp}L", 4), "6D65746100000000", "0000000E7069746D000000000001",
+            big(f"{iprp}L", 4), "69707270", big(f"{ipco}L", 4), "6970636F", ispe, transforms or "",
+            big(f"{ipma}L", 4), "69706D610000000000000001" + f"0001{count:02X}{linked}",
+        )
+
+    irot, imir = "0000000969726F7401", "00000009696D697201"
+    contents = [
+        joined("89504E470D0A1A0A0000000D49484452", big("width", 4), big("height", 4)),
+        joined("FFD8", frame), joined(f"FFD8{exif}", frame), joined("FFD8FFE200064D504600", frame),
+        joined("424D" + "00" * 16, little("width", 4), little("height", 4)), "'00FF'",
+        joined(riff(22), "56503820", little("10L", 4), "0000009D012A", little("width", 2), little("height", 2)),
+        joined(riff(18), "5650384C", little("5L", 4), "2F", lossless, "00"),
+        joined(riff(56), "56503858", little("10L", 4), "08000000", little("width - 1", 3), little("height - 1", 3),
+               "45584946", little("26L", 4), tiff(3)),
+        avif("", 1, "01"), avif(irot, 2, "0182"), avif(irot + imir, 3, "018283"),
+    ]
     files = images(spark, sf_dir).selectExpr(
-        "CAST(image_id AS STRING) AS path", "image_id % 6 AS kind",
+        "CAST(image_id AS STRING) AS path", f"image_id % {len(_PROBE_KINDS)} AS kind",
         "IF(image_id % 53 = 0, 200L, 640L) AS width", "300 + image_id % 200 AS height",
-    ).selectExpr(
-        "path",
-        "unhex(CASE kind "
-        "WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', lpad(hex(width), 8, '0'), lpad(hex(height), 8, '0')) "
-        f"WHEN 1 THEN concat('FFD8', {frame}) "
-        f"WHEN 2 THEN concat('FFD8{exif}', {frame}) "
-        f"WHEN 3 THEN concat('FFD8FFE200064D504600', {frame}) "
-        f"WHEN 4 THEN concat('424D', repeat('00', 16), {little['width']}, {little['height']}) "
-        "ELSE '00FF' END) AS content",
-    )
+    ).selectExpr("path", f"unhex({_probe_cases(contents)}) AS content")
     return media.probe_headers(files)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlake.sources import headers
+
 # Suffixes of an image corpus.
 IMAGE_SUFFIXES = ("avif", "bmp", "jpeg", "jpg", "png", "webp")
 
@@ -73,79 +75,79 @@ def admission_reason(
     )
 
 
-def _jpeg_header(data: bytes) -> tuple[int | None, int | None, int, bool]:
-    """(width, height, orientation, multi-picture) from JPEG segment headers."""
-    width = height = None
-    orientation, multi, at = 1, False, 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        marker = data[at + 1]
-        if marker == 0xDA:
-            break
-        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
-        body = data[at + 4 : at + 2 + size]
-        if marker == 0xE1 and body[:6] == b"Exif\0\0":
-            orientation = _exif_orientation(body[6:])
-        elif marker == 0xE2 and body[:4] == b"MPF\0":
-            multi = True
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
-            height, width = struct.unpack(">HH", body[1:5])
-        at += 2 + size
-    return width, height, orientation, multi
-
-
-def _exif_orientation(tiff: bytes) -> int:
-    if len(tiff) < 8:
-        return 1
-    order = "<" if tiff[:2] == b"II" else ">"
-    start = struct.unpack(f"{order}I", tiff[4:8])[0]
-    if start + 2 > len(tiff):
-        return 1
-    for i in range(struct.unpack(f"{order}H", tiff[start : start + 2])[0]):
-        entry = tiff[start + 2 + 12 * i : start + 14 + 12 * i]
-        if len(entry) == 12 and struct.unpack(f"{order}H", entry[:2])[0] == 274:
-            return struct.unpack(f"{order}H", entry[8:10])[0]
-    return 1
-
-
-def sniff(data: bytes | None) -> tuple:
+def sniff(data: bytes | None) -> headers.Header:
     """(format, width, height, orientation) read from header bytes; format None if unknown."""
-    if not data:
-        return None, None, None, 1
-    if data[:2] == b"\xff\xd8":
-        width, height, orientation, multi = _jpeg_header(data)
-        return ("MPO" if multi else "JPEG"), width, height, orientation
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return ("PNG", *struct.unpack(">II", data[16:24]), 1)
-    if data[:2] == b"BM" and len(data) >= 26:
-        width, height = struct.unpack("<ii", data[18:26])
-        return "BMP", width, abs(height), 1
-    return None, None, None, 1
+    return headers.probe(headers.of_bytes(data or b""))
 
 
 PROBE_SCHEMA = "path STRING, format STRING, width INT, height INT, orientation INT, issues STRING"
 
 
+def header_issues(found: headers.Header, minimum_side: int) -> str:
+    if found.format is None or not found.width or not found.height:
+        return "cannot decode"
+    issues = []
+    if found.orientation != 1:
+        issues.append("exif orientation")
+    if found.format == "MPO":
+        issues.append("mpo")
+    if min(found.width, found.height) < minimum_side:
+        issues.append("low resolution")
+    return ",".join(issues)
+
+
+def _probed(paths: pa.Array, found: list[headers.Header], minimum_side: int) -> list[pa.Array]:
+    columns = zip(*found, strict=True) if found else ([],) * 4
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+    return [
+        paths, *[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)],
+        pa.array([header_issues(f, minimum_side) for f in found], pa.string()),
+    ]
+
+
+PROBED = ["path", "format", "width", "height", "orientation", "issues"]
+
+
 def probe_headers(files: DataFrame, minimum_side: int = 256) -> DataFrame:
-    """Header facts and issues of (path, content) rows, batch by batch in Python workers."""
+    """Header facts and issues of (path, content) rows whose contents are there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sniff(c) for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays(_probed(batch.column("path"), found, minimum_side), PROBED)
+
+    return files.select("path", "content").mapInArrow(run, PROBE_SCHEMA)
+
+
+def probe_files(spark: SparkSession, root: str, minimum_side: int = 256) -> DataFrame:
+    """Header facts and issues of the image files below `root`, and the bytes that were read for them.
+
+    Files are opened by the tasks and read by ranges, so a file costs a few kilobytes whatever its size.
+    One that cannot be opened cannot be decoded either; Spark lists no files of zero bytes.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                kind, width, height, orientation = sniff(content)
-                issues = []
-                if kind is None or not width or not height:
-                    issues.append("cannot decode")
-                else:
-                    if orientation != 1:
-                        issues.append("exif orientation")
-                    if kind == "MPO":
-                        issues.append("mpo")
-                    if min(width, height) < minimum_side:
-                        issues.append("low resolution")
-                rows.append((path, kind, width, height, orientation, ",".join(issues)))
-            yield pd.DataFrame(
-                rows, columns=["path", "format", "width", "height", "orientation", "issues"]
-            ).astype({"width": "Int32", "height": "Int32", "orientation": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, PROBE_SCHEMA)
+            found, cost = [], []
+            for path, size in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
+                read = None
+                try:
+                    store, name = pyarrow.fs.FileSystem.from_uri(store_uri(path))
+                    with store.open_input_file(name) as file:
+                        read = headers.Blocks(file, size)
+                        found.append(headers.probe(read))
+                except OSError:
+                    found.append(headers.Header())
+                cost.append(read.bytes_read if read else 0)
+            columns = _probed(batch.column("path"), found, minimum_side)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cost, pa.int64())], [*PROBED, "bytes_read"])
+
+    listed = list_images(spark, root).select("path", "length")
+    # The listing packs files by their sizes; opening them costs alike.
+    return listed.repartition("path").mapInArrow(run, f"{PROBE_SCHEMA}, bytes_read LONG")
+
+
+def store_uri(path: str) -> str:
+    """A path as Hadoop prints it, as a URI with an authority."""
+    scheme, colon, rest = path.partition(":/")
+    return path if not colon or rest.startswith("/") else f"{scheme}:///{rest}"
