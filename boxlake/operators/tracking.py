@@ -21,6 +21,8 @@ from boxlake.sequential import GROUP_LIMIT, fold_sorted
 SAMPLE_RATES = (1, 2, 4, 8, 15, 30, 60, 120)
 MAX_SAMPLES = 2000
 MATCH_IOU = 0.3
+CROWD_BOXES = 64
+CORNERS = ("x1", "y1", "x2", "y2")
 FLOW_RELIABILITY = 0.15
 TRACK_KEY = ["video_id", "class_name", "start_frame", "start_det"]
 
@@ -84,29 +86,94 @@ def with_sessions(observations: DataFrame, max_gap: int, chunk: str = "chunk") -
 
 
 def frame_links(
-    observations: DataFrame, max_gap: int, chunk: str = "chunk", match_iou: float = MATCH_IOU
+    observations: DataFrame, max_gap: int, chunk: str = "chunk", match_iou: float = MATCH_IOU,
+    crowd: int = CROWD_BOXES,
 ) -> DataFrame:
     """Box pairs of consecutive class frames at most `max_gap` apart with enough overlap.
 
-    The join key holds the frame, so a long video spreads over its frames; detectors bound the
-    boxes of one frame.
+    The join key holds the frame, so a long video spreads over its frames. Where both frames have more than
+    `crowd` boxes, boxes meet in the cells of a grid instead (`_grid_links`), so that the cost follows
+    the overlaps and not the product of the boxes.
     """
+    if not match_iou > 0:
+        raise ValueError("match_iou must be positive")
     keys = ["video_id", "class_name"]
     frames = observations.select(*keys, "frame_idx", chunk).distinct()
     before = skew.carried_last(
         frames, keys, chunk, ["frame_idx"], F.col("frame_idx"), "previous_frame"
     ).filter(F.col("frame_idx") - F.col("previous_frame") <= max_gap).drop(chunk)
-    corners = ["x1", "y1", "x2", "y2"]
     left = observations.select(
         *keys, F.col("frame_idx").alias("previous_frame"), F.col("det_idx").alias("previous_det"),
-        *[F.col(c).alias(f"p_{c}") for c in corners],
+        *[F.col(c).alias(f"p_{c}") for c in CORNERS],
     )
-    right = observations.select(*keys, "frame_idx", "det_idx", *corners)
-    paired = before.join(right, [*keys, "frame_idx"]).join(left, [*keys, "previous_frame"])
-    overlap = g.iou(g.Box(*[F.col(f"p_{c}") for c in corners]), g.box())
-    return paired.withColumn("iou", overlap).filter(F.col("iou") >= match_iou).select(
-        *keys, "previous_frame", "previous_det", "frame_idx", "det_idx", "iou"
+    right = observations.select(*keys, "frame_idx", "det_idx", *CORNERS)
+
+    def linked(paired: DataFrame) -> DataFrame:
+        overlap = g.iou(g.Box(*[F.col(f"p_{c}") for c in CORNERS]), g.box())
+        return paired.withColumn("iou", overlap).filter(F.col("iou") >= match_iou).select(
+            *keys, "previous_frame", "previous_det", "frame_idx", "det_idx", "iou"
+        )
+
+    def paired(frames: DataFrame) -> DataFrame:
+        return frames.join(right, [*keys, "frame_idx"]).join(left, [*keys, "previous_frame"])
+
+    crowded = skew.hot_groups(observations, [*keys, "frame_idx"], crowd)
+    if crowded is None:
+        return linked(paired(before))
+    names = crowded.select(*keys, "frame_idx")
+    both = skew.checkpointed(
+        before.join(names, [*keys, "frame_idx"], "left_semi").join(
+            names.withColumnRenamed("frame_idx", "previous_frame"), [*keys, "previous_frame"], "left_semi"
+        )
     )
+    rest = before.join(both.select(*keys, "frame_idx"), [*keys, "frame_idx"], "left_anti")
+    pair = [*keys, "previous_frame", "frame_idx"]
+    met = _grid_links(
+        both.join(left, [*keys, "previous_frame"]), both.join(right, [*keys, "frame_idx"]), pair, match_iou
+    )
+    return linked(paired(rest)).unionByName(linked(met))
+
+
+def _grid_links(left: DataFrame, right: DataFrame, keys: list[str], match_iou: float) -> DataFrame:
+    """Pairs of left (p_x1, ...) and right (x1, ...) boxes of one key that overlap and whose sides allow
+    the IoU, each once.
+
+    Two boxes of that IoU have sides within a factor of 1 / match_iou. So every box enters the grids of its
+    own side length, rounded up to a power of two, and of the few next ones, on each axis; in each it
+    covers four cells at most. A pair counts in the grid of the larger sides alone, and there in the
+    cell of its lower common corner.
+    """
+    reach = math.ceil(math.log2(1 / match_iou))
+
+    def cells(df: DataFrame, prefix: str) -> DataFrame:
+        own = df.filter(
+            (F.col(f"{prefix}x2") > F.col(f"{prefix}x1")) & (F.col(f"{prefix}y2") > F.col(f"{prefix}y1"))
+        )
+        named = prefix or "own_"
+        for axis in "xy":
+            low, high = F.col(f"{prefix}{axis}1"), F.col(f"{prefix}{axis}2")
+            level = F.ceil(F.log2(high - low)).cast("int")
+            own = own.withColumn(f"{named}level_{axis}", level).withColumn(
+                f"level_{axis}", F.explode(F.sequence(level, level + reach))
+            )
+            side = F.pow(F.lit(2.0), F.col(f"level_{axis}"))
+            own = own.withColumn(
+                f"cell_{axis}",
+                F.explode(F.sequence(F.floor(low / side).cast("long"), F.floor(high / side).cast("long"))),
+            )
+        return own
+
+    met = cells(left, "p_").join(
+        cells(right, ""), [*keys, "level_x", "level_y", "cell_x", "cell_y"]
+    )
+    first = F.lit(True)
+    for axis in "xy":
+        side = F.pow(F.lit(2.0), F.col(f"level_{axis}"))
+        corner = F.greatest(F.col(f"p_{axis}1"), F.col(f"{axis}1"))
+        first = first & (F.col(f"level_{axis}") == F.greatest(f"p_level_{axis}", f"own_level_{axis}")) & (
+            F.col(f"cell_{axis}") == F.floor(corner / side)
+        )
+    return met.filter(first)
 
 
 @dataclass

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake import skew
-from boxlake.functions.text import clean_html, COMMON_ENTITIES
+from boxlake.functions.text import clean_html, unescape
 from boxlake.schemas import PAGE_JSON
 
 
@@ -56,6 +56,4 @@ def search_text(title: Column, tags: Column) -> Column:
     """Lower-case title and tag names of a search result (an array of structs with `name`)."""
     names = F.array_join(F.transform(tags, lambda t: F.coalesce(t.getField("name"), F.lit(""))), " ")
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(names, F.lit("")))
-    for entity, plain in COMMON_ENTITIES.items():
-        joined = F.replace(joined, F.lit(entity), F.lit(plain))
-    return F.lower(joined)
+    return F.lower(unescape(joined))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -250,10 +253,31 @@ def test_strict_json_rejects_the_whole_document(spark):
     assert [r.doc_id for r in strict.collect()] == [2]
 
 
+def test_html_is_cleaned_like_the_standard_library(spark):
+    rng = random.Random(5)
+    texts = [None, "", "&", "&&", "a & b", "&;", "&#;", "&#x;", "&#xg;", "<b>&lt;i&gt;</b>", "&amp;amp;lt;", "&ampx &ltx",
+             "&notit; &notin; &notinx; &NotEqualTilde; &nosuchname; &frac12x &Ccedil &yacutes", "x&thinsp;&emsp;y \x1c z"]
+    for name in html.entities.html5:
+        texts += [f"x&{name}y", f"&{name}", f"&{name.rstrip(';')}", f"&{name.rstrip(';')}1 &{name[:3]}"]
+    for n in (*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD,
+              0x10FFFF, 0x110000, 10**12, 10**30):
+        texts += [f"a&#{n};b", f"a&#{n} b", f"a&#x{n:x};b", f"a&#X{n:06X}b", f"&#000{n};"]
+    alphabet = ["&", ";", "#", "x", "amp", "lt", "not", "in", "eacute", "1", "2", " ", "<", ">", "é", "Acirc", "\n", "\t"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(3_000)]
+
+    def plain(text):
+        untagged = re.sub(r"<[^>]+>", " ", html.unescape(text or ""))
+        return re.sub(r"\s+", " ", untagged).strip()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, v string").repartition(4)
+    for r in rows.select("i", t.clean_html(F.col("v")).alias("c")).collect():
+        assert r.c == plain(texts[r.i]), texts[r.i]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("&lt;b&gt;A &eacute;&amp;nbsp;<i>x</i>",)], "v string")
     row = df.select(
-        t.clean_html(F.col("v")).alias("basic"), t.clean_html_full(F.col("v")).alias("full"),
+        t.clean_html(F.col("v")).alias("full"),
         t.trimmed_decimal(F.lit(0.25)).alias("d"), t.trimmed_decimal(F.lit(10.0)).alias("ten"),
         t.clock(F.lit(75.9)).alias("clock"), t.percent(F.lit(0.1234), 1).alias("p"),
         t.label_filename(F.lit(".hidden")).alias("h"), t.label_filename(F.lit("a.b.png")).alias("ab"),
@@ -564,6 +588,43 @@ def test_replay_rounds_equal_one_pass(spark, small):
     assert one == many and len(one) > 50
 
 
+def test_crowded_frames_link_like_all_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for frame in range(4):
+        for det in range(150 if frame != 2 else 9):
+            w, h = 2 ** rng.uniform(-2, 7), 2 ** rng.uniform(-2, 7)
+            x, y = rng.uniform(-90, 90), rng.uniform(-90, 90)
+            if det % 10 == 0:
+                x, y, w, h = 8.0, -16.0, 64.0, 32.0  # equal boxes on cell borders
+            if det % 37 == 1:
+                w = 0.0
+            rows.append((frame, det, "ab"[det % 2], 0.9, (x, y, x + w, y + h)))
+    observed = observation_rows(spark, rows)
+    for share in (0.3, 0.05, 0.9):
+        found = {
+            crowd: tracking.frame_links(observed, 1, match_iou=share, crowd=crowd).drop("video_id").collect()
+            for crowd in (10**6, 20, 0)
+        }
+        whole = sorted(found[10**6])
+        assert len(whole) > 100 and len(set(r[1:5] for r in whole)) < len(whole) + 1
+        assert sorted(found[20]) == whole and sorted(found[0]) == whole
+    with pytest.raises(ValueError):
+        tracking.frame_links(observed, 1, match_iou=0.0)
+
+
+def test_a_frame_of_a_hundred_thousand_boxes(spark):
+    boxes = spark.range(100_000).crossJoin(spark.range(2).withColumnRenamed("id", "frame_idx")).selectExpr(
+        "1L AS video_id", "'a' AS class_name", "frame_idx", "id AS det_idx", "0L AS chunk",
+        "(id % 400) * 10.0D + frame_idx AS x1", "(id div 400) * 10.0D AS y1",
+        "(id % 400) * 10.0D + frame_idx + 9 AS x2", "(id div 400) * 10.0D + 9 AS y2",
+    )
+    links = tracking.frame_links(boxes, 1)
+    assert links.agg(F.count("*"), F.min("iou"), F.count_if(F.expr("previous_det = det_idx"))).first()[:] == (
+        100_000, pytest.approx(72 / 90), 100_000
+    )
+
+
 def test_review_order_of_three(spark):
     images = spark.createDataFrame(
         [(1, 0, False, False, True), (2, 1, False, False, True), (3, 2, True, False, True), (4, 3, False, True, True)],
