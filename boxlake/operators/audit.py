@@ -168,11 +168,6 @@ def quarantine_rows(scored: DataFrame, annotations: DataFrame) -> DataFrame:
     return removed.unionByName(changed)
 
 
-def write_quarantine(rows: DataFrame, path: str) -> None:
-    """Refuses to reuse an existing quarantine."""
-    rows.write.mode("errorifexists").partitionBy("category").parquet(path)
-
-
 def violations(
     images: DataFrame, labels: DataFrame, annotations: DataFrame,
     descriptors: DataFrame | None = None, minimum_side: int = 256,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxlake import skew
 from boxlake.functions import text as t
-from boxlake.operators import audit, dedupe, export
+from boxlake.operators import audit, dedupe, export, quarantine
 from boxlake.plans.fixtures import derived, images, table
 from boxlake.plans.registry import Registry
 from boxlake.schemas import CLASS_NAMES
@@ -623,6 +623,45 @@ def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.quarantine_rows(_scored(spark, sf_dir), _annotations(spark, sf_dir))
 
 
+_LINE_SQL = "concat_ws(' ', CAST(class_id AS VARCHAR), " + ", ".join(
+    rf"regexp_replace(printf('%.10f', round({{p}}{n}, 10)), '\.?0+$', '')" for n in ("cx", "cy", "w", "h")
+) + ")"
+
+
+@dataset.add(
+    "quarantine_changes",
+    f"""
+    WITH {_CLAMPED_CTE}, {_SCORED_CTE[len(_AUDIT_CTE) + 1:].strip()},
+    gone AS (SELECT split, stem, filename FROM placed WHERE copies > 1 AND place > 1),
+    files AS (
+        SELECT split, stem, string_agg({_LINE_SQL.format(p="")}, chr(10) ORDER BY line_no) || chr(10) AS before,
+               string_agg({_LINE_SQL.format(p="new_")}, chr(10) ORDER BY line_no) || chr(10) AS after, bool_or(changed) AS changed
+        FROM repaired GROUP BY split, stem)
+    SELECT 1 AS phase, 'exact-duplicates' AS category, 'move' AS op, split || '/images/' || filename AS path,
+           'exact-duplicates/' || split || '/images/' || filename AS target, NULL AS before, NULL AS after FROM gone
+    UNION ALL
+    SELECT 1, 'exact-duplicates', 'move', split || '/labels/' || stem || '.txt', 'exact-duplicates/' || split || '/labels/' || stem || '.txt', NULL, NULL
+    FROM gone JOIN (SELECT split, stem FROM audit_labels) USING (split, stem)
+    UNION ALL
+    SELECT 2, 'annotation-originals', 'rewrite', split || '/labels/' || stem || '.txt', 'annotation-originals/' || split || '/labels/' || stem || '.txt', before, after
+    FROM files WHERE changed AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.split = files.split AND gone.stem = files.stem)""",
+    ("images", "annotations"),
+)
+def quarantine_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of a repair: moves with their other end, rewrites with the texts before and after."""
+    boxes = _annotations(spark, sf_dir)
+    keys = ["split", "stem"]
+    pictures = _audit_images(spark, sf_dir).withColumn("path", F.concat("split", F.lit("/images/"), "filename"))
+    line = export.audit_label_line(F.col("class_id"), *[F.col(n) for n in ("cx", "cy", "w", "h")])
+    texts = quarantine.label_text(boxes, keys, line)
+    files = _audit_labels(spark, sf_dir).join(texts, keys, "left").select(
+        *keys, F.concat("split", F.lit("/labels/"), "stem", F.lit(".txt")).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
+    )
+    log = quarantine.changes(pictures, files, boxes)
+    return log.withColumns({n: F.decode(n, "UTF-8") for n in ("before", "after")})
+
+
 @dataset.add(
     "manifest_reconcile",
     """

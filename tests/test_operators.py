@@ -654,10 +654,3 @@ def test_batch_detection_keeps_failures_as_rows(spark):
     }
     with pytest.raises(ValueError):
         inference.detect_images(images, factory, 0.5, "nope")
-
-
-def test_quarantine_refuses_to_overwrite(spark, tmp_path):
-    rows = spark.createDataFrame([("x", "a")], "category string, stem string")
-    audit.write_quarantine(rows, str(tmp_path / "q"))
-    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
-        audit.write_quarantine(rows, str(tmp_path / "q"))
