@@ -35,6 +35,7 @@ class ReviewState:
     edited: bool = False
     approved: bool = False
     loading: list[ReviewBox] = field(default_factory=list)
+    last_seq: int = -1
 
     def load(self) -> None:
         """Append the boxes loaded since the last edit, in one step."""
@@ -108,7 +109,7 @@ def apply_event(
 class Replay:
     """Stepper: ordered events in, final boxes out."""
 
-    inputs = ("op", "det_id", "class_name", "confidence", "x1", "y1", "x2", "y2")
+    inputs = ("seq", "op", "det_id", "class_name", "confidence", "x1", "y1", "x2", "y2")
     outputs = (
         ("det_id", "bigint"), ("class_name", "string"), ("confidence", "double"),
         ("x1", "double"), ("y1", "double"), ("x2", "double"), ("y2", "double"),
@@ -120,8 +121,12 @@ class Replay:
         return ReviewState()
 
     def feed(self, state: ReviewState, row: tuple) -> list[tuple]:
-        op, det_id, name, confidence = row[:4]
-        box = None if row[4] is None else tuple(row[4:8])
+        seq, op, det_id, name, confidence = row[:5]
+        if seq >= 0:  # a number is applied once: edits may be delivered again
+            if seq <= state.last_seq:
+                return []
+            state.last_seq = seq
+        box = None if row[5] is None else tuple(row[5:9])
         apply_event(state, op, det_id, box, name, confidence)
         return []
 
@@ -151,7 +156,8 @@ def replay_reviews(
     """Final review boxes of every image.
 
     `detections` (image_id, det_id, class_name, confidence, box) load first, in `det_id` order;
-    `events` (image_id, seq, op, det_id, class_name, box) follow in `seq` order.
+    `events` (image_id, seq, op, det_id, class_name, box) follow in `seq` order; of several of one number
+    the first counts.
     """
     loads = detections.select(
         "image_id", F.lit(-1).cast("long").alias("seq"), F.lit("model").alias("op"), "det_id",

@@ -73,5 +73,8 @@ def stream_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = jobs.stream_session(spark)
     path = jobs.scratch_path(spark, "review")
     turns = stream_table(session, sf_dir, "conversations")
-    jobs.run_to_table(jobs.review_stream(video_plans.review_rows(turns)), path)
+    edits = video_plans.review_rows(turns).withColumn(
+        "event_time", F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("seq") * 1000)
+    )
+    jobs.run_to_table(jobs.review_stream(edits), path)
     return jobs.current_reviews(spark.read.schema(jobs.REVIEW_OUTPUT).parquet(f"{path}/data"))

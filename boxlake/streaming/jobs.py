@@ -178,67 +178,156 @@ def track_stream(
     )
 
 
+_EDIT = "op STRING, det_id BIGINT, class_name STRING, confidence DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+_PLACE = "expected BIGINT, waiting BIGINT, gap_timer BIGINT, last_ms BIGINT"
+
+
 class _StreamReview(StatefulProcessor):
-    """Applies an image's edits in `seq` order; edits after a missing number wait for it."""
+    """Applies an image's edits in `seq` order.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("review", _SAVED)
+    State: the review itself, one small row (the number that comes next, how many edits wait, the running
+    timers) and a map of the waiting edits by number, so a batch writes what it brings and not what was
+    there before. A gap is waited for until the watermark passes the first edit behind it by `gap_ms`;
+    then the missing numbers are skipped. An image without news for `idle_ms` is forgotten.
+    """
+
+    def __init__(self, gap_ms: int, idle_ms: int) -> None:
+        self.gap_ms, self.idle_ms = gap_ms, idle_ms
         self.replay = Replay()
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.review = handle.getValueState("review", _SAVED)
+        self.place = handle.getValueState("place", _PLACE)
+        self.waiting = handle.getMapState("waiting", "seq BIGINT", _EDIT)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        if self.state.exists():
-            review, expected, pending = pickle.loads(self.state.get()[0])
-        else:
-            review, expected, pending = self.replay.begin(), 0, []
-        columns = ["seq", *Replay.inputs]
+        expected, waiting, timer, last = self.place.get() if self.place.exists() else (0, 0, 0, 0)
+        review, loaded = None, False
+        arrived, refused = [], []
+        columns = ["seq", "event_ms", *Replay.inputs[1:]]
         for batch in rows:
             clean = batch[columns].astype(object).where(batch[columns].notna(), None)
-            pending.extend(tuple(r) for r in clean.itertuples(index=False, name=None))
-        pending.sort(key=lambda r: (r[0], r[2]))
-        waiting, applied = [], False
-        for row in pending:
-            if row[0] == -1 or row[0] == expected:
-                self.replay.feed(review, row[1:])
-                applied = True
-                expected = max(expected, row[0] + 1)
-            elif row[0] > expected:
-                waiting.append(row)
-        self.state.update((pickle.dumps((review, expected, waiting)),))
-        if applied:
-            names = [n for n, _ in Replay.outputs]
+            arrived.extend(tuple(r) for r in clean.itertuples(index=False, name=None))
+        arrived.sort(key=lambda r: (r[0], r[3] if r[0] < 0 and r[3] is not None else 0))
+        for seq, at, *edit in arrived:
+            last = max(last, int(at))
+            if seq < 0:
+                review = self._review() if review is None else review
+                self.replay.feed(review, (seq, *edit))
+                loaded = True
+            elif seq < expected:
+                refused.append((seq, "late or repeated"))
+            elif self.waiting.containsKey((seq,)):
+                refused.append((seq, "repeated"))
+            else:
+                self.waiting.updateValue((seq,), tuple(edit))
+                waiting += 1
+                if seq > expected and not timer:
+                    timer = last + self.gap_ms
+                    self.handle.registerTimer(timer)
+        review, expected, waiting, applied = self._apply(review, expected, waiting)
+        yield from self._settle(key, review, expected, waiting, timer, last, applied or loaded, refused)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.place.exists():
+            return
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        expected, waiting, timer, last = self.place.get()
+        if waiting and now == timer:
+            # The gap stays open no longer: go on with the first edit behind it.
+            expected = min(seq for (seq,) in self.waiting.keys())
+            review, expected, waiting, _ = self._apply(None, expected, waiting)
+            timer = 0
+            if waiting:
+                timer = timerValues.getCurrentWatermarkInMs() + self.gap_ms
+                self.handle.registerTimer(timer)
+            yield from self._settle(key, review, expected, waiting, timer, last, True, [])
+        elif not waiting and now >= last + self.idle_ms:
+            self.review.clear()
+            self.place.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _review(self):
+        return self.replay.load(self.review.get()[0]) if self.review.exists() else self.replay.begin()
+
+    def _apply(self, review, expected: int, waiting: int):
+        """Feeds the edits that follow without a gap."""
+        applied = False
+        while waiting and self.waiting.containsKey((expected,)):
+            review = self._review() if review is None else review
+            self.replay.feed(review, (expected, *self.waiting.getValue((expected,))))
+            self.waiting.removeKey((expected,))
+            expected, waiting, applied = expected + 1, waiting - 1, True
+        return review, expected, waiting, applied
+
+    def _settle(self, key, review, expected, waiting, timer, last, changed, refused):
+        if timer and not waiting:
+            self.handle.deleteTimer(timer)
+            timer = 0
+        if not waiting:
+            self.handle.registerTimer(last + self.idle_ms)
+        self.place.update((expected, waiting, timer, last))
+        names = [n for n, _ in Replay.outputs]
+        if changed:
             done = self.replay.finish(review)
+            self.review.update((self.replay.save(review),))
             frame = pd.DataFrame(done, columns=names)
             frame.insert(0, "image_id", key[0])
             frame.insert(1, "version", expected)
+            frame.insert(2, "refused_seq", pd.array([None] * len(done), dtype="Int64"))
+            frame.insert(3, "reason", None)
+            yield frame
+        if refused:
+            frame = pd.DataFrame({"image_id": key[0], "version": expected}, index=range(len(refused)))
+            frame["refused_seq"] = pd.array([s for s, _ in refused], dtype="Int64")
+            frame["reason"] = [r for _, r in refused]
+            for name, kind in Replay.outputs:
+                frame[name] = pd.array([None] * len(refused), dtype=_NULLABLE.get(kind, "object"))
             yield frame
-
-    def close(self) -> None:
-        pass
 
 
-REVIEW_OUTPUT = "image_id BIGINT, version BIGINT, " + ", ".join(
+REVIEW_OUTPUT = "image_id BIGINT, version BIGINT, refused_seq BIGINT, reason STRING, " + ", ".join(
     f"{n} {t}" for n, t in Replay.outputs
 )
 
 
-def review_stream(events: DataFrame) -> DataFrame:
+def review_stream(
+    events: DataFrame, lateness: str = "10 minutes", gap: str = "1 hour", idle: str = "7 days"
+) -> DataFrame:
     """Review edits to box lists; `version` counts applied edits, the highest one is current.
 
-    `events` carries image_id, seq (dense from 0; -1 for detections to load) and the replay columns.
+    `events` carries image_id, event_time, seq (dense from 0; -1 for detections to load) and the replay
+    columns. A missing number is waited for up to `gap` of event time. Edits whose number was applied
+    or skipped already, and repeated ones, come out beside the boxes with `refused_seq` and `reason`.
     """
+    span = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    timed = events.withWatermark("event_time", lateness).withColumn(
+        "event_ms", F.unix_millis("event_time")
+    )
     return (
-        events.select("image_id", "seq", *Replay.inputs)
+        timed.select("image_id", "event_time", "event_ms", *Replay.inputs)
         .groupBy("image_id")
         .transformWithStateInPandas(
-            statefulProcessor=_StreamReview(),
+            statefulProcessor=_StreamReview(span(gap), span(idle)),
             outputStructType=StructType.fromDDL(REVIEW_OUTPUT),
             outputMode="Append",
-            timeMode="None",
+            timeMode="EventTime",
         )
     )
 
 
+def refused_edits(versions: DataFrame) -> DataFrame:
+    """(image_id, seq, reason) of the edits that were not applied."""
+    return versions.filter("reason IS NOT NULL").select(
+        "image_id", F.col("refused_seq").alias("seq"), "reason"
+    )
+
+
 def current_reviews(versions: DataFrame) -> DataFrame:
     """The latest version of every image."""
-    last = versions.groupBy("image_id").agg(F.max("version").alias("version"))
-    return skew.skew_join(versions, last, ["image_id", "version"], "left_semi", ["det_id"])
+    boxes = versions.filter("reason IS NULL").drop("reason", "refused_seq")
+    last = boxes.groupBy("image_id").agg(F.max("version").alias("version"))
+    return skew.skew_join(boxes, last, ["image_id", "version"], "left_semi", ["det_id"])
