@@ -286,3 +286,15 @@ def rebuild_manifest(files: DataFrame, pages: DataFrame) -> DataFrame:
         "page_id", "path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"),
         *[F.coalesce(F.col(f"_p.{c}"), F.lit("")).alias(c) for c in columns],
     )
+
+
+def quota_totals(decisions: DataFrame, targets: Mapping[str, int]) -> DataFrame:
+    """(category, reason, n, open): decisions by category and reason (null: accepted), and how many places
+    of the category's target are still open. Categories without a decision have one row of zero."""
+    counted = decisions.groupBy("category", "reason").agg(F.count(F.lit(1)).alias("n"))
+    accepted = decisions.groupBy("category").agg(F.count_if(F.col("status") == "accepted").alias("_taken"))
+    spine = decisions.sparkSession.createDataFrame(sorted(targets.items()), "category string, _target int")
+    return spine.join(counted, "category", "left").join(accepted, "category", "left").select(
+        "category", "reason", F.coalesce("n", F.lit(0)).alias("n"),
+        (F.col("_target") - F.coalesce("_taken", F.lit(0))).cast("long").alias("open"),
+    )

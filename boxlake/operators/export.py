@@ -83,16 +83,18 @@ def assign_splits(images: DataFrame, dataset: str = "dataset_id") -> DataFrame:
 def export_guard(
     images: DataFrame, boxes: DataFrame, max_images: int = 10_000, max_bytes: int = 536_870_912
 ) -> DataFrame:
-    """One verdict per dataset from counts, bytes and unsupported classes."""
+    """One verdict per dataset from counts, bytes and the set of unsupported classes (sorted)."""
     sizes = images.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_images"), F.sum("byte_size").alias("total_bytes")
     )
     strange = boxes.filter(~F.col("class_name").isin(*CLASS_NAMES))
-    strange = strange.groupBy("dataset_id").agg(
-        F.count_distinct("class_name").alias("_u"), F.min("class_name").alias("first_unsupported")
+    # Distinct names meet per dataset, so copies of a name never reach the array.
+    strange = strange.select("dataset_id", "class_name").distinct().groupBy("dataset_id").agg(
+        F.array_sort(F.collect_list("class_name")).alias("_names")
     )
-    joined = sizes.join(strange, "dataset_id", "left").withColumn(
-        "unsupported", F.coalesce("_u", F.lit(0))
+    joined = sizes.join(strange, "dataset_id", "left").select(
+        "*", F.coalesce(F.size("_names"), F.lit(0)).cast("long").alias("unsupported"),
+        F.coalesce("_names", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("unsupported_classes"),
     )
     verdict = (
         F.when(F.col("n_images") > max_images, "too many images")
@@ -101,7 +103,7 @@ def export_guard(
         .otherwise("ok")
     )
     return joined.select(
-        "dataset_id", "n_images", "total_bytes", "unsupported", "first_unsupported",
+        "dataset_id", "n_images", "total_bytes", "unsupported", "unsupported_classes",
         verdict.alias("verdict"),
     )
 

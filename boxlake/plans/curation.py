@@ -292,6 +292,23 @@ def quota_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.quota_select(ranked, _SMALL_TARGETS, words=1)
 
 
+_QUOTA_SELECT_SQL = _QUOTA_CTE.format(
+    order="relevance DESC, lower(title), id", depth="rank <= CASE c WHEN 0 THEN 280 ELSE 250 END", extra="n.rank,",
+)
+
+
+@curation.add(
+    "quota_totals",
+    f"""
+    SELECT category, reason, count(*) AS n,
+           CASE category {' '.join(f"WHEN '{c}' THEN {n}" for c, n in sorted(_SMALL_TARGETS.items()))} END
+           - (sum(count(*)) FILTER (reason IS NULL) OVER (PARTITION BY category))::BIGINT AS open
+    FROM ({_QUOTA_SELECT_SQL}) AS d GROUP BY category, reason""",
+)
+def quota_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.quota_totals(quota_select(spark, sf_dir), _SMALL_TARGETS)
+
+
 @curation.add(
     "quota_select_open",
     _QUOTA_CTE.format(order="relevance <> 3, lower(title), id", depth="true", extra=""),

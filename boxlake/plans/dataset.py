@@ -361,11 +361,11 @@ def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH i AS (SELECT image_id // 500 AS dataset_id, count(*) AS n_images, CAST(sum(byte_size) AS BIGINT) AS total_bytes
                FROM images GROUP BY 1),
-    u AS (SELECT image_id // 500 AS dataset_id, count(DISTINCT name) AS unsupported, min(name) AS first_unsupported
+    u AS (SELECT image_id // 500 AS dataset_id, count(DISTINCT name) AS unsupported, string_agg(DISTINCT name, ', ' ORDER BY name) AS names
           FROM (SELECT image_id, CASE WHEN variant = 23 AND image_id % 90 = 0 THEN 'mould ' || CAST(class_id AS VARCHAR) ELSE class_name END AS name
                 FROM detections) AS d
           WHERE name LIKE 'mould%' GROUP BY 1)
-    SELECT dataset_id, n_images, total_bytes, coalesce(unsupported, 0) AS unsupported, first_unsupported,
+    SELECT dataset_id, n_images, total_bytes, coalesce(unsupported, 0) AS unsupported, coalesce(names, '') AS unsupported_classes,
            CASE WHEN n_images > 10000 THEN 'too many images' WHEN total_bytes > 750000000 THEN 'too many bytes'
                 WHEN coalesce(unsupported, 0) > 0 THEN 'unsupported classes' ELSE 'ok' END AS verdict
     FROM i LEFT JOIN u USING (dataset_id)""",
@@ -380,9 +380,10 @@ def export_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("mould "), F.col("class_id").cast("string")),
         ).otherwise(F.col("class_name")).alias("class_name"),
     )
-    return export.export_guard(
+    checked = export.export_guard(
         images(spark, sf_dir).withColumn("dataset_id", owner), boxes, max_bytes=750_000_000
     )
+    return checked.withColumn("unsupported_classes", F.array_join("unsupported_classes", ", "))
 
 
 @dataset.add(
