@@ -608,3 +608,24 @@ def detection_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "det_idx", "class_name", "confidence", "x1", "x2", "reject_reason"
     )
+
+
+@boxes.add(
+    "decode_end_to_end",
+    """
+    SELECT image_id, det_idx, class_id, CASE class_id WHEN 0 THEN 'pipe burst' WHEN 1 THEN 'water accumulation'
+           WHEN 2 THEN 'water drop' ELSE CAST(class_id AS VARCHAR) END AS class_name, confidence, x1, y1, x2, y2, row_number
+    FROM (SELECT image_id, det_idx, CAST(class_id + CASE WHEN variant = 5 THEN 2 ELSE 0 END AS INTEGER) AS class_id, confidence, x1, y1, x2, y2,
+                 row_number() OVER (PARTITION BY image_id ORDER BY det_idx) AS row_number
+          FROM detections WHERE confidence >= 0.25::DOUBLE) AS r
+    WHERE row_number <= 10""",
+    ("detections",),
+)
+def decode_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model rows of six columns (corners, score, class): the first ten of each image in row order."""
+    rows = _detections(spark, sf_dir).select(
+        "image_id", F.col("det_idx").alias("anchor_idx"), "x1", "y1", "x2", "y2",
+        F.col("confidence").alias("score"),
+        (F.col("class_id") + F.when(F.col("variant") == 5, 2.0).otherwise(0.0)).alias("class_id"),
+    )
+    return detect.decode_end_to_end(rows, 0.25, max_per_image=10)
