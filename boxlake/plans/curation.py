@@ -300,10 +300,11 @@ _QUOTA_SELECT_SQL = _QUOTA_CTE.format(
 @curation.add(
     "quota_totals",
     f"""
-    SELECT category, reason, count(*) AS n,
-           CASE category {' '.join(f"WHEN '{c}' THEN {n}" for c, n in sorted(_SMALL_TARGETS.items()))} END
-           - (sum(count(*)) FILTER (reason IS NULL) OVER (PARTITION BY category))::BIGINT AS open
-    FROM ({_QUOTA_SELECT_SQL}) AS d GROUP BY category, reason""",
+    WITH targets(category, target) AS (VALUES {', '.join(f"('{c}', {n})" for c, n in sorted(_SMALL_TARGETS.items()))}),
+    counted AS (SELECT category, reason, count(*) AS n FROM ({_QUOTA_SELECT_SQL}) AS d GROUP BY category, reason)
+    SELECT t.category, c.reason, coalesce(c.n, 0) AS n, target - coalesce(a.n, 0) AS open
+    FROM targets AS t LEFT JOIN counted AS c ON c.category = t.category
+    LEFT JOIN counted AS a ON a.category = t.category AND a.reason IS NULL""",
 )
 def quota_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.quota_totals(quota_select(spark, sf_dir), _SMALL_TARGETS)
