@@ -39,6 +39,7 @@ SPACE = "▁"
 CACHED_WORDS = 250_000
 CACHED_PAIRS = 300_000
 FILTER_BITS = 20
+SLICE_BYTES = 2_000_000  # more words of one length together
 CELLS = 1_000_000  # characters of words solved together
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     """doc_id, ids, n_ids and whether decoding the ids restores the text (U+2581 read as a space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches):
+        for batch in kernel.slices(batches, limit=SLICE_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = encode_texts(path, texts)
             values = np.frombuffer(b"".join(coded), "<i4")
