@@ -253,12 +253,14 @@ def missing_lines(descriptors: DataFrame, required: tuple[str, ...]) -> DataFram
 def reconcile_manifest(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """One verdict per manifest artifact (file, size_bytes, sha256, exported_from, pair_file).
 
-    `listing` holds the real files as (file, actual_size, actual_sha256), one row per file.
+    `listing` holds the real files as (file, actual_size, actual_sha256), one row per file. It grows with the
+    manifest and its digests do not compress, so it is sorted and merged, however small its files look.
     """
+    listing = listing.hint("merge")
     pair = listing.select(
         F.col("file").alias("pair_file"), F.col("actual_sha256").alias("_pair_sha")
     )
-    joined = manifest.join(listing, "file", "left").join(pair, "pair_file", "left")
+    joined = manifest.join(listing, "file", "left").join(pair.hint("merge"), "pair_file", "left")
     verdict = (
         F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
                "invalid digest in manifest")

@@ -704,7 +704,9 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_size * 10 + IF(p_partkey % 17 = 2, 1, 0) AS actual_size",
         f"sha2(concat({own}, IF(p_partkey % 19 = 3, '!', '')), 256) AS actual_sha256",
     )
-    return audit.reconcile_manifest(manifest.join(source, "p_partkey", "left"), listing)
+    return audit.reconcile_manifest(
+        manifest.join(source.hint("merge"), "p_partkey", "left"), listing
+    )
 
 
 @dataset.add(
