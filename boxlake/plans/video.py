@@ -62,10 +62,10 @@ def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "events").selectExpr("event_id AS video_id", "value AS duration")
     # Every sample of every plan, reported as one digest per plan.
-    times = tracking.sample_times(tracking.sampling_plans(videos, 0.5))
-    return times.groupBy("video_id", "rate").agg(
-        F.count(F.lit(1)).alias("frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-        F.sum(F.floor(F.col("t") * 1e6).cast("long")).alias("sum_us"),
+    digests = tracking.sample_digests(tracking.sampling_plans(videos, 0.5))
+    return digests.groupBy("video_id", "rate").agg(
+        F.sum("frames").alias("frames"), F.min("first_t").alias("first_t"),
+        F.max("last_t").alias("last_t"), F.sum("sum_us").alias("sum_us"),
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from boxlake.operators import tracking
 from boxlake.plans.queries import QUERIES
 
 
@@ -15,3 +19,21 @@ def _rows(df) -> list[tuple]:
 
 def test_manifest_is_reconciled_without_broadcasts(spark, small):
     assert "Broadcast" not in _plan(QUERIES["manifest_reconcile"](spark, small))
+
+
+def test_sample_digests_are_those_of_all_samples(spark, monkeypatch):
+    monkeypatch.setattr(tracking, "SAMPLES_AT_ONCE", 700)
+    values = [0.0, -1.0, 0.0004, 0.001, 1.0, 7.77, 66.66, *np.random.default_rng(1).uniform(0, 300, 40)]
+    videos = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "video_id long, duration double")
+    plans = tracking.sampling_plans(videos, 0.5)
+    wanted = tracking.sample_times(plans).groupBy("video_id", "rate").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+        F.sum(F.floor(F.col("t") * 1e6).cast("long")).alias("sum_us"),
+    )
+    assert _rows(tracking.sample_digests(plans)) == _rows(wanted)
+    assert _rows(tracking.sample_digests(plans.filter("false"))) == []
+
+
+def test_sample_query_does_not_list_samples_as_rows(spark, small):
+    plan = _plan(QUERIES["sample_times"](spark, small))
+    assert "sequence(" not in plan
