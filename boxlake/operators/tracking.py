@@ -113,19 +113,24 @@ def sample_digests(plans: DataFrame) -> DataFrame:
 def with_sessions(observations: DataFrame, max_gap: int, chunk: str = "chunk") -> DataFrame:
     """Adds `session_start`: the frame where the current run of close class frames began.
 
-    No track survives a gap above `max_gap`, so sessions may be tracked independently. `chunk` is a
-    column that grows with `frame_idx` and cuts the windows of long videos.
+    No track survives a gap above `max_gap`, so sessions may be tracked independently. Ordinary groups are
+    shuffled and sorted once; `chunk` is a column that grows with `frame_idx` and cuts the windows
+    of very long videos.
     """
     keys = ["video_id", "class_name"]
     order = ["frame_idx", "det_idx"]
-    earlier = skew.carried_last(
-        observations, keys, chunk, order, F.col("frame_idx"), "_earlier"
-    )
     begins = F.col("_earlier").isNull() | (F.col("frame_idx") - F.col("_earlier") > max_gap)
-    return skew.carried_last(
-        earlier, keys, chunk, order, F.when(begins, F.col("frame_idx")), "session_start",
-        inclusive=True,
-    ).drop("_earlier")
+    begin = F.when(begins, F.col("frame_idx"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        earlier = rows.withColumn("_earlier", skew.last_over(F.col("frame_idx"), keys, order))
+        return earlier.withColumn("session_start", skew.last_over(begin, keys, order, inclusive=True))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        earlier = skew.carried_last(rows, keys, chunk, order, F.col("frame_idx"), "_earlier")
+        return skew.carried_last(earlier, keys, chunk, order, begin, "session_start", inclusive=True)
+
+    return skew.in_windows(observations, keys, whole, cut).drop("_earlier")
 
 
 def frame_links(
@@ -142,8 +147,12 @@ def frame_links(
         raise ValueError("match_iou must be positive")
     keys = ["video_id", "class_name"]
     frames = observations.select(*keys, "frame_idx", chunk).distinct()
-    before = skew.carried_last(
-        frames, keys, chunk, ["frame_idx"], F.col("frame_idx"), "previous_frame"
+    number = F.col("frame_idx")
+    before = skew.in_windows(
+        frames, keys,
+        lambda rows: rows.withColumn("previous_frame", skew.last_over(number, keys, ["frame_idx"])),
+        lambda rows: skew.carried_last(rows, keys, chunk, ["frame_idx"], number, "previous_frame"),
+        observations,
     ).filter(F.col("frame_idx") - F.col("previous_frame") <= max_gap).drop(chunk)
     left = observations.select(
         *keys, F.col("frame_idx").alias("previous_frame"), F.col("det_idx").alias("previous_det"),
@@ -422,12 +431,13 @@ def persistent_tracks(
 
 
 def surviving_observations(
-    tracked: DataFrame, tracks: DataFrame, keys: list[str] = TRACK_KEY
+    tracked: DataFrame, tracks: DataFrame, keys: list[str] = TRACK_KEY,
+    within: list[str] | None = None,
 ) -> DataFrame:
-    """Visible observations of surviving tracks."""
+    """Visible observations of surviving tracks; `within` as in `skew_join`."""
     visible = tracked.filter(F.coalesce("visible", F.lit(True)))
     return skew.skew_join(
-        visible, tracks.select(*keys).distinct(), keys, "left_semi", ["frame_idx"]
+        visible, tracks.select(*keys).distinct(), keys, "left_semi", ["frame_idx"], within=within
     )
 
 

@@ -179,6 +179,8 @@ _TRACKED_CTE = f"""
         FROM tracked GROUP BY 1, 2, 3),
     persistent AS (SELECT * FROM summary WHERE visible_observations >= 2)"""
 _KEYS = ["video_id", "class_name", "session_start"]
+# Larger groups that are counted without finding the sessions first.
+_WITHIN = ["video_id", "class_name"]
 # The two lanes of a video are tracked as videos of their own: inside a lane times are unique.
 _LANE = "video_id * 2 + det_idx % 2"
 
@@ -211,7 +213,7 @@ def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def persistent_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tracked(spark, sf_dir)
     kept = tracking.persistent_tracks(rows, 4, _KEYS)
-    return tracking.surviving_observations(rows, kept, _KEYS).select(*_KEYS, "frame_idx", "det_idx")
+    return tracking.surviving_observations(rows, kept, _KEYS, _WITHIN).select(*_KEYS, "frame_idx", "det_idx")
 
 
 @video.add(

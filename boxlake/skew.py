@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 # A join key with more left rows than this is handled apart.
 HOT_JOIN_ROWS = 1_000_000
+# Groups of at most this many rows are ordered in one window; larger ones are cut at a time chunk.
+WINDOW_ROWS = 500_000
 # Up to this k, Spark limits every group inside the map tasks before it shuffles.
 GROUP_LIMIT_K = 1_000
 
@@ -86,6 +88,7 @@ def skew_join(
     how: str,
     salt_on: Sequence[str],
     limit: int | None = None,
+    within: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join for a left side whose keys may be hot and a right side with few rows per key.
 
@@ -93,12 +96,15 @@ def skew_join(
     Without a key above `limit` this is a plain join. Otherwise the ordinary keys are joined
     plainly and the hot ones apart: their right rows are broadcast when counted small, so hot left
     rows never move; else both sides are salted, one salt per `limit` rows of the hottest key.
-    `how` must keep left rows only (inner, left, left_semi, left_anti).
+    `how` must keep left rows only (inner, left, left_semi, left_anti). `within` names some of the keys that
+    take less work to count by: if no group of theirs is above `limit`, no key is.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
     limit = limit or HOT_JOIN_ROWS
     keys = list(keys)
+    if within is not None and hot_groups(left, within, limit) is None:
+        return left.join(right, keys, how)
     hot = hot_groups(left, keys, limit)
     if hot is None:
         return left.join(right, keys, how)
@@ -119,10 +125,11 @@ def skew_join(
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], limit: int
+    df: DataFrame, keys: Sequence[str], limit: int, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """`df` as (groups of at most `limit` rows, bigger groups or None)."""
-    hot = hot_groups(df, keys, limit)
+    """`df` as (groups of at most `limit` rows, bigger groups or None). `counted` has at least the rows of `df`
+    in every group and takes less work to count."""
+    hot = hot_groups(df if counted is None else counted, keys, limit)
     if hot is None:
         return df, None
     names = hot.select(*keys)
@@ -228,6 +235,26 @@ def with_part(
     return cool.unionByName(parted)
 
 
+def in_windows(
+    df: DataFrame, groups: Sequence[str], whole: Callable[[DataFrame], DataFrame],
+    cut: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None,
+) -> DataFrame:
+    """`whole` on the rows of ordinary groups, which one window may order, and `cut`, the same in
+    chunks, on those of groups above WINDOW_ROWS."""
+    cool, hot = split_hot(df, groups, WINDOW_ROWS, counted)
+    return whole(cool) if hot is None else whole(cool).unionByName(cut(hot))
+
+
+def last_over(
+    value: Column, keys: Sequence[str], order: Sequence[Column | str], inclusive: bool = False
+) -> Column:
+    """Last non-null `value` before each row of a key (`inclusive`: at or before), in one window."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return F.last(value, ignorenulls=True).over(
+        window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+
+
 def carried_last(
     df: DataFrame,
     keys: Sequence[str],

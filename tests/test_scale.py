@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from boxlake import skew
 from boxlake.operators import tracking
 from boxlake.plans.queries import QUERIES
 
@@ -37,3 +39,18 @@ def test_sample_digests_are_those_of_all_samples(spark, monkeypatch):
 def test_sample_query_does_not_list_samples_as_rows(spark, small):
     plan = _plan(QUERIES["sample_times"](spark, small))
     assert "sequence(" not in plan
+
+
+def test_ordinary_sessions_take_one_shuffle(spark, small):
+    plan = _plan(QUERIES["track_sessions"](spark, small))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["track_sessions", "persistent_tracks", "smooth_tracks", "playback_sample", "asof_playback", "frame_link_join"]
+)
+def test_groups_cut_at_chunks_give_the_same_rows(spark, skewed, monkeypatch, name):
+    whole = _rows(QUERIES[name](spark, skewed))
+    monkeypatch.setattr(skew, "WINDOW_ROWS", 20)
+    monkeypatch.setattr(skew, "HOT_JOIN_ROWS", 20)
+    assert _rows(QUERIES[name](spark, skewed)) == whole
