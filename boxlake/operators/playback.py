@@ -122,19 +122,21 @@ def _entering(maps: DataFrame, keys: list[str], tau: float) -> DataFrame:
 
 
 def smooth_tracks(
-    observations: DataFrame, keys: Sequence[str], tau: float, chunk_rows: int = CHUNK_ROWS
+    observations: DataFrame, keys: Sequence[str], tau: float, chunk_rows: int = CHUNK_ROWS,
+    groups: Sequence[str] | None = None,
 ) -> DataFrame:
     """(keys, t, s_cx, s_cy, s_w, s_h): forward and backward exponential smoothing, averaged.
 
     `observations` carries t and a box. Rows of one time are taken in the order of their vectors. Groups
     above `chunk_rows` rows are cut into chunks: one pass composes each chunk to a map, the maps of a
     group are composed to what enters its chunks from both sides, and one more pass smooths all
-    chunks at once. The number of jobs does not depend on the length of a group.
+    chunks at once. The number of jobs does not depend on the length of a group. `groups` names some of
+    the keys that take less work to count by.
     """
     keys = list(keys)
     rows = box_vectors(observations).select(*keys, F.col("t").cast("double").alias("t"), *VECTOR)
     rows = rows.withColumns({v: F.col(v).cast("double") for v in VECTOR})
-    cool, hot = skew.split_hot(rows, keys, chunk_rows)
+    cool, hot = skew.split_hot(rows, groups or keys, chunk_rows)
     result = _smoothed(cool, keys, [], tau, False)
     if hot is None:
         return result

@@ -275,7 +275,7 @@ _SMOOTH_CTE = _TRACKED_CTE.strip() + f"""
     ("observations",),
 )
 def smooth_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smoothed = playback.smooth_tracks(_tracked(spark, sf_dir), [*_KEYS, "segment"], _TAU)
+    smoothed = playback.smooth_tracks(_tracked(spark, sf_dir), [*_KEYS, "segment"], _TAU, groups=_WITHIN)
     return smoothed.select(
         *_KEYS, "segment", "t",
         *[F.round(f"s_{v}", 6).alias(f"s_{v}") for v in playback.VECTOR],
