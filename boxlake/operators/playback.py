@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake import affine, skew
@@ -156,8 +156,8 @@ def asof_both(
 ) -> DataFrame:
     """Probes with `before` (last observation at or before) and `after` (first one after) structs.
 
-    Both sides are stacked and scanned once in time order; the scan is cut at `chunk`, so a hot key
-    spreads over its chunks. There is no pairing of probes with observations at all.
+    Both sides are stacked and scanned once in time order; for a hot key the scan is cut at `chunk`, so that
+    it spreads over its chunks. There is no pairing of probes with observations at all.
     """
     payload = F.struct(time, *value)
     extra = [c for c in probes.columns if c not in (*keys, time, chunk)]
@@ -174,8 +174,19 @@ def asof_both(
     )
     # Observations of the same instant sort before the probe.
     order = [time, "_probe"]
-    seen = skew.carried_last(stacked, keys, chunk, order, F.col("_obs"), "before")
-    both = skew.carried_next(seen, keys, chunk, order, F.col("_obs"), "after")
+    found = F.col("_obs")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({
+            "before": skew.last_over(found, keys, order),
+            "after": skew.last_over(found, keys, [F.col(c).desc() for c in order]),
+        })
+
+    def cut(rows: DataFrame) -> DataFrame:
+        seen = skew.carried_last(rows, keys, chunk, order, found, "before")
+        return skew.carried_next(seen, keys, chunk, order, found, "after")
+
+    both = skew.in_windows(stacked, keys, whole, cut)
     return both.filter(F.col("_probe") == 1).drop("_probe", "_obs")
 
 
@@ -187,7 +198,7 @@ def _usable(flow: Column) -> Column:
 
 def sample_playback(
     observations: DataFrame, keys: Sequence[str], chunk: str, step: float, max_gap: float,
-    window: float,
+    window: float, groups: Sequence[str] | None = None,
 ) -> DataFrame:
     """Track boxes at every multiple of `step` where the track shows.
 
@@ -195,13 +206,24 @@ def sample_playback(
     nullable flow structs flow_to_next and flow_from_previous. Between two observations at most
     `max_gap` apart the box is interpolated, with a cubic path when both flows are reliable;
     elsewhere the nearest observation within `window` is moved along its flow. Each observation
-    emits only its own sample times, so no join is needed.
+    emits only its own sample times, so no join is needed. `groups` names some of the keys that take
+    less work to count by.
     """
     fields = ["t", "confidence", "s_cx", "s_cy", "s_w", "s_h", "flow_to_next", "flow_from_previous"]
     here = F.struct(*fields)
     rows = observations.select(*keys, chunk, "t", here.alias("l"))
-    paired = skew.carried_next(rows, keys, chunk, ["t"], F.col("l"), "r")
-    first = skew.carried_last(paired, keys, chunk, ["t"], F.lit(1), "_seen")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("t")
+        return rows.withColumns({
+            "r": F.lead("l").over(order), "_seen": F.lag(F.lit(1)).over(order),
+        })
+
+    def cut(rows: DataFrame) -> DataFrame:
+        paired = skew.carried_next(rows, keys, chunk, ["t"], F.col("l"), "r")
+        return skew.carried_last(paired, keys, chunk, ["t"], F.lit(1), "_seen")
+
+    first = skew.in_windows(rows, groups or keys, whole, cut)
     left, right = F.col("l"), F.col("r")
     gap = right.getField("t") - left.getField("t")
     joined = (gap <= max_gap) & (gap > 0)

@@ -378,7 +378,7 @@ def playback_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{_flow_struct(parts)} AS {name}" for name, parts in _FLOW.items()],
     )
     shown = playback.sample_playback(
-        rows, [*_KEYS, "segment"], "chunk", GRID, max_gap=_GAP, window=_WINDOW
+        rows, [*_KEYS, "segment"], "chunk", GRID, max_gap=_GAP, window=_WINDOW, groups=_WITHIN
     )
     return shown.select(
         *_KEYS, "segment", "time",
