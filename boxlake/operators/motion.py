@@ -24,6 +24,7 @@ CORNERS = ("x1", "y1", "x2", "y2")
 # One frame in so many is shuffled twice.
 CHUNK_FRAMES = 16
 BOXES_AT_ONCE = 64
+PIXELS_AT_ONCE = 1 << 22
 
 
 def search_radius(sample_rate: float) -> int:
@@ -46,8 +47,16 @@ def box_flows(
     by side; NaN without enough textured patches."""
     if previous.shape != current.shape:
         raise ValueError("Frames must have matching dimensions.")
+    return stack_flows(previous[None], current[None], np.zeros(len(boxes), int), boxes, options)
+
+
+def stack_flows(
+    previous: np.ndarray, current: np.ndarray, frame: np.ndarray, boxes: np.ndarray,
+    options: FlowOptions = FlowOptions(),
+) -> np.ndarray:
+    """As `box_flows` for many pairs of frames of one shape (n, height, width); `frame` is the pair of each box."""
     out = np.full((len(boxes), 3), np.nan)
-    height, width = previous.shape
+    height, width = previous.shape[1:]
     r, s, n = options.patch, options.search, options.grid
     margin = r + s
     x1, x2 = (np.clip(boxes[:, c], margin, max(margin, width - margin)) for c in (0, 2))
@@ -60,18 +69,19 @@ def box_flows(
         xs = np.floor(x1[part, None] + steps * span_x + 0.5).astype(int)
         ys = np.floor(y1[part, None] + steps * span_y + 0.5).astype(int)
         xs, ys = np.tile(xs, n).ravel(), np.repeat(ys, n, axis=1).ravel()
-        out[part] = _consensus(_moves(previous, current, xs, ys, options), len(part), options)
+        moves = _moves(previous, current, np.repeat(frame[part], n * n), xs, ys, options)
+        out[part] = _consensus(moves, len(part), options)
     return out
 
 
-def _moves(previous, current, xs, ys, options: FlowOptions) -> np.ndarray:
+def _moves(previous, current, frame, xs, ys, options: FlowOptions) -> np.ndarray:
     """(points, 2) moves of the patches around the points; NaN where the texture is too weak."""
     r, s = options.patch, options.search
 
-    def squares(frame: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+    def squares(frames: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
         span = np.arange(-reach, reach + 1)
-        return frame[
-            (ys[at, None] + span)[:, :, None], (xs[at, None] + span)[:, None, :]
+        return frames[
+            frame[at, None, None], (ys[at, None] + span)[:, :, None], (xs[at, None] + span)[:, None, :]
         ].astype(np.int32)
 
     moves = np.full((len(xs), 2), np.nan)
@@ -121,7 +131,8 @@ def motion_flow(
     once: a video is cut into chunks of `chunk_frames` frames, and only the last frame of a chunk goes to
     the next one as well. Inside its chunk each frame is held until its successor has come; the boxes
     of a frame follow its successor in the same order, so a task holds two frames and one batch, however
-    long a video is and however many boxes a frame has.
+    long a video is and however many boxes a frame has. Pairs of frames of one shape wait until they have
+    BOXES_AT_ONCE boxes or PIXELS_AT_ONCE pixels, and are matched side by side.
     """
     chunk = lambda f: F.floor(f / F.lit(chunk_frames)).cast("long")
     number = F.col("frame_idx")
@@ -162,6 +173,25 @@ def motion_flow(
                 | (kind[1:] == 0)
             )
             starts = np.flatnonzero(new)
+
+            def matched(pairs: list[tuple]) -> pa.RecordBatch:
+                sizes = [b - a for _, _, a, b in pairs]
+                rows = np.concatenate([np.arange(a, b) for _, _, a, b in pairs])
+                number = np.repeat(np.arange(len(pairs)), sizes)
+                before, after = (np.stack([p[side][3] for p in pairs]) for side in (0, 1))
+                flows = stack_flows(before, after, number, corners[rows], options)
+                passed = np.array([after[2] - before[2] for before, after, _, _ in pairs])
+                good = np.flatnonzero(~np.isnan(flows[:, 0]))
+                return pa.RecordBatch.from_arrays([
+                    pa.array(video[rows[good]].astype(np.int64)),
+                    pa.array(place[rows[good]].astype(np.int64) - 1),
+                    batch.column("det_idx").take(pa.array(rows[good])),
+                    *[pa.array(flows[good, c]) for c in range(2)],
+                    pa.array(passed[number[good]]), pa.array(flows[good, 2]),
+                ], names=FLOW_NAMES)
+
+            waiting: list[tuple] = []
+            boxes_waiting = 0
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
                 if kind[a] == 0:
                     held = [*held[-1:], (video[a], place[a], t[a], greys.get(a))]
@@ -169,15 +199,16 @@ def motion_flow(
                 if len(held) < 2 or not _pair(held, video[a], place[a]):
                     continue
                 before, after = held
-                flows = box_flows(before[3], after[3], corners[a:b], options)
-                good = np.flatnonzero(~np.isnan(flows[:, 0]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(video[a:b][good].astype(np.int64)),
-                    pa.array(place[a:b][good].astype(np.int64) - 1),
-                    batch.column("det_idx").slice(a, b - a).take(pa.array(good)),
-                    *[pa.array(flows[good, c]) for c in range(2)],
-                    pa.array(np.full(len(good), after[2] - before[2])), pa.array(flows[good, 2]),
-                ], names=FLOW_NAMES)
+                if waiting and waiting[0][0][3].shape != before[3].shape:
+                    yield matched(waiting)
+                    waiting, boxes_waiting = [], 0
+                waiting.append((before, after, a, b))
+                boxes_waiting += b - a
+                if boxes_waiting >= BOXES_AT_ONCE or len(waiting) * before[3].size >= PIXELS_AT_ONCE:
+                    yield matched(waiting)
+                    waiting, boxes_waiting = [], 0
+            if waiting:
+                yield matched(waiting)
 
     return ordered.mapInArrow(run, FLOW_SCHEMA)
 

@@ -447,8 +447,8 @@ def motion_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "sha2(coalesce(text, ''), 256) AS d"
     )
-    frames = digests.selectExpr(
-        "doc_id AS video_id", f"unhex({texture}) AS noise", "explode(sequence(0, 2)) AS f"
+    frames = digests.selectExpr("doc_id AS video_id", f"unhex({texture}) AS noise").selectExpr(
+        "video_id", "noise", "explode(sequence(0, 2)) AS f"
     ).selectExpr(
         "video_id", "CAST(f AS BIGINT) AS frame_idx", "f * 0.25D AS t", "48 AS width", "40 AS height",
         "1 AS channels", "concat(substring(noise, f + 1, 1920), substring(noise, 1, f)) AS data",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlake import skew
-from boxlake.operators import tracking
+from boxlake.operators import motion, tracking
 from boxlake.plans.queries import QUERIES
 
 
@@ -54,3 +54,19 @@ def test_groups_cut_at_chunks_give_the_same_rows(spark, skewed, monkeypatch, nam
     monkeypatch.setattr(skew, "WINDOW_ROWS", 20)
     monkeypatch.setattr(skew, "HOT_JOIN_ROWS", 20)
     assert _rows(QUERIES[name](spark, skewed)) == whole
+
+
+def test_pairs_of_frames_are_matched_side_by_side(spark, monkeypatch):
+    calls, rng = [], np.random.default_rng(3)
+    frames = rng.integers(0, 256, (5, 40, 48), dtype=np.uint8)
+    which = np.array([0, 3, 1, 1, 2, 3])
+    boxes = np.column_stack([rng.uniform(0, 20, (6, 2)), rng.uniform(24, 47, (6, 2))])
+    options = motion.FlowOptions(patch=1, search=3)
+    single = np.concatenate([
+        motion.box_flows(frames[f], frames[f + 1], boxes[i : i + 1], options) for i, f in enumerate(which)
+    ])
+    inner = motion._moves
+    monkeypatch.setattr(motion, "_moves", lambda *a: calls.append(1) or inner(*a))
+    together = motion.stack_flows(frames[:-1], frames[1:], which, boxes, options)
+    np.testing.assert_array_equal(together, single)
+    assert len(calls) == 1
