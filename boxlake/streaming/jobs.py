@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -74,6 +74,9 @@ def admit_detections(
 
 
 _TRACK_INPUT = list(Tracker.inputs)
+# Position of event_ms, which the tracker's columns follow.
+_TRACK_FIRST = 3
+_TRACK_ROW = Row("video_id", "class_name", *[name for name, _ in Tracker.outputs])
 _NULLABLE = {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
 
 
@@ -88,15 +91,10 @@ class _StreamTracker(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("tracker", _SAVED)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
         state, pending, decided, last = self._load()
-        columns = ["event_ms", *_TRACK_INPUT]
-        for batch in rows:
-            clean = batch[columns].astype(object).where(batch[columns].notna(), None)
-            # Frames up to the last decided watermark are closed.
-            pending.extend(
-                r for r in clean.itertuples(index=False, name=None) if r[0] >= decided
-            )
+        # (event_ms, *_TRACK_INPUT); frames up to the last decided watermark are closed.
+        pending.extend(r for r in (tuple(row[_TRACK_FIRST:]) for row in rows) if r[0] >= decided)
         watermark = timerValues.getCurrentWatermarkInMs()
         yield from self._advance(key, state, pending, max(decided, watermark), last)
 
@@ -109,9 +107,8 @@ class _StreamTracker(StatefulProcessor):
         pass
 
     def _load(self):
-        if not self.state.exists():
-            return self.tracker.begin(), [], 0, 0
-        return pickle.loads(self.state.get()[0])
+        saved = self.state.get()  # one call to the state store, also where nothing is kept
+        return (self.tracker.begin(), [], 0, 0) if saved is None else pickle.loads(saved[0])
 
     def _advance(self, key, state, pending: list, watermark: int, last: int):
         ready = sorted((r for r in pending if r[0] < watermark), key=lambda r: (r[1], r[3]))
@@ -133,13 +130,8 @@ class _StreamTracker(StatefulProcessor):
             self.state.update((pickle.dumps((state, pending, watermark, last)),))
         else:
             self.state.clear()
-        if done:
-            # Typed column by column: integers with nulls must not pass through floats.
-            columns = {"video_id": key[0], "class_name": key[1]}
-            values = zip(*done, strict=True)
-            for (name, kind), column in zip(Tracker.outputs, values, strict=True):
-                columns[name] = pd.array(list(column), dtype=_NULLABLE[kind])
-            yield pd.DataFrame(columns)
+        for row in done:
+            yield _TRACK_ROW(*key, *row)
 
 
 TRACK_OUTPUT = "video_id BIGINT, class_name STRING, " + ", ".join(
@@ -169,7 +161,7 @@ def track_stream(
     return (
         timed.select("video_id", "class_name", "event_time", "event_ms", *_TRACK_INPUT)
         .groupBy("video_id", "class_name")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_StreamTracker(options, frame_ms),
             outputStructType=StructType.fromDDL(TRACK_OUTPUT),
             outputMode="Append",

@@ -70,3 +70,15 @@ def test_pairs_of_frames_are_matched_side_by_side(spark, monkeypatch):
     together = motion.stack_flows(frames[:-1], frames[1:], which, boxes, options)
     np.testing.assert_array_equal(together, single)
     assert len(calls) == 1
+
+
+def test_streamed_tracks_stay_plain_rows(spark, small):
+    from boxlake.plans.streams import stream_table
+    from boxlake.streaming import jobs
+
+    events = stream_table(spark, small, "events").selectExpr(
+        "user_id AS video_id", "event_type AS class_name", "CAST(ts AS TIMESTAMP) AS event_time", "event_id AS frame_idx",
+        "value AS t", "event_id AS det_idx", "value AS confidence", "value AS x1", "value AS y1", "value AS x2", "value AS y2",
+    )
+    plan = jobs.track_stream(events, tracking.TrackerOptions(max_gap=3))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "Pandas" not in plan
