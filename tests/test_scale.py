@@ -72,13 +72,37 @@ def test_pairs_of_frames_are_matched_side_by_side(spark, monkeypatch):
     assert len(calls) == 1
 
 
-def test_streamed_tracks_stay_plain_rows(spark, small):
-    from boxlake.plans.streams import stream_table
+def test_streamed_tracks_are_fed_and_given_as_rows():
+    import pickle
+
+    from pyspark.sql import Row
+
     from boxlake.streaming import jobs
 
-    events = stream_table(spark, small, "events").selectExpr(
-        "user_id AS video_id", "event_type AS class_name", "CAST(ts AS TIMESTAMP) AS event_time", "event_id AS frame_idx",
-        "value AS t", "event_id AS det_idx", "value AS confidence", "value AS x1", "value AS y1", "value AS x2", "value AS y2",
-    )
-    plan = jobs.track_stream(events, tracking.TrackerOptions(max_gap=3))._jdf.queryExecution().analyzed().toString()
-    assert "TransformWithStateInPySpark" in plan and "Pandas" not in plan
+    class Store:
+        """Stands for handle, timers and state; counts what is asked."""
+
+        asked, saved = 0, None
+
+        def get(self):
+            self.asked += 1
+            return self.saved
+
+        def update(self, saved):
+            self.saved = saved
+
+        def registerTimer(self, at):
+            self.timer = at
+
+        def getCurrentWatermarkInMs(self):
+            return 15
+
+    store = Store()
+    job = jobs._StreamTracker(tracking.TrackerOptions(max_gap=100), 1.0)
+    job.handle = job.state = store
+    names = ["video_id", "class_name", "event_time", "event_ms", *tracking.Tracker.inputs]
+    rows = [Row(*names)(1, "a", None, f, f, f / 10, f, 0.9, 0.0, 0.0, 9.0, 9.0, None, None, None) for f in (10, 12, 20)]
+    done = list(job.handleInputRows((1, "a"), iter(rows), store))
+    assert [(r.video_id, r.class_name, r.frame_idx, r.start_frame) for r in done] == [(1, "a", 10, 10), (1, "a", 12, 10)]
+    assert store.asked == 1 and store.timer == 21
+    assert [r[0] for r in pickle.loads(store.saved[0])[1]] == [20]
