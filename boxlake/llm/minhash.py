@@ -248,9 +248,22 @@ def _least_common(x: str, y: str) -> str:
         THEN (({x} + {y}) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT} ELSE {int(LONG * LEAST_LONG)} END"""
 
 
+def _unlike(own: DataFrame) -> DataFrame:
+    """The rows of one list of those that have the same members, leader and strays: the values of a passage make
+    as many lists. The one that comes first in the order of places comes first for each of its members,
+    so that it lists every pair that the others list."""
+    whole = own.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "stray", "leader").cast("decimal(20,0)")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node", "stray", "leader")).alias("b"),
+        (F.sum("place") if "place" in own.columns else F.lit(0)).alias("places"),
+    )
+    first = whole.groupBy("n", "a", "b").agg(F.min_by("key", F.struct("places", "key")).alias("key"))
+    return own.join(first.select("key"), "key")
+
+
 def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
     """Each stray with the members of other components; the leader has been tried before."""
-    own = apart.join(lists.select("key"), "key")
+    own = _unlike(apart.join(lists.select("key"), "key"))
     rule, more = "px <> py AND (NOT both OR x < y)", []
     if "size" in own.columns:
         # The first value that two sets share, in the order of places, leaves room for all others they must
