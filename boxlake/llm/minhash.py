@@ -45,6 +45,7 @@ SKETCH = 64
 LISTED, RUN = 32, 2
 LONG = 512
 MANY = 16
+BEFORE = 8
 # Of 512 lowest values a similar set shares 384 on average; 0.65 of them is 5 deviations below.
 LEAST_LONG = 0.65
 # A shared value has a chance of at least 0.75 in the union sketch; 0.45 of 64 is 5 deviations below.
@@ -261,8 +262,10 @@ def _unlike(own: DataFrame) -> DataFrame:
     return own.join(first.select("key"), "key")
 
 
-def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each stray with the members of other components; the leader has been tried before."""
+def _stray_meetings(apart: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b) of each stray with the members of other components; the leader has been tried before. Lists
+    with places meet a pair where it has no other list among the `BEFORE` last ones of both: the first list
+    of a pair is never passed over, and most of the later ones are."""
     own = _unlike(apart.join(lists.select("key"), "key"))
     rule, more = "px <> py AND (NOT both OR x < y)", []
     if "size" in own.columns:
@@ -270,15 +273,22 @@ def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
         # share: no later one needs to list the pair.
         rule += f"""
             AND least(sx, sy) * 100 >= greatest(sx, sy) * {PERCENT}
-            AND least(kx - ox, ky - oy) + 1 >= {_least_common("sx", "sy")}"""
-        more = ["size", "kept", "place"]
+            AND least(kx - ox, ky - oy) + 1 >= {_least_common("sx", "sy")}
+            AND NOT arrays_overlap(bx, by)"""
+        more = ["size", "kept", "place", "before"]
+        last = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
+        own = own.withColumn("before", F.collect_list("key").over(last))
     names = lambda s: [f"{m[0] if m != 'place' else 'o'}{s}" for m in more]
     stray = own.filter("stray").select("key", "node", "part", *more).toDF("key", "x", "px", *names("x"))
     other = own.filter("node <> leader").select("key", "node", "part", "stray", *more).toDF(
         "key", "y", "py", "both", *names("y")
     )
     met = stray.join(other, "key").filter(rule)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
+    return _stray_meetings(apart, lists).distinct()
 
 
 def _long_values(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

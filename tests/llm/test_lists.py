@@ -20,3 +20,22 @@ def test_lists_with_the_same_members_are_paired_once(spark):
     pairs = minhash._stray_pairs(apart, apart.select("key").distinct())
     # Only lists at places of at most 58 can hold the first common value of two similar sets of 400.
     assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in range(1, 20) for b in range(a + 1, 20)}
+
+
+def test_a_pair_meets_in_few_of_the_lists_that_it_shares(spark):
+    # 30 texts, each in nine tenths of 100 lists, so that no two lists and hardly two texts are alike.
+    lists = {k: [n for n in range(30) if (n * 7 + k * 3 + n * k) % 10] for k in range(100)}
+    leader = {k: max(nodes) if k % 3 else min(nodes) for k, nodes in lists.items()}
+    places, rows = dict.fromkeys(range(30), 0), []
+    for key, nodes in lists.items():
+        for node in nodes:
+            places[node] += 1
+            rows.append((key, node, leader[key], node, node != leader[key], 400, 400, places[node]))
+    apart = spark.createDataFrame(
+        rows, "key long, node long, leader long, part long, stray boolean, size long, kept long, place long"
+    )
+    met = [tuple(r) for r in minhash._stray_meetings(apart, apart.select("key").distinct()).collect()]
+    tried = {tuple(sorted((leader[k], n))) for k, nodes in lists.items() for n in nodes if n != leader[k]}
+    wanted = {(a, b) for a in range(30) for b in range(a + 1, 30)} - tried
+    assert wanted <= set(met)
+    assert len(met) < 1.2 * len(set(met))
