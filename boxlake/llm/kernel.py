@@ -154,6 +154,11 @@ def owner(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 of each size, end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def inside(bounds: np.ndarray, k: int) -> np.ndarray:
     """Starts of all runs of k elements that stay in one document, in order."""
     total = int(bounds[-1])

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import io
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -127,9 +128,10 @@ def load(tokenizer: str):
     return Tokenizer.from_file(tokenizer)
 
 
-# A word of letters that need no normalisation but lower case, with other signs after it. Such a word
-# is two pieces to the tokenizer's own split, so its letters can be coded apart and kept.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# A word of letters that need no normalisation but lower case, with other signs after it, among lines of
+# one word each (other words give two empty parts). Such a word is two pieces to the tokenizer's own
+# split, so its letters can be coded apart and kept.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]++)([!-&(-/:-@\[-`{-~]*+)|.+)$", re.MULTILINE)
 _END_OF_WORD = "</w>"
 
 
@@ -147,14 +149,14 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_END_OF_WORD)]] = True
 
     def _code(self, texts: list[str]) -> list[bytes]:
-        coded = self.model.encode_batch(texts, add_special_tokens=False)
+        coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, self.kind).tobytes() for c in coded]
 
     def _code_letters(self, words: list[str]) -> None:
         for at in range(0, len(words), 200):
             part = words[at : at + 200]
-            ids = self.model.encode(" ".join(part), add_special_tokens=False).ids
-            ids = np.array(ids, self.kind)
+            line = self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(line[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
@@ -163,30 +165,28 @@ class Words:
                 coded = self._code(part)
             self.letters.update(zip(part, coded, strict=True))
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Code the words that are not known yet."""
         if len(self.whole) > CACHED_WORDS:
             self.whole.clear()
         if len(self.letters) > CACHED_WORDS:
             self.letters.clear()
-        plain, other = [], []
-        for word in words:
-            if word not in self.whole:
-                text = word.decode("utf-8", "surrogatepass")
-                split = _PLAIN.fullmatch(text)
-                if split:
-                    plain.append((word, split[1].lower(), split[2]))
-                else:
-                    other.append((word, text))
-        fresh = {x for _, *pair in plain for x in pair if x and x not in self.letters}
-        signs = [x for x in fresh if not x[0].isalpha()]
-        self.letters.update(zip(signs, self._code(signs), strict=True))
-        self._code_letters([x for x in fresh if x[0].isalpha()])
+        fresh = [w for w in words if w not in self.whole]
+        if not fresh:
+            return
+        lines = b"\n".join(fresh).decode("utf-8", "surrogatepass")
+        letters, signs = zip(*_PLAIN.findall(lines))
+        letters = "\n".join(letters).lower().split("\n")
         known = self.letters
-        for word, letters, sign in plain:
-            self.whole[word] = known[letters] + known[sign] if sign else known[letters]
-        coded = self._code([t for _, t in other])
-        self.whole.update(zip([w for w, _ in other], coded, strict=True))
+        known[""] = b""
+        more = list(set(signs).difference(known))
+        known.update(zip(more, self._code(more), strict=True))
+        self._code_letters(list(set(letters).difference(known)))
+        parts = map(known.__getitem__, letters), map(known.__getitem__, signs)
+        self.whole.update(zip(fresh, map(operator.add, *parts), strict=True))
+        other = [w for w, x in zip(fresh, letters, strict=True) if not x]
+        coded = self._code([w.decode("utf-8", "surrogatepass") for w in other])
+        self.whole.update(zip(other, coded, strict=True))
 
 
 @functools.lru_cache(maxsize=2)
@@ -205,9 +205,36 @@ def encode_texts(tokenizer: str, texts: list[str], by_word: bool, kind: str) ->
         coded = load(tokenizer).encode_batch(texts, add_special_tokens=False)
         return [np.array(c.ids, kind).tobytes() for c in coded]
     known = words_of(tokenizer, kind)
-    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    known.learn({w for words in split for w in words})
-    return [b"".join(map(known.whole.__getitem__, words)) for words in split]
+    raw = b"".join(coded := [t.encode("utf-8", "surrogatepass") for t in texts])
+    data, bounds = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, coded)])
+    starts, ends, docs = kernel.words(data, bounds)
+    if len(starts) == 0:
+        return [b""] * len(texts)
+    first, which = _distinct(data, starts, ends)
+    words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    known.learn(words)
+    coded = list(map(known.whole.__getitem__, words))
+    flat = np.frombuffer(b"".join(coded), kind)
+    sizes = np.array(list(map(len, coded)), np.int64) // flat.itemsize
+    counts = sizes[which]
+    total = np.concatenate(([0], np.cumsum(counts)))
+    shift = (np.cumsum(sizes) - sizes)[which] - total[:-1]
+    ids = flat[np.repeat(shift, counts) + np.arange(total[-1])].tobytes()
+    cuts = (total[docs] * flat.itemsize).tolist()
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct word, which of them each word is)."""
+    hashes = kernel.range_hash(kernel.prefix_hash(data), starts, ends)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes, here = ends - starts, starts[first][which]
+    if (sizes == sizes[first][which]).all():
+        at = np.repeat(starts, sizes) + (steps := kernel.steps(sizes))
+        if (data[at] == data[np.repeat(here, sizes) + steps]).all():
+            return first, which
+    every = np.arange(len(starts))  # two words share a hash
+    return every, every
 
 
 # --- files ------------------------------------------------------------------------------------
