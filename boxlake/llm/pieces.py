@@ -37,7 +37,7 @@ from boxlake.llm.frames import arrow_map, batch_of, freed, keyed_texts
 
 SPACE = "▁"
 CACHED_WORDS = 250_000
-CACHED_PAIRS = 300_000
+PAIR_BITS = 19  # kept answers on pairs of pieces, 9 bytes each
 SLICE_BYTES = 2_000_000
 FILTER_BITS = 20
 CELLS = 1_000_000  # characters of words solved together
@@ -71,6 +71,9 @@ class Pieces:
             else b"" if model.is_control(i) else t.replace(SPACE, " ").encode()
             for i, t in enumerate(self.texts)
         ]
+        self.surface_sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
 
     def build(self, texts: Sequence[str], scores: np.ndarray, ids: np.ndarray) -> None:
         keys = np.array([self.key(t) for t in texts], np.uint64)
@@ -82,9 +85,12 @@ class Pieces:
             raise ValueError(f"pieces with an inner space are not supported: {crossing[:3]}")
         self.keys, self.scores, self.ids = keys[order], scores[order], ids[order]
         self.longest = max(map(len, texts))
+        self.spans = [x for x in (2, 3, 1, *range(4, self.longest + 1)) if x <= self.longest]
         self.known = np.unique([ord(t) for t in texts if len(t) == 1])
         self.rank = {t: (-s, int(i)) for t, s, i in zip(texts, scores, ids, strict=True)}
-        self.stable: dict[int, bool] = {}
+        self.pairs = np.full(1 << PAIR_BITS, np.iinfo(np.int64).min)
+        self.answers = np.zeros(1 << PAIR_BITS, bool)
+        self.edges: dict[tuple[int, int], list] = {}
         if self.merges:
             self._derive(texts, ids)
         self.unknown_score = float(scores[scores > -1e6].min()) - 10.0
@@ -127,6 +133,12 @@ class Pieces:
             until, now = since, children[side] if children else None
         return chain
 
+    def _kept_edge(self, piece: int, side: int) -> list[tuple[str, float, float]]:
+        found = self.edges.get((piece, side))
+        if found is None:
+            found = self.edges[piece, side] = self._edge(self.texts[piece], side)
+        return found
+
     def _last_merge(self, text: str) -> tuple[str, str] | None:
         """The two pieces whose merge completes `text`; None if merging does not end there."""
         symbols = list(text)
@@ -143,8 +155,8 @@ class Pieces:
 
     def _is_stable(self, left: int, right: int) -> bool:
         """No merge ever joins the right edge of one piece with the left edge of the next."""
-        ends = self._edge(self.texts[right], 0)
-        for a, a_since, a_until in self._edge(self.texts[left], 1):
+        ends = self._kept_edge(right, 0)
+        for a, a_since, a_until in self._kept_edge(left, 1):
             for b, b_since, b_until in ends:
                 joined = self.rank.get(a + b)
                 if joined is None or max(a_since, b_since) >= min(a_until, b_until):
@@ -154,20 +166,22 @@ class Pieces:
         return True
 
     def fits(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-        """Which pieces can follow the ones before them (-2: start of the word, -1: unknown)."""
-        pairs, which = np.unique(before * (1 << 32) + pieces, return_inverse=True)
-        known = self.stable
-        out = np.empty(len(pairs), bool)
-        for i, pair in enumerate(pairs.tolist()):
-            ok = known.get(pair)
-            if ok is None:
-                left, right = pair >> 32, pair & 0xFFFFFFFF
-                ok = right in self.reached and (left < 0 or self._is_stable(left, right))
-                if len(known) >= CACHED_PAIRS:
-                    known.clear()
-                known[pair] = ok
-            out[i] = ok
-        return out[which]
+        """Which pieces can follow the ones before them (-2: start of the word, -1: unknown). The answers are
+        kept by the pair's hash; a pair takes the place of another one there."""
+        pairs = before * (1 << 32) + pieces
+        place = (kernel.mix(pairs.view(np.uint64)) % np.uint64(len(self.pairs))).view(np.int64)
+        out = self.answers[place]
+        open_rows = np.flatnonzero(self.pairs[place] != pairs)
+        if len(open_rows):
+            fresh, first, which = np.unique(pairs[open_rows], return_index=True, return_inverse=True)
+            found = np.array([self._can_follow(p >> 32, p & 0xFFFFFFFF) for p in fresh.tolist()], bool)
+            out[open_rows] = found[which]
+            own, one = np.unique(place[open_rows[first]], return_index=True)
+            self.pairs[own], self.answers[own] = fresh[one], found[one]
+        return out
+
+    def _can_follow(self, left: int, right: int) -> bool:
+        return right in self.reached and (left < 0 or self._is_stable(left, right))
 
     @staticmethod
     def key(text: str) -> int:
@@ -201,10 +215,9 @@ class Pieces:
         chosen[:, 0] = -2
         shift = np.uint64(64 - FILTER_BITS)
         for end in range(1, size + 1):
-            spans = range(min(self.longest, end), 0, -1) if self.merges else range(
-                1, min(self.longest, end) + 1
-            )
-            todo = np.arange(n)  # with merges, exactly one piece fits: rows leave when they have it
+            # With merges, exactly one piece fits, so any order will do: rows leave when they have it.
+            spans = [x for x in self.spans if x <= end]
+            todo = np.arange(n)
             for span in spans:
                 keys = _substring(prefixes[todo], end - span, end)
                 own = np.flatnonzero(self.maybe[(keys >> shift).astype(np.int64)])
@@ -263,6 +276,22 @@ class Pieces:
         """The words of a text, with the dummy space before the first."""
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def restores(self, values: np.ndarray, bounds: np.ndarray, texts: Sequence[str]) -> list[bool]:
+        """Whether the ids between the bounds decode to each text (U+2581 read as a space)."""
+        sizes = self.surface_sizes[values]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(self.surface_starts[values] - ends[:-1], sizes) + np.arange(ends[-1])
+        raw = self.surface_bytes[at].tobytes()
+        cuts = ends[bounds].tolist()
+        same = []
+        for row, (a, b, text) in enumerate(zip(cuts[:-1], cuts[1:], texts, strict=True)):
+            wanted = text.replace(SPACE, " ")
+            same.append(
+                raw[a:b].removeprefix(b" ") == wanted.encode("utf-8", "surrogatepass")
+                or self.decode(values[bounds[row] : bounds[row + 1]].tolist()) == wanted
+            )
+        return same
+
     def decode(self, ids: Sequence[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
@@ -310,12 +339,7 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
             values = np.frombuffer(b"".join(coded), "<i4")
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
             bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            model = load(path)
-            whole = values.tolist() if check else []
-            same = [
-                not check or model.decode(whole[a:b]) == t.replace(SPACE, " ")
-                for a, b, t in zip(bounds[:-1], bounds[1:], texts, strict=True)
-            ]
+            same = load(path).restores(values, bounds, texts) if check else [True] * len(texts)
             yield batch_of(
                 doc_id=batch.column("doc_id"),
                 ids=pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)),

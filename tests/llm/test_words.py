@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from boxlake.llm import kernel, token_files
+from boxlake.llm import kernel, pieces, token_files
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " ", "a\x85b c d\x1ce \x0b\x0c", "İstanbul ǅ ΣΑΣ ß ÿ × a× A÷!",
@@ -40,3 +41,27 @@ def test_words_that_share_a_hash_are_told_apart(monkeypatch):
     assert token_files.encode_texts(WORD_PIECES, texts, True, "<u2") == token_files.encode_texts(
         WORD_PIECES, texts, False, "<u2"
     )
+
+
+def test_answers_on_pairs_of_pieces_are_kept_and_may_be_displaced(monkeypatch):
+    monkeypatch.setattr(pieces, "PAIR_BITS", 4)
+    small, asked = pieces.Pieces(PIECES), []
+    monkeypatch.setattr(
+        small, "_can_follow", lambda a, b: asked.append((a, b)) or pieces.Pieces._can_follow(small, a, b)
+    )
+    words = small.split("Several unaccustomed words, misspelt wrods and 日本語 in one sentence.")
+    large = pieces.load(PIECES)
+    assert small.solve(words) == large.solve(words)
+    asked.clear()
+    one = np.array([-2]), np.array([large.ids[0]], np.int64)
+    assert small.fits(*one) == small.fits(*one) and len(asked) <= 1
+
+
+def test_round_trips_are_judged_for_a_slice_at_once():
+    model = pieces.load(PIECES)
+    texts = [*ODD, "a\u2581b", " two  spaces ", "same", "\ufffd", "same"]
+    coded = pieces.encode_texts(PIECES, texts)
+    coded[-1] = coded[-2]  # the ids of another text
+    values = np.frombuffer(b"".join(coded), "<i4")
+    bounds = np.cumsum([0, *(len(c) // 4 for c in coded)])
+    assert model.restores(values, bounds, texts) == [True] * (len(texts) - 1) + [False]
