@@ -85,7 +85,8 @@ class Pieces:
             raise ValueError(f"pieces with an inner space are not supported: {crossing[:3]}")
         self.keys, self.scores, self.ids = keys[order], scores[order], ids[order]
         self.longest = max(map(len, texts))
-        self.spans = [x for x in (2, 3, 1, *range(4, self.longest + 1)) if x <= self.longest]
+        spans = range(1, self.longest + 1)  # of equal scores, the shortest last piece counts
+        self.spans = sorted(spans, key=(2, 3, 1, *spans[3:]).index) if self.merges and self.longest > 3 else spans
         self.known = np.unique([ord(t) for t in texts if len(t) == 1])
         self.rank = {t: (-s, int(i)) for t, s, i in zip(texts, scores, ids, strict=True)}
         self.pairs = np.full(1 << PAIR_BITS, np.iinfo(np.int64).min)
