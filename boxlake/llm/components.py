@@ -13,11 +13,10 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     smallest node seen after so many rounds: equal labels are connected, the reverse may not hold yet.
 
     Each round a node takes the smallest label around it and then the label of that label, so chains
-    halve; edges stay distributed and only one number per round reaches the driver.
+    halve; edges stay distributed and only one number per round reaches the driver. Every round reads the
+    edges anew, so they should be stored; repeated ones do no harm.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    )
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     labels = stored(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
         .select("node", F.least("node", "low").alias("label"))

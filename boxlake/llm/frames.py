@@ -18,6 +18,7 @@ from boxlake.skew import ensure_checkpoint_dir
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STORED_BATCH_ROWS = 1_000
+FREED_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +43,21 @@ Batches = Iterator[pa.RecordBatch]
 
 def freed(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """`fn`, returning the memory of its batches to the system at the end of the task. Workers are kept
-    for later tasks, and what an idle one holds is missing to everything else on its machine."""
+    for later tasks, and what an idle one holds is missing to everything else on its machine. Tasks with
+    few bytes leave nothing worth the time."""
 
     def run(batches: Batches) -> Batches:
-        yield from fn(batches)
+        taken = 0
+
+        def counted() -> Batches:
+            nonlocal taken
+            for batch in batches:
+                taken += batch.nbytes
+                yield batch
+
+        yield from fn(counted())
+        if taken < FREED_BYTES:
+            return
         gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

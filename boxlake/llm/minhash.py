@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm import kernel
@@ -75,9 +75,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def rank_of(ids: np.ndarray) -> np.ndarray:
-    """A random rank for each id, one to one."""
-    return _signed(kernel.mix(ids.astype(np.int64).view(np.uint64)))
+def node_of(doc_id: str) -> Column:
+    """The node of a class, a random rank: `xxhash64` of one long is one to one."""
+    return F.xxhash64(F.col(doc_id).cast("long"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -131,21 +131,19 @@ def _listed(sketches: DataFrame, listed: int, run: int) -> DataFrame:
 
 def _shared(lists: DataFrame) -> DataFrame:
     """The lists with more than one member, each row with its list's leader: the member whose lists
-    are longest together."""
-    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    common = lists.join(counts, "key")
+    are longest together. Rows are dealt by list, by node and by list again, and nothing is read twice;
+    the windows hold the rows of one list or node, and spill."""
+    by_key, by_node = Window.partitionBy("key"), Window.partitionBy("node")
+    common = lists.withColumn("members", F.count(F.lit(1)).over(by_key)).filter("members > 1")
     # One number orders by the sum and then by the random rank.
-    order = F.least(F.sum("members"), F.lit(1 << 40)) * (1 << 20) + F.pmod("node", F.lit(1 << 20))
-    central = common.groupBy("node").agg(order.alias("central"))
-    led = common.drop("members").join(central, "node")
-    leaders = led.groupBy("key").agg(F.max_by("node", "central").alias("leader"))
-    return led.drop("central").join(leaders, "key")
+    order = F.least(F.sum("members").over(by_node), F.lit(1 << 40)) * (1 << 20) + F.pmod("node", F.lit(1 << 20))
+    led = common.withColumn("central", order)
+    leader = F.max_by("node", "central").over(by_key)
+    return led.withColumn("leader", leader).drop("members", "central")
 
 
 def _to_leaders(shared: DataFrame) -> DataFrame:
-    return shared.filter("node <> leader").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")
-    ).distinct()
+    return shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
 def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -170,7 +168,7 @@ def _padded(sketches: list[bytes]) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and union sketches allow the similarity."""
+    """The distinct pairs whose sizes and union sketches allow the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,25 +183,26 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     side = classes.select("node", "n_shingles", "sketch")
     named = lambda s: side.toDF(s, f"n_{s}", f"sketch_{s}")
-    sized = pairs.join(named("b"), "b").join(named("a"), "a").filter(
+    # Dealt by b once, for the distinct pairs and for the join.
+    sized = pairs.repartition("b").distinct().join(named("b"), "b").join(named("a"), "a").filter(
         (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * PERCENT)
     )
     return arrow_map(sized.select("a", "b", "sketch_a", "sketch_b"), keep, "a long", "b long")
 
 
-def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the classes' first documents. Ids are broadcast up to a counted bound,
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the classes' first documents. Nodes are broadcast up to a counted bound,
     beyond it joined by a shuffle."""
-    ids = stored(classes.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
-    own = keyed_texts(docs).join(sized_broadcast(ids, BROADCAST_IDS), "doc_id")
-    return own.select("node", "text")
+    wanted = sized_broadcast(stored(nodes.distinct()), BROADCAST_IDS)
+    own = keyed_texts(docs).withColumn("node", node_of("doc_id"))
+    return own.join(wanted, "node").select("node", "text")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with 100 * common >= 75 * union on full sets."""
     pairs = stored(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = stored(_texts_of(nodes, classes, docs))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    texts = stored(_texts_of(nodes, docs))
     rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,20 +224,20 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return arrow_map(rows.select("a", "b", "text_a", "text_b"), freed(keep), "a long", "b long")
 
 
-def _unsettled(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with component, open lists with their number of members): a list is open if a member
-    stands outside its leader's component."""
+def _unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of the open lists, with the component (`part`) of each member, whether it is a `stray`, and
+    the number of `members`: a list is open if a member stands outside its leader's component."""
     # Leaders make stars: two rounds settle them, and what is not settled yet is only paired again.
     labels = components(links, rounds=2)
     member = shared.join(labels.toDF("node", "label"), "node", "left").select(
         *shared.columns, F.coalesce("label", "node").alias("part")
     )
-    main = member.filter("node = leader").select("key", F.col("part").alias("main"))
-    apart = member.join(main, "key").withColumn("stray", F.col("part") != F.col("main"))
-    counted = apart.groupBy("key").agg(
-        F.sum(F.col("stray").cast("long")).alias("strays"), F.count(F.lit(1)).alias("members")
-    )
-    return apart, counted.filter("strays > 0").drop("strays")
+    by_key = Window.partitionBy("key")
+    main = F.max(F.when(F.col("node") == F.col("leader"), F.col("part"))).over(by_key)
+    apart = member.withColumn("stray", F.col("part") != main)
+    return apart.withColumns({
+        "strays": F.sum(F.col("stray").cast("long")).over(by_key), "members": F.count(F.lit(1)).over(by_key),
+    }).filter("strays > 0").drop("strays")
 
 
 def _least_common(x: str, y: str) -> str:
@@ -262,11 +261,12 @@ def _unlike(own: DataFrame) -> DataFrame:
     return own.join(first.select("key"), "key")
 
 
-def _stray_meetings(apart: DataFrame, lists: DataFrame) -> DataFrame:
-    """(a, b) of each stray with the members of other components; the leader has been tried before. Lists
+def _stray_meetings(apart: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """(a, b) of each stray with the members of other components, in all lists or in the given ones; the
+    leader has been tried before. Lists
     with places meet a pair where it has no other list among the `BEFORE` last ones of both: the first list
     of a pair is never passed over, and most of the later ones are."""
-    own = _unlike(apart.join(lists.select("key"), "key"))
+    own = _unlike(apart if lists is None else apart.join(lists.select("key"), "key"))
     rule, more = "px <> py AND (NOT both OR x < y)", []
     if "size" in own.columns:
         # The first value that two sets share, in the order of places, leaves room for all others they must
@@ -278,6 +278,7 @@ def _stray_meetings(apart: DataFrame, lists: DataFrame) -> DataFrame:
         more = ["size", "kept", "place", "before"]
         last = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
         own = own.withColumn("before", F.collect_list("key").over(last))
+    own = stored(own)
     names = lambda s: [f"{m[0] if m != 'place' else 'o'}{s}" for m in more]
     stray = own.filter("stray").select("key", "node", "part", *more).toDF("key", "x", "px", *names("x"))
     other = own.filter("node <> leader").select("key", "node", "part", "stray", *more).toDF(
@@ -291,7 +292,7 @@ def _stray_pairs(apart: DataFrame, lists: DataFrame) -> DataFrame:
     return _stray_meetings(apart, lists).distinct()
 
 
-def _long_values(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _long_values(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, node, size, kept): the LONG lowest values of each class, the size of its set, and how
     many values are listed."""
 
@@ -306,7 +307,7 @@ def _long_values(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
             )
 
     return arrow_map(
-        _texts_of(nodes, classes, docs), run, "key long", "node long", "size long", "kept long"
+        _texts_of(nodes, docs), run, "key long", "node long", "size long", "kept long"
     )
 
 
@@ -318,8 +319,8 @@ def _rarest(values: DataFrame) -> DataFrame:
     Values of one class only come first and meet nothing; a set with enough of them is in no list.
     `place` counts in that order: two sets of known sizes must meet further ahead (`_least_common`).
     """
-    counts = values.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    common = values.join(counts, "key")
+    holders = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    common = values.withColumn("holders", holders).filter("holders > 1")
     least = F.least(F.ceil(F.col("kept") * PERCENT / 100), F.lit(int(LONG * LEAST_LONG)))
     node = Window.partitionBy("node")
     placed = common.withColumns({
@@ -333,39 +334,25 @@ def _rarest(values: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, confirmed links between classes that connect all similar classes)."""
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("rep").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rank_of(ids)), *batch.columns], ["node", *batch.schema.names]
-            )
-
     grouped = signed.filter("n_shingles > 0").groupBy("n_shingles", "digest_a", "digest_b").agg(
         F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")
     )
-    fields = ["n_shingles long", "digest_a long", "digest_b long", "rep long", "sketch binary"]
-    classes = stored(arrow_map(grouped, ranked, "node long", *fields))
+    classes = stored(grouped.select(node_of("rep").alias("node"), "*"))
     shared = stored(_shared(_listed(classes, LISTED, RUN)))
-    found = stored(_confirmed(_likely(_to_leaders(shared), classes), classes, docs))
-
-    apart, open_lists = _unsettled(shared, found)
-    apart, open_lists = stored(apart), stored(open_lists)
-    pairs = _stray_pairs(apart, open_lists.filter(F.col("members") <= MANY))
-    crowded = stored(
-        apart.join(open_lists.filter(F.col("members") > MANY).select("key"), "key")
-        .select("node").distinct()
-    )
+    found = stored(_confirmed(_likely(_to_leaders(shared), classes), docs))
+
+    apart = stored(_unsettled(shared, found))
+    pairs = _stray_meetings(apart.filter(F.col("members") <= MANY))
+    crowded = apart.filter(F.col("members") > MANY).select("node")
     if crowded.isEmpty():
-        more = _confirmed(_likely(pairs, classes), classes, docs)
+        more = _confirmed(_likely(pairs, classes), docs)
         return classes, stored(found.union(more))
-    longer = stored(_shared(_rarest(_long_values(crowded, classes, docs))))
-    pairs = pairs.union(_to_leaders(longer)).distinct()
-    more = _confirmed(_likely(pairs, classes), classes, docs)
+    longer = stored(_shared(_rarest(_long_values(crowded, docs))))
+    pairs = pairs.union(_to_leaders(longer))
+    more = _confirmed(_likely(pairs, classes), docs)
     found = stored(found.union(more))
-    apart, open_lists = _unsettled(longer, found)
-    pairs = _stray_pairs(stored(apart), open_lists)
-    last = _confirmed(_likely(pairs, classes), classes, docs)
+    pairs = _stray_meetings(stored(_unsettled(longer, found)))
+    last = _confirmed(_likely(pairs, classes), docs)
     return classes, stored(found.union(last))
 
 

@@ -39,3 +39,24 @@ def test_a_pair_meets_in_few_of_the_lists_that_it_shares(spark):
     wanted = {(a, b) for a in range(30) for b in range(a + 1, 30)} - tried
     assert wanted <= set(met)
     assert len(met) < 1.2 * len(set(met))
+
+
+def test_rows_of_lists_are_dealt_once_each_way(spark):
+    # Lists of 2, 3 and 1 members; node 5 has the longest lists together.
+    rows = [(1, 5), (1, 6), (2, 5), (2, 6), (2, 7), (3, 8), (4, 5), (4, 7)]
+    lists = spark.createDataFrame(rows, "key long, node long")
+    shared = minhash._shared(lists)
+    assert {tuple(r) for r in shared.collect()} == {(k, n, 5) for k, n in rows if k != 3}
+    plan = shared._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 0
+    plan = shared._jdf.queryExecution().executedPlan().initialPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_texts_of_nodes_need_no_table_of_classes(spark, frame):
+    docs = frame({k: f"text {k}" for k in range(200)})
+    nodes = docs.filter("doc_id % 20 = 0").select(minhash.node_of("doc_id").alias("node"))
+    texts = minhash._texts_of(nodes.union(nodes), docs).join(
+        docs.select(minhash.node_of("doc_id").alias("node"), "doc_id"), "node"
+    )
+    assert sorted((r.doc_id, r.text) for r in texts.collect()) == [(k, f"text {k}") for k in range(0, 200, 20)]
