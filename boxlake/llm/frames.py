@@ -17,6 +17,7 @@ from boxlake.skew import ensure_checkpoint_dir
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+PARQUET_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 STORED_BATCH_ROWS = 1_000
 FREED_BYTES = 1_000_000
 
@@ -41,12 +42,28 @@ def schema(*fields: str) -> T.StructType:
 Batches = Iterator[pa.RecordBatch]
 
 
-def freed(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+_forget: Callable[[], None] | None = None
+
+
+def take_over(forget: Callable[[], None] | None) -> None:
+    """Have the operator that this worker served last give up what it keeps between tasks, unless it is
+    the same one again."""
+    global _forget
+    if _forget is not None and _forget is not forget:
+        _forget()
+    _forget = forget
+
+
+def freed(
+    fn: Callable[[Batches], Batches], forget: Callable[[], None] | None = None
+) -> Callable[[Batches], Batches]:
     """`fn`, returning the memory of its batches to the system at the end of the task. Workers are kept
     for later tasks, and what an idle one holds is missing to everything else on its machine. Tasks with
-    few bytes leave nothing worth the time."""
+    few bytes leave nothing worth the time. What `fn` keeps between tasks goes by `forget`, a function of a
+    module, once the worker serves another operator."""
 
     def run(batches: Batches) -> Batches:
+        take_over(forget)
         taken = 0
 
         def counted() -> Batches:

@@ -318,6 +318,12 @@ def load(path: str, merges: bool = True) -> Pieces:
 _solved: dict[str, dict[str, bytes]] = {}
 
 
+def forget() -> None:
+    """Give up models and encoded words."""
+    _solved.clear()
+    load.cache_clear()
+
+
 def encode_texts(path: str, texts: Sequence[str]) -> list[bytes]:
     """Little-endian 32-bit ids of each text."""
     model = load(path)
@@ -348,7 +354,7 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
             )
 
     return arrow_map(
-        keyed_texts(docs), freed(run), "doc_id long", "ids array<int>", "n_ids long", "round_trip boolean"
+        keyed_texts(docs), freed(run, forget), "doc_id long", "ids array<int>", "n_ids long", "round_trip boolean"
     )
 
 

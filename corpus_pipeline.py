@@ -16,14 +16,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boxlake.llm import decontaminate, minhash, pieces, quality, substrings
-from boxlake.llm.frames import ARROW_ROWS, STORED_BATCH_ROWS, stored, table
+from boxlake.llm.frames import ARROW_ROWS, PARQUET_ROWS, STORED_BATCH_ROWS, stored, table
 
 
 def _narrow(spark: SparkSession) -> None:
     """Documents are long: batches of Arrow's default number of rows cost every task tens of megabytes on
-    both sides, which executors then keep."""
-    if int(spark.conf.get(ARROW_ROWS)) > STORED_BATCH_ROWS:
-        spark.conf.set(ARROW_ROWS, str(STORED_BATCH_ROWS))
+    both sides, which executors then keep. So do the batches of the Parquet reader."""
+    for rows in (ARROW_ROWS, PARQUET_ROWS):
+        if int(spark.conf.get(rows)) > STORED_BATCH_ROWS:
+            spark.conf.set(rows, str(STORED_BATCH_ROWS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,16 @@ def test_induced_suffixes_with_queues_on_disk(memory):
             while max(a, b) + n < len(plain) and plain[a + n] == plain[b + n]:
                 n += 1
             assert c == min(n, suffixes.CAP)
+
+
+def test_a_worker_gives_up_what_its_last_operator_kept():
+    from boxlake.llm import frames, pieces
+
+    other = frames.freed(lambda batches: batches)
+    own = frames.freed(lambda batches: batches, pieces.forget)
+    list(own(iter([])))
+    pieces._solved["model"] = {"word": b"ids"}
+    list(own(iter([])))
+    assert pieces._solved
+    list(other(iter([])))
+    assert not pieces._solved
