@@ -64,9 +64,11 @@ def range_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix(h + (ends - starts).astype(np.uint64) * _GRAM_BASE)
 
 
-def rolling_hash(c: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte ranges in order of their start."""
+def rolling_hash(c: np.ndarray, k: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all k-byte ranges in order of their start, or of those at `starts`."""
     _, down = powers(len(c))
+    if starts is not None:
+        return mix((c[starts + k] - c[starts]) * down[starts])
     n = len(c) - k
     if n <= 0:
         return np.zeros(0, np.uint64)

@@ -45,8 +45,8 @@ class Units:
         else:
             self.bounds, self.prefix = bounds, kernel.prefix_hash(data)
 
-    def grams(self, k: int) -> np.ndarray:
-        return kernel.rolling_hash(self.prefix, k)
+    def grams(self, k: int, starts: np.ndarray | None = None) -> np.ndarray:
+        return kernel.rolling_hash(self.prefix, k, starts)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return kernel.range_hash(self.prefix, starts, ends)
@@ -71,7 +71,12 @@ def settle(
     """(removed, open) claims. Removed: an equal span of the anchor starts earlier (`within`: in a
     smaller document or before it in the same one; else: in a smaller document). Open: the first
     claim of its span (else: all claims of its first document), where the anchor has other spans too."""
-    order = np.lexsort((first, doc, span, anchor))
+    removed, opened = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
+    order = np.argsort(anchor)
+    same = anchor[order][1:] == anchor[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    # Most anchors have one claim, which needs no finer order.
+    order = order[np.lexsort((first[order], doc[order], span[order], anchor[order]))]
     a, s, d, f = anchor[order], span[order], doc[order], first[order]
     new_anchor = np.ones(len(a), bool)
     new_anchor[1:] = a[1:] != a[:-1]
@@ -84,7 +89,6 @@ def settle(
         later |= f > f0
     key = np.cumsum(new_anchor) - 1
     spans = np.bincount(key[new_span])[key] if len(key) else key
-    removed, opened = np.zeros(len(a), bool), np.zeros(len(a), bool)
     removed[order] = later
     opened[order] = (new_span if within else d == d0) & (spans > 1)
     return removed, opened

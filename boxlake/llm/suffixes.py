@@ -12,6 +12,9 @@ text can be a memory map.
 `judge` removes every byte covered by a `WINDOW`-byte string that also starts in a document of a
 smaller id. Shards are cut by content: winnowed anchors bring equal strings to one shard, spans that
 are equal as wholes are settled where they meet, and the spans that agree only in part are sorted.
+A span is left out of the sort if no span of another document has the same `WINDOW` - (`WINDOW` - `SEED`)
+/ `REACHES` bytes around the seed, which any common string contains; a span that a document repeats is
+sorted once.
 
 Defined cases: null, empty and shorter texts lose nothing; matches never cross documents; strings
 are judged on the input; rows that repeat a doc_id are one document; empty tables give empty results;
@@ -37,7 +40,9 @@ MEMORY = 30_000_000  # queue entries in memory, about 9 bytes each
 CAP = 250
 BATCH = 1_000_000
 SHARDS_PER_PART = 6
+REACHES = 3
 SYMBOLS = 257  # separator 0, bytes from 1
+SPAN = np.dtype([("doc", "<i8"), ("size", "<i4"), ("copies", "<i4"), ("reach", "<u8", REACHES)])
 
 
 class Queues:
@@ -100,37 +105,43 @@ def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
 
 
 class Inducer:
-    """Pushes the predecessors of scanned batches, with induced common prefixes."""
+    """Pushes the predecessors of scanned batches, with induced common prefixes (`counted`; else 0)."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: Queues):
-        self.text, self.wanted, self.queues = text, wanted, queues
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: Queues, counted: bool):
+        self.text, self.wanted, self.queues, self.counted = text, wanted, queues, counted
         self.since = np.full(SYMBOLS, -1, np.int16)  # least value since the last push; -1: none yet
 
     def scan(self, positions: np.ndarray, common: np.ndarray) -> None:
-        common = common.astype(np.int16)
         before = positions - 1
         at = np.flatnonzero((positions > 0) & self.wanted[before])
-        low = np.minimum.accumulate(common)
-        everything = low[-1]
-        if len(at) == 0:
-            self.since = np.minimum(self.since, everything)
-            return
         symbols = self.text[before[at]]
         order = np.argsort(symbols, kind="stable")
         at, symbols = at[order], symbols[order]
         new = np.ones(len(at), bool)
         new[1:] = symbols[1:] != symbols[:-1]
+        edge = np.append(np.flatnonzero(new), len(at)).tolist()
+        if self.counted:
+            shared = self._shared(common.astype(np.int16), at, symbols, new)
+        else:
+            shared = np.zeros(len(at), np.uint8)
+        before = before[at]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            self.queues.push(int(symbols[a]), before[a:b], shared[a:b])
+
+    def _shared(
+        self, common: np.ndarray, at: np.ndarray, symbols: np.ndarray, new: np.ndarray
+    ) -> np.ndarray:
+        low = np.minimum.accumulate(common)
         shared = np.empty(len(at), np.int16)
         rest = np.flatnonzero(~new)
         shared[rest] = _least_between(common, at[rest - 1], at[rest]) + 1
         first = np.flatnonzero(new)
         shared[first] = np.minimum(self.since[symbols[first]], low[at[first]]) + 1
-        np.minimum(shared, CAP, out=shared)
-        self.since = np.minimum(self.since, everything)
+        self.since = np.minimum(self.since, low[-1])
         tail = np.minimum.accumulate(np.append(common, CAP)[::-1])[::-1]
-        for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
-            self.queues.push(int(symbols[a]), before[at[a:b]], shared[a:b].astype(np.uint8))
-            self.since[symbols[a]] = tail[at[b - 1] + 1]
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        self.since[symbols[first]] = tail[at[last] + 1]
+        return np.minimum(shared, CAP).astype(np.uint8)
 
 
 def _common(text: np.ndarray, i: int, j: int) -> int:
@@ -153,14 +164,14 @@ def kinds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def induce(
     text: np.ndarray, small: np.ndarray, least: np.ndarray, common: np.ndarray, folder: str,
-    memory: int,
+    memory: int, counted: bool = True,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted (positions, common prefixes) from the sorted local minima, from the last symbol to the
     first; inside a symbol ascending. A common prefix counts from the entry before; 0 at a symbol's
-    first entry."""
+    first entry. If they are not `counted`, only the order means something."""
     cut = np.searchsorted(text[least], np.arange(SYMBOLS + 1))
     queues, kept = Queues(folder, memory), Queues(folder, memory)
-    inducer = Inducer(text, ~small, queues)
+    inducer = Inducer(text, ~small, queues, counted)
     for symbol in range(SYMBOLS):
         last = None
         for positions, shared in queues.pop(symbol):
@@ -170,10 +181,13 @@ def induce(
         own = slice(cut[symbol], cut[symbol + 1])
         if own.start < own.stop:
             shared = common[own].copy()
-            shared[0] = 0 if last is None else _common(text, last, int(least[own.start]))
+            if counted and last is not None:
+                shared[0] = _common(text, last, int(least[own.start]))
+            else:
+                shared[0] = 0
             inducer.scan(least[own], shared)
     queues = Queues(folder, memory)
-    inducer = Inducer(text, small, queues)
+    inducer = Inducer(text, small, queues, counted)
     for symbol in range(SYMBOLS - 1, -1, -1):
         positions, shared = [], []
         for p, s in queues.pop(symbol):
@@ -187,7 +201,7 @@ def induce(
         rising = np.concatenate([p for p, _ in large]) if large else np.zeros(0, np.int64)
         rising_shared = np.concatenate([s for _, s in large]) if large else np.zeros(0, np.uint8)
         if len(rising):
-            if len(falling):
+            if len(falling) and counted:
                 border = _common(text, int(rising[-1]), int(falling[-1]))
             inducer.scan(rising[::-1], np.append(rising_shared[1:], border)[::-1])
         order = np.concatenate((rising, falling[::-1]))
@@ -209,7 +223,7 @@ def _ranked_minima(
     is_least[least] = True
     parts = [
         order[is_least[order]] for order, _ in
-        induce(text, small, begin, np.zeros(len(begin), np.uint8), folder, memory)
+        induce(text, small, begin, np.zeros(len(begin), np.uint8), folder, memory, False)
     ]
     order = np.concatenate(parts[::-1])
     order = np.append(least[-1:], order)  # the final separator is induced by none
@@ -228,9 +242,9 @@ def _ranked_minima(
     while name[-1] + 1 < len(least) and 2 * covered < depth + 2:
         after = np.full(len(rank), -1, np.int64)
         after[:-covered] = rank[covered:]
-        by = np.lexsort((after, rank))
-        same = (rank[by][1:] == rank[by][:-1]) & (after[by][1:] == after[by][:-1])
-        name = np.cumsum(np.append(True, ~same)) - 1
+        pair = rank * (len(rank) + 1) + after + 1
+        by = np.argsort(pair)
+        name = np.cumsum(np.append(True, pair[by][1:] != pair[by][:-1])) - 1
         rank = np.empty(len(least), np.int64)
         rank[by] = name
         covered *= 2
@@ -282,61 +296,129 @@ def repeated_strings(
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def owners(
+    units: repeats.Units, first: np.ndarray, window: int, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the anchors that own the windows at `first`, as `kernel.anchors` finds them."""
+    places = first[:, None] + np.arange(window - seed + 1)
+    grams = units.grams(seed, places)
+    least = np.argmin(grams >> np.uint64(32), axis=1)
+    return first + least, grams[np.arange(len(first)), least]
+
+
+def reaches(
+    units: repeats.Units, at: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, seed: int
+) -> np.ndarray:
+    """Hashes of the bytes around each anchor that its windows contain, by how far they reach to the left:
+    windows start up to `window` - `seed` bytes before their anchor, which makes `REACHES` stretches, and all
+    windows of a stretch contain the bytes from its last start to its first end. 0: the span has not all of
+    these bytes, and so no window of the stretch."""
+    more = window - seed
+    out = np.zeros((len(at), REACHES), np.uint64)
+    for stretch in range(REACHES):
+        begin = at - more * stretch // REACHES
+        end = at + window - more * (stretch + 1) // REACHES
+        own = np.flatnonzero((begin >= first) & (end <= last + window))
+        out[own, stretch] = units.spans(begin[own], end[own])
+    return out
+
+
+def met(reach: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for spans that share a reach with a span of another document."""
+    out = np.zeros(len(doc), bool)
+    for keys in reach.T:
+        own = np.flatnonzero(keys)
+        own = own[np.argsort(keys[own])]
+        if len(own) == 0:
+            continue
+        edge = np.flatnonzero(np.append(True, keys[own][1:] != keys[own][:-1]))
+        docs = doc[own]
+        several = np.minimum.reduceat(docs, edge) != np.maximum.reduceat(docs, edge)
+        out[own[np.repeat(several, np.diff(np.append(edge, len(own))))]] = True
+    return out
+
+
+def open_spans(
+    batches: Iterator[pa.RecordBatch], parts: int, window: int, seed: int
+) -> Iterator[pa.RecordBatch]:
+    """The spans at PLACES, packed by part: a span that its document repeats is sent once, with all its
+    places in `begin`."""
+    for batch in kernel.slices(batches):
+        units = repeats.Units(*kernel.string_bytes(batch.column("text")), False)
+        places = [repeats.unpack(p) for p in batch.column(repeats.PLACES).to_pylist()]
+        row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        first, more = np.concatenate(places).T
+        first = first + units.bounds[row]
+        fits = first + more + window <= units.bounds[row + 1]  # not if another row of the id has them
+        first, more = np.divmod(np.unique(first[fits] * window + more[fits]), window)
+        if len(first) == 0:
+            continue
+        at, gram = owners(units, first, window, seed)
+        row = units.document(first)
+        part = (gram >> np.uint64(48)).astype(np.int64) % parts
+        same = (units.spans(first, first + more + window), at - first, gram, row, part)
+        order = np.lexsort(same)
+        at, first, more, row, part = (x[order] for x in (at, first, more, row, part))
+        new = np.append(True, np.any([np.diff(x[order]) != 0 for x in same], axis=0))
+        one = np.flatnonzero(new)
+        end = np.append(one[1:], len(at))
+        size = more[one] + window
+        text = units.data[np.repeat(first[one], size) + kernel.steps(size)]
+        reach = reaches(units, at[one], first[one], (first + more)[one], window, seed)
+        span = np.empty(len(one), SPAN)
+        span["doc"] = batch.column("doc_id").to_numpy(zero_copy_only=False)[row[one]]
+        span["size"], span["copies"], span["reach"] = size, end - one, reach
+        begin = (first - units.bounds[row]).astype("<i4")
+        edge = np.append(np.flatnonzero(np.diff(part[one], prepend=-1)), len(one))
+        yield batch_of(
+            part=part[one][edge[:-1]].astype(np.int32),
+            text=binaries(text, np.append(0, np.cumsum(size))[edge]),
+            span=binaries(span, edge), begin=binaries(begin, np.append(one, len(at))[edge]),
+        )
+
+
+def sort_shard(shard: pa.Table, window: int, memory: int) -> pa.Table:
+    """The repeated strings of a part's open spans, as rows like those of `repeats.settled`."""
+    raw, span, begin = (
+        np.concatenate([np.frombuffer(x, kind) for x in shard[name].to_pylist()])
+        for name, kind in (("text", np.uint8), ("span", SPAN), ("begin", "<i4"))
+    )
+    kept = met(span["reach"], span["doc"])
+    raw, begin = raw[np.repeat(kept, span["size"])], begin[np.repeat(kept, span["copies"])]
+    doc, size, copies = (span[x][kept].astype(np.int64) for x in ("doc", "size", "copies"))
+    kind = pa.schema([("doc_id", pa.int64()), ("open", pa.bool_()), ("place", pa.binary())])
+    if len(doc) == 0:
+        return kind.empty_table()
+    text = np.zeros(int(size.sum()) + len(size), np.int16)
+    starts = np.cumsum(size + 1) - size - 1
+    piece = np.repeat(np.arange(len(size)), size + 1)
+    offset = np.arange(len(text)) - starts[piece]
+    text[offset < size[piece]] = raw.astype(np.int16) + 1
+    at = np.sort(repeated_strings(text, doc[piece], size[piece] - offset, window, memory))
+    new = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # windows in a row make one place
+    more = np.diff(np.append(new, len(at))) - 1
+    at = at[new]
+    times = copies[piece[at]]
+    copy = np.repeat((np.cumsum(copies) - copies)[piece[at]], times) + kernel.steps(times)
+    found = np.stack((begin[copy] + np.repeat(offset[at], times), np.repeat(more, times)), axis=1)
+    rows = repeats._by_document(np.repeat(doc[piece[at]], times), found.astype("<i4"), 0)
+    return pa.Table.from_batches(rows, kind)
+
+
 def _sort_shards(window: int, seed: int, memory: int):
     """Settles open spans: their strings are sorted shard by shard."""
 
     def compare(texts: DataFrame, parts: int) -> DataFrame:
         # A shard is sorted by one task; more and smaller shards than claim parts bound its memory.
-        parts = parts * SHARDS_PER_PART
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in kernel.slices(batches):
-                units = repeats.Units(*kernel.string_bytes(batch.column("text")), False)
-                grams = units.grams(seed)
-                at, first, last = kernel.anchors(grams, units.bounds, window, seed)
-                wanted = [
-                    repeats.unpack(p)[:, 0] + b for p, b in
-                    zip(batch.column(repeats.PLACES).to_pylist(), units.bounds[:-1], strict=True)
-                ]
-                own = np.isin(first, np.concatenate(wanted))
-                at, first, last = at[own], first[own], last[own]
-                part = (grams[at] >> np.uint64(48)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                part, first, size = part[order], first[order], (last - first + window)[order]
-                row = units.document(first)
-                doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                steps = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                text = units.data[np.repeat(first, size) + steps]
-                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-                ends = np.append(0, np.cumsum(size))
-                place = np.stack((first - units.bounds[row], size), axis=1).astype("<i4")
-                empty = pa.array([b""] * (len(edge) - 1), pa.binary())
-                yield batch_of(
-                    part=part[edge[:-1]].astype(np.int32), anchor=binaries(text, ends[edge]),
-                    span=empty, doc=binaries(doc.astype("<i8"), edge), place=binaries(place, edge),
-                )
-
-        def sort(shard: pa.Table) -> pa.Table:
-            raw = [np.frombuffer(x, np.uint8) for x in shard["anchor"].to_pylist()]
-            doc = np.concatenate([np.frombuffer(x, "<i8") for x in shard["doc"].to_pylist()])
-            place = np.concatenate(
-                [np.frombuffer(x, "<i4").reshape(-1, 2) for x in shard["place"].to_pylist()]
-            ).astype(np.int64)
-            size = place[:, 1]
-            text = np.zeros(int(size.sum()) + len(size), np.int16)
-            starts = np.cumsum(size + 1) - size - 1
-            piece = np.repeat(np.arange(len(size)), size + 1)
-            offset = np.arange(len(text)) - starts[piece]
-            text[offset < size[piece]] = np.concatenate(raw).astype(np.int16) + 1
-            at = repeated_strings(text, doc[piece], size[piece] - offset, window, memory)
-            found = np.stack(
-                (place[piece[at], 0] + offset[at], np.zeros(len(at), np.int64)), axis=1
-            ).astype("<i4")
-            kind = pa.schema([("doc_id", pa.int64()), ("open", pa.bool_()), ("place", pa.binary())])
-            return pa.Table.from_batches(repeats._by_document(doc[piece[at]], found, 0), kind)
-
-        cuts = arrow_map(texts.select("doc_id", "text", repeats.PLACES), cut, *repeats.CLAIM)
-        return cuts.groupBy("part").applyInArrow(sort, "doc_id long, open boolean, place binary")
+        cuts = arrow_map(
+            texts.select("doc_id", "text", repeats.PLACES),
+            lambda batches: open_spans(batches, parts * SHARDS_PER_PART, window, seed),
+            "part int", "text binary", "span binary", "begin binary",
+        )
+        return cuts.groupBy("part").applyInArrow(
+            lambda shard: sort_shard(shard, window, memory),
+            "doc_id long, open boolean, place binary",
+        )
 
     return compare
 
@@ -356,12 +438,13 @@ def judge(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
             removed, spans, digests = [], [], []
             for row, places in enumerate(batch.column(repeats.PLACES).to_pylist()):
                 own = data[bounds[row] : bounds[row + 1]]
-                gone = np.zeros(len(own), bool)
+                count = runs = 0
                 if places:
                     gone = repeats.covered(repeats.unpack(places), len(own), window)
-                removed.append(int(gone.sum()))
-                spans.append(len(kernel.runs(gone)[0]))
-                digests.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
+                    count, runs, own = int(gone.sum()), len(kernel.runs(gone)[0]), own[~gone]
+                removed.append(count)
+                spans.append(runs)
+                digests.append(hashlib.sha256(own.tobytes()).hexdigest())
             yield batch_of(
                 doc_id=batch.column("doc_id"), n_bytes=np.diff(bounds),
                 n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()),
